@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "listings")
+MODULES = ("text", "listings", "structure")
 
 
 def load() -> None:

@@ -24,7 +24,7 @@ TURN_FEED = feeds.Feed(("missing", "turn_key"), title=("missing",), description=
 UNIFY_SQL = f"""
 WITH pages_f AS (
   SELECT 'pages' AS source, CAST(page_id AS VARCHAR) AS external_id, 'Unknown Role' AS title, 'Unknown Company' AS company, 'Remote' AS location,
-         url, {sql_strip_html('html')} AS body, split_part(url, '/', 3) AS tags, '' AS posted, false AS remote, '' AS extra FROM pages),
+         url, {sql_strip_html('html')} AS body, split_part(url, '/', 3) AS tags, '' AS posted, true AS remote, '' AS extra FROM pages),
 docs_f AS (
   SELECT 'docs', CAST(doc_id AS VARCHAR), 'Unknown Role', source, lang, '', {sql_strip_html('text')}, source || '|' || lang,
          CASE WHEN doc_id % 2 = 0 THEN '2024-02-03 04:05:06' ELSE '1970-01-02 00:00:00' END, doc_id % 3 = 0, CAST(n_chars AS VARCHAR) FROM documents),

@@ -11,8 +11,8 @@ def q(text: str) -> str:
 
 
 def rnd(expr: str, places: int = 2) -> str:
-    """Half-up rounding of the decimal reading of a double, as Spark rounds."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(38, 12)), {places}) AS DOUBLE)"
+    """Half-up rounding of the shortest decimal reading of a double, as Spark rounds."""
+    return f"CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), {places}) AS DOUBLE)"
 
 
 def ws(expr: str) -> str:

@@ -60,6 +60,16 @@ def lit_map(values: Mapping) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def explode_once(df, keep: Sequence, array: Column, name: str, pos: str | None = None):
+    """Rows of an array column, the array computed once.
+
+    For a plain ``explode`` Spark infers a filter on the array's size and computes a
+    long expression again for it; the outer form with a filter on the result does not.
+    """
+    made = F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    return df.select(*keep, made).filter(F.col(name).isNotNull())
+
+
 def words(c: Column) -> Column:
     """White-space tokens, empty ones left out."""
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")

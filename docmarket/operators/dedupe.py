@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docmarket.functions.text import ROLE_GENERIC_TOKENS, ROLE_STOPWORDS, URL, clean_label, clean_words, lit_array, normalize_ws, token_set, words
+from docmarket.functions.text import explode_once, ROLE_GENERIC_TOKENS, ROLE_STOPWORDS, URL, clean_label, clean_words, lit_array, normalize_ws, token_set, words
 from docmarket.operators.ranking import first_per_key, top_per_group, with_group_size, with_previous
 
 
@@ -114,8 +114,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     """
     lt = left.select(left_id, token_set(F.col(text)).alias("l_tokens"))
     rt = right.select(right_id, token_set(F.col(text)).alias("r_tokens")).filter(F.size("r_tokens") > 0)
-    r_tok = rt.select(right_id, F.size("r_tokens").alias("n"), F.explode("r_tokens").alias("token"))
-    seen = lt.select(F.explode("l_tokens").alias("token")).join(r_tok.select("token").distinct(), ["token"], "left_semi")
+    r_tok = explode_once(rt, [right_id, F.size("r_tokens").alias("n")], F.col("r_tokens"), "token")
+    seen = explode_once(lt, [], F.col("l_tokens"), "token").join(r_tok.select("token").distinct(), ["token"], "left_semi")
     freq = seen.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     # Tokens no left text has cannot start a pair; they are the rarest of all and come first.
     ranked = r_tok.join(freq, ["token"], "left").groupBy(right_id).agg(
@@ -123,7 +123,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     )
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(min_share) - F.lit(1e-9)).cast("int") + 1
     rare = ranked.select(right_id, F.explode(F.slice("ordered", F.lit(1), keep)).alias("t")).filter("t.freq > 0").select(right_id, F.col("t.token").alias("token"))
-    pairs = lt.select(left_id, F.explode("l_tokens").alias("token")).join(rare, ["token"]).select(left_id, right_id).distinct()
+    pairs = explode_once(lt, [left_id], F.col("l_tokens"), "token").join(rare, ["token"]).select(left_id, right_id).distinct()
     scored = pairs.join(lt, [left_id]).join(rt, [right_id]).select(
         left_id, right_id, F.size(F.array_intersect("l_tokens", "r_tokens")).alias("shared"), F.size("r_tokens").alias("n_right")
     )
