@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "listings", "structure")
+MODULES = ("text", "listings", "structure", "terms", "market", "quality")
 
 
 def load() -> None:
