@@ -235,10 +235,11 @@ def _n_words(c: Column) -> Column:
     return F.size(T.words(c))
 
 
-def section_shape(lines: DataFrame, doc_id: str) -> DataFrame:
-    """Word counts per section, focus shares and balance, one row per document."""
-    n = _n_words(F.col("line"))
-    counted = lines.groupBy(doc_id).agg(*[F.coalesce(F.sum(F.when(F.col("section") == s, n)), F.lit(0)).alias(f"{s}_section_word_count") for s in COUNTED_SECTIONS])
+def _shape_aggs() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("section") == s, F.col("n"))), F.lit(0)).alias(f"{s}_section_word_count") for s in COUNTED_SECTIONS]
+
+
+def _with_shares(counted: DataFrame) -> DataFrame:
     col = lambda s: F.col(f"{s}_section_word_count")
     total = sum((col(s) for s in COUNTED_SECTIONS), F.lit(0))
     evidence = sum((col(s) for s in EVIDENCE_SECTIONS), F.lit(0))
@@ -261,17 +262,25 @@ def section_shape(lines: DataFrame, doc_id: str) -> DataFrame:
     )
 
 
-def line_signals(lines: DataFrame, doc_id: str, verbs: Sequence[str] = ACTION_VERBS, bullet: str = BULLET, quantified: str = QUANTIFIED) -> DataFrame:
-    """Bullet, number and action-verb counts over a document's section lines, one row per document."""
+def section_shape(lines: DataFrame, doc_id: str) -> DataFrame:
+    """Word counts per section, focus shares and balance, one row per document."""
+    counted = lines.select(doc_id, "section", _n_words(F.col("line")).alias("n")).groupBy(doc_id).agg(*_shape_aggs())
+    return _with_shares(counted)
+
+
+def _line_marks(verbs: Sequence[str], bullet: str, quantified: str) -> list[Column]:
     verb = r"(?iU)\b(" + "|".join(verbs) + r")\b"
-    marked = lines.select(
-        doc_id, "section", F.col("section").isin(*EVIDENCE_SECTIONS).alias("ev"), F.col("line").rlike(bullet).alias("b"),
-        F.col("line").rlike(quantified).alias("q"), F.col("line").rlike(verb).alias("a"), _n_words(F.col("line")).alias("n"),
-        F.when(F.col("section").isin(*EVIDENCE_SECTIONS), F.transform(F.regexp_extract_all("line", F.lit(verb), F.lit(1)), F.lower)).alias("verbs"),
-    )
-    count = lambda cond: F.count_if(cond)
+    line, ev = F.col("line"), F.col("section").isin(*EVIDENCE_SECTIONS)
+    return [
+        ev.alias("ev"), line.rlike(bullet).alias("b"), line.rlike(quantified).alias("q"), line.rlike(verb).alias("a"), _n_words(line).alias("n"),
+        F.when(ev, F.transform(F.regexp_extract_all("line", F.lit(verb), F.lit(1)), F.lower)).alias("verbs"),
+    ]
+
+
+def _line_aggs(verbs: Sequence[str]) -> list[Column]:
+    count = F.count_if
     sec, ev, b, q, a, n = F.col("section"), F.col("ev"), F.col("b"), F.col("q"), F.col("a"), F.col("n")
-    out = marked.groupBy(doc_id).agg(
+    return [
         count(sec == "summary").alias("summary_line_count"),
         count(b & (sec == "experience")).alias("experience_bullet_count"),
         count(b & (sec == "projects")).alias("project_bullet_count"),
@@ -289,8 +298,33 @@ def line_signals(lines: DataFrame, doc_id: str, verbs: Sequence[str] = ACTION_VE
         F.round(F.coalesce(F.avg(F.when(ev & b, n)), F.lit(0.0)), 2).alias("avg_bullet_word_count"),
         # The set of verbs is bounded by the lexicon, one flag per verb keeps the buffer flat.
         sum((F.max(F.coalesce(F.array_contains("verbs", v).cast("int"), F.lit(0))) for v in verbs), F.lit(0)).alias("action_verb_variety_count"),
-    )
-    return out
+    ]
+
+
+def line_signals(lines: DataFrame, doc_id: str, verbs: Sequence[str] = ACTION_VERBS, bullet: str = BULLET, quantified: str = QUANTIFIED) -> DataFrame:
+    """Bullet, number and action-verb counts over a document's section lines, one row per document."""
+    return lines.select(doc_id, "section", *_line_marks(verbs, bullet, quantified)).groupBy(doc_id).agg(*_line_aggs(verbs))
+
+
+def _leak_marks(education: str, work: str) -> list[Column]:
+    hit = lambda section, words: ((F.col("section") == section) & F.col("line").rlike("(?iU)" + words)).cast("int")
+    return [hit("experience", education).alias("leak_education"), hit("education", work).alias("leak_work")]
+
+
+_LEAK_AGG = lambda: (F.max("leak_education") + F.max("leak_work")).alias("section_leakage_count")
+
+
+def section_leakage(lines: DataFrame, doc_id: str, education: str = EDUCATION_WORDS, work: str = WORK_WORDS) -> DataFrame:
+    """One point for education words in experience, one for work words in education."""
+    return lines.select(doc_id, *_leak_marks(education, work)).groupBy(doc_id).agg(_LEAK_AGG())
+
+
+def line_profile(lines: DataFrame, doc_id: str) -> DataFrame:
+    """Shape, line signals, leakage and section names in one pass over the section lines."""
+    marked = lines.select(doc_id, "section", *_line_marks(ACTION_VERBS, BULLET, QUANTIFIED), *_leak_marks(EDUCATION_WORDS, WORK_WORDS))
+    # Section names are bounded by the header lexicon.
+    aggs = [*_shape_aggs(), *_line_aggs(ACTION_VERBS), _LEAK_AGG(), F.collect_set("section").alias("section_names")]
+    return _with_shares(marked.groupBy(doc_id).agg(*aggs)).withColumn("section_count", F.size("section_names"))
 
 
 def header_signals(lines: DataFrame, doc_id: str, headers: Headers, inline: bool = True) -> DataFrame:
@@ -355,8 +389,7 @@ def parse_signals(docs: DataFrame, doc_id: str, text: str, headers: Headers, inl
         *[c.alias({"first_person": "first_person_pronoun_count", "technical": "technical_portfolio_marker_count"}.get(n, f"{n}_marker_count")) for n, c in marks.items()],
     )
     lines = section_lines(docs, doc_id, text, headers, inline)
-    count = lines.groupBy(doc_id).agg(F.count_distinct("section").alias("section_count"), F.collect_set("section").alias("section_names"))
-    parts = [section_shape(lines, doc_id), line_signals(lines, doc_id), section_leakage(lines, doc_id), count, header_signals(explode_lines(docs, doc_id, text), doc_id, headers, inline)]
+    parts = [line_profile(lines, doc_id), header_signals(explode_lines(docs, doc_id, text), doc_id, headers, inline)]
     for part in parts:
         own = own.join(part, [doc_id], "left")
     numeric = [f.name for f in own.schema if f.dataType.typeName() in ("integer", "long", "double") and f.name != doc_id]
