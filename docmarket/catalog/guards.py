@@ -37,7 +37,7 @@ CAND_SQL = f"cand AS (SELECT *, NOT family_title_bad AS family_title_ok FROM (SE
 
 def cand(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in SIG.items()])
-    return rows.withColumn("family_title_ok", ~F.col("family_title_bad"))
+    return H.with_guard_columns(rows.withColumn("family_title_ok", ~F.col("family_title_bad")))
 
 
 DATA, SOFT, SEC = "coalesce(q_domain = 'data', false)", "coalesce(q_domain = 'software', false)", "coalesce(q_domain = 'security', false)"
@@ -119,12 +119,12 @@ _guard("H14_cache_safe_match", CACHE, H.cache_safe_match)
 
 @query(
     "H2_relevant_or_relaxed",
-    f"""WITH {FLAGS_SQL}, g AS (SELECT key, key // 10000000 AS query_id, role_fit, hard_mismatch, location_score, market_quality, ({GATE}) AS ok FROM fl),
+    f"""WITH {FLAGS_SQL}, g AS (SELECT key, key // 1000000 AS query_id, role_fit, hard_mismatch, location_score, market_quality, ({GATE}) AS ok FROM fl),
     r AS (SELECT key, row_number() OVER (PARTITION BY query_id ORDER BY location_score DESC, market_quality DESC, key) AS rn FROM g WHERE query_id NOT IN (SELECT query_id FROM g WHERE ok) AND role_fit >= 6 AND NOT hard_mismatch)
     SELECT key FROM g WHERE ok UNION ALL SELECT key FROM r WHERE rn <= 5""",
 )
 def h2(spark, sf):
-    rows = cand(spark, sf).withColumn("query_id", F.floor(F.col("key") / 10000000))
+    rows = cand(spark, sf).withColumn("query_id", F.floor(F.col("key") / 1000000))
     return H.relevant_or_relaxed(rows, H.quality_gate(), "key").select("key")
 
 
@@ -167,10 +167,10 @@ def j1(spark, sf):
 
 
 def wave_flags(df):
-    safe = ~F.col("hard_mismatch") & H.final_guard()
+    safe = ~F.col("hard_mismatch") & F.col("g_final")
     t = (F.col("title_overlap") >= 1) | (F.col("precision") >= 2) | (F.col("family_overlap") >= 2)
     flags = {
-        "is_strong": H.live_candidate(True), "is_secondary": H.live_candidate(False), "is_family": H.family_candidate(), "is_recovery": H.domain_recovery(),
+        "is_strong": H.live_candidate(True), "is_secondary": H.live_candidate(False), "is_family": H.family_candidate(), "is_recovery": F.col("g_recovery"),
         "is_related": (F.col("alignment") >= 0) & t, "is_last_resort": (F.col("source") == "jobicy") & (F.col("alignment") >= 0) & (F.col("market_quality") >= 18),
     }
     df = df.withColumns({n: c & safe for n, c in flags.items()})

@@ -6,6 +6,10 @@ Title flags: negative_hit, finance_mismatch, web_mismatch, head_overlap, hard_mi
 Scores: alignment, precision, title_overlap, family_overlap, core_title, core_text, specialty_overlap,
   domain_score, skill_overlap, role_fit, market_quality, listing_quality, requirement_quality,
   title_alignment, location_score, skill_count, hint_overlap, primary_overlap, title_hint_hits, primary_hits, market_hits
+
+Guards build on each other, so the shared ones are added as columns once by
+:func:`with_guard_columns`; the functions below it read those columns. Nesting the
+expressions instead would outgrow the code generator.
 """
 
 from __future__ import annotations
@@ -48,8 +52,23 @@ def _in_domain(*names: str) -> Column:
     return F.coalesce(c("q_domain").isin(*names), F.lit(False))
 
 
+GUARD_COLUMNS = ("g_lacks", "g_explicit", "g_context", "g_bridge", "g_recovery", "g_final")
+
+
+def with_guard_columns(cand: DataFrame) -> DataFrame:
+    """Candidate rows with the guards that other guards use."""
+    out = cand.withColumn("g_lacks", c("needs_specialty") & (c("specialty_overlap") == 0))
+    out = out.withColumns({"g_explicit": explicit_alignment(), "g_context": contextual_recovery(), "g_bridge": family_bridge(), "g_recovery": domain_recovery()})
+    return out.withColumn("g_final", final_guard())
+
+
 def lacks_specialty() -> Column:
-    return c("needs_specialty") & (c("specialty_overlap") == 0)
+    return c("g_lacks")
+
+
+def _bound(test, *columns: str) -> Column:
+    """``test`` over guard columns that are computed once, however often the test reads them."""
+    return T.let(F.struct(*columns), test)
 
 
 def finance_mismatch(title: Column, q_role: Column) -> Column:
@@ -87,7 +106,7 @@ def _business_title(explicit: Column) -> Column:
 
 def quality_gate() -> Column:
     """Is a listing good and relevant enough to be shown for the query."""
-    explicit = explicit_alignment()
+    explicit = c("g_explicit")
     rejected = _any(c("hard_mismatch"), c("negative_hit"), (c("alignment") < 0) & (c("title_overlap") == 0) & (c("core_title") == 0), c("title_alignment") <= -6.0)
     business = c("business") & _business_title(explicit)
     business_ok = (c("requirement_quality") >= 8.0) | (c("listing_quality") >= 4.0) | (c("role_fit") >= 0.3)
@@ -160,18 +179,22 @@ def contextual_recovery() -> Column:
 
 def final_guard() -> Column:
     """Last check before a listing is shown."""
-    ctx = contextual_recovery()
-    untitled = (c("precision") <= 0) & (c("title_overlap") == 0)
-    software_gap = _in_domain("software", "security") & untitled & (c("family_overlap") == 0)
-    recovered = _in_domain("software") & c("weak_software") & (c("alignment") >= 1) & (c("specialty_overlap") >= 1) & (c("role_fit") >= 3.0) & ctx
-    data = _in_domain("data")
-    blocked = _any(
-        ~c("family_title_ok"), c("strict") & (c("leadership_clash") | c("excluded_title")), software_gap & ~recovered,
-        c("strict") & untitled & (c("core_title") == 0) & ~ctx, c("strict") & (c("alignment") == 1) & untitled & ~ctx,
-        data & untitled & (c("family_overlap") == 0) & (c("core_title") == 0) & ~ctx & (c("role_fit") < 3.5), data & (c("alignment") < 0) & untitled,
-        (c("role_fit") < 1.0) & (c("precision") <= 0) & (c("core_title") == 0),
-    )
-    return F.when((c("alignment") <= -3) | lacks_specialty() | c("finance_mismatch"), False).when(family_bridge() | domain_recovery(), True).otherwise(~blocked)
+
+    def test(g: Column) -> Column:
+        ctx = g["g_context"]
+        untitled = (c("precision") <= 0) & (c("title_overlap") == 0)
+        software_gap = _in_domain("software", "security") & untitled & (c("family_overlap") == 0)
+        recovered = _in_domain("software") & c("weak_software") & (c("alignment") >= 1) & (c("specialty_overlap") >= 1) & (c("role_fit") >= 3.0) & ctx
+        data = _in_domain("data")
+        blocked = _any(
+            ~c("family_title_ok"), c("strict") & (c("leadership_clash") | c("excluded_title")), software_gap & ~recovered,
+            c("strict") & untitled & (c("core_title") == 0) & ~ctx, c("strict") & (c("alignment") == 1) & untitled & ~ctx,
+            data & untitled & (c("family_overlap") == 0) & (c("core_title") == 0) & ~ctx & (c("role_fit") < 3.5), data & (c("alignment") < 0) & untitled,
+            (c("role_fit") < 1.0) & (c("precision") <= 0) & (c("core_title") == 0),
+        )
+        return F.when((c("alignment") <= -3) | g["g_lacks"] | c("finance_mismatch"), False).when(g["g_bridge"] | g["g_recovery"], True).otherwise(~blocked)
+
+    return _bound(test, "g_lacks", "g_context", "g_bridge", "g_recovery")
 
 
 def precise_query_guard() -> Column:
@@ -193,7 +216,7 @@ def _candidate_rejected() -> Column:
 
 def live_candidate(strict: bool) -> Column:
     """Strong (strict) or secondary candidate for selection."""
-    explicit = explicit_alignment()
+    explicit = c("g_explicit")
     t, f, k, s, fit, mq, dom, p = (c(n) for n in ("title_overlap", "family_overlap", "core_title", "skill_overlap", "role_fit", "market_quality", "domain_score", "precision"))
     business = c("business") & (c("alignment") >= 0) & _business_title(explicit) & (c("location_score") > 0.0)
     business_ok = (mq >= 10.0) | (fit >= 0.4) | (c("title_alignment") >= 8.0) if strict else (mq >= 8.0) | (fit >= 0.2) | (c("title_alignment") >= 5.0)
@@ -231,32 +254,40 @@ def family_candidate() -> Column:
         (dom >= 2) & (s >= 1.0) & ((p >= 1) | (t >= 1) | (f >= 1) | (k >= 1)), (dom >= 1) & (t >= 1), (dom >= 1) & (f >= 2) & (fit >= 2.0),
         (dom >= 1) & (c("market_quality") >= 28.0) & (s >= 1.0) & (p >= 1),
     )
-    return F.when(c("hard_mismatch") | lacks_specialty(), False).when(family_bridge(), True).when((c("alignment") < 0) & (t == 0), False).when(business, True).when(lost, False).otherwise(good)
+    return F.when(c("hard_mismatch") | lacks_specialty(), False).when(c("g_bridge"), True).when((c("alignment") < 0) & (t == 0), False).when(business, True).when(lost, False).otherwise(good)
 
 
 def exact_backup_guard() -> Column:
     """Second line for exact queries."""
-    ctx, named = contextual_recovery(), (c("title_overlap") >= 1) | (c("precision") >= 1)
-    data_ok = ctx | ((c("core_title") >= 1) & ((c("domain_score") >= 2) | (c("skill_overlap") >= 1.0) | (c("role_fit") >= 3.0)))
-    tech_ok = (c("core_title") >= 1) & ((c("domain_score") >= 2) | (c("role_fit") >= 3.0) | (c("family_overlap") >= 1))
-    adjacent = c("strict") & (c("alignment") == 1) & (c("precision") <= 0) & (c("title_overlap") == 0) & ~ctx
-    return (
-        F.when(c("hard_mismatch") | c("finance_mismatch"), False).when(family_bridge() | domain_recovery(), True).when((c("alignment") < 0) | adjacent | lacks_specialty(), False)
-        .when(named, True).when(c("q_domain") == "data", data_ok).when(c("q_domain").isin("software", "security"), tech_ok).otherwise(live_candidate(False))
-    )
+
+    def test(g: Column) -> Column:
+        ctx, named = g["g_context"], (c("title_overlap") >= 1) | (c("precision") >= 1)
+        data_ok = ctx | ((c("core_title") >= 1) & ((c("domain_score") >= 2) | (c("skill_overlap") >= 1.0) | (c("role_fit") >= 3.0)))
+        tech_ok = (c("core_title") >= 1) & ((c("domain_score") >= 2) | (c("role_fit") >= 3.0) | (c("family_overlap") >= 1))
+        adjacent = c("strict") & (c("alignment") == 1) & (c("precision") <= 0) & (c("title_overlap") == 0) & ~ctx
+        return (
+            F.when(c("hard_mismatch") | c("finance_mismatch"), False).when(g["g_bridge"] | g["g_recovery"], True).when((c("alignment") < 0) | adjacent | g["g_lacks"], False)
+            .when(named, True).when(c("q_domain") == "data", data_ok).when(c("q_domain").isin("software", "security"), tech_ok).otherwise(live_candidate(False))
+        )
+
+    return _bound(test, "g_lacks", "g_context", "g_bridge", "g_recovery")
 
 
 def same_family_recovery_guard() -> Column:
     """Third line for exact queries: same family, past the final guard."""
-    ctx, named = contextual_recovery(), (c("precision") >= 1) | (c("title_overlap") >= 1)
-    data = F.when(c("strict") & (c("alignment") == 1) & ~named, ctx).when(named | ctx, True).otherwise(
-        (c("alignment") >= 0) & (c("core_title") >= 1) & ((c("family_overlap") >= 1) | (c("domain_score") >= 2) | (c("skill_overlap") >= 1.0) | (c("role_fit") >= 2.5))
-    )
-    tech = (c("core_title") >= 1) & ((c("family_overlap") >= 1) | (c("skill_overlap") >= 1.0) | (c("role_fit") >= 2.5))
-    return (
-        F.when(c("hard_mismatch") | ~final_guard() | lacks_specialty(), False).when(family_bridge(), True).when(c("q_domain") == "data", data)
-        .when(((c("alignment") >= 1) & (c("core_title") >= 1)) | named, True).when(c("q_domain").isin("software", "security"), tech).otherwise(family_candidate())
-    )
+
+    def test(g: Column) -> Column:
+        ctx, named = g["g_context"], (c("precision") >= 1) | (c("title_overlap") >= 1)
+        data = F.when(c("strict") & (c("alignment") == 1) & ~named, ctx).when(named | ctx, True).otherwise(
+            (c("alignment") >= 0) & (c("core_title") >= 1) & ((c("family_overlap") >= 1) | (c("domain_score") >= 2) | (c("skill_overlap") >= 1.0) | (c("role_fit") >= 2.5))
+        )
+        tech = (c("core_title") >= 1) & ((c("family_overlap") >= 1) | (c("skill_overlap") >= 1.0) | (c("role_fit") >= 2.5))
+        return (
+            F.when(c("hard_mismatch") | ~g["g_final"] | g["g_lacks"], False).when(g["g_bridge"], True).when(c("q_domain") == "data", data)
+            .when(((c("alignment") >= 1) & (c("core_title") >= 1)) | named, True).when(c("q_domain").isin("software", "security"), tech).otherwise(family_candidate())
+        )
+
+    return _bound(test, "g_lacks", "g_context", "g_bridge", "g_final")
 
 
 def cache_safe_match() -> Column:
