@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "listings", "structure", "terms", "market", "quality", "gaps", "roles", "guards", "alignment")
+MODULES = ("text", "listings", "structure", "terms", "market", "quality", "gaps", "roles", "guards", "alignment", "requirements", "reports", "analysis")
 
 
 def load() -> None:
