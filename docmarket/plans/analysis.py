@@ -13,6 +13,7 @@ from docmarket.operators import (
     temporal, terms as E,
 )
 from docmarket.roles import RoleLexicon
+from docmarket.session import cut_lineage
 
 
 def score_documents(docs: DataFrame, doc_id: str, text: str, headers: C.Headers, as_of: Column) -> DataFrame:
@@ -77,14 +78,16 @@ def search_listings(listings: DataFrame, queries: DataFrame, terms: DataFrame, r
     queries: query_id, q_text, q_location, limit; terms: listing_id, term, weight
     """
     labels = R.distinct_labels(listings.select(F.col("title").alias("label")).unionByName(queries.select(F.col("q_text").alias("label"))), "label")
-    profiles = R.role_hints(R.role_profile(labels, roles), roles)
+    profiles = cut_lineage(R.role_hints(R.role_profile(labels, roles), roles))
     flags = R.query_class(profiles.withColumn("variations", T.lit_array([])), roles, X.FAMILY_GROUPS, X.DENSE_GROUPS, X.ABSTRACT_FAMILIES, X.BUSINESS_DOMAINS)
     # A listing has at most as many terms as the lexicon.
     own = terms.groupBy("listing_id").agg(F.sort_array(F.collect_list("term")).alias("terms"), F.round(F.avg("weight") * 100, 1).alias("requirement_quality"))
     rows = listings.join(own, ["listing_id"], "left").withColumns({"terms": F.coalesce("terms", T.lit_array([])), "requirement_quality": F.coalesce("requirement_quality", F.lit(0.0))})
     adjacent = [f"{a}|{b}" for a, bs in roles.adjacent.items() for b in bs]
     scored = G.annotate(G.candidates(rows, queries, profiles, profiles), roles.families, adjacent)
-    guarded = H.with_guard_columns(guard_inputs(scored, flags, roles))
+    # Guards read each score dozens of times. Written out once, the scores are plain columns
+    # for them; left in the plan, every guard would carry all text expressions again.
+    guarded = H.with_guard_columns(cut_lineage(guard_inputs(scored, flags, roles)))
     kept = H.relevant_or_relaxed(guarded, H.quality_gate(), "listing_id")
     ranked = J.rank_candidates(kept, "listing_id", candidate_limit)
     c = F.col
@@ -100,8 +103,9 @@ def search_listings(listings: DataFrame, queries: DataFrame, terms: DataFrame, r
             "source_cap": J.source_cap(c("source"), c("live_target"), F.lit(4), c("limit")), "title_cap_low": F.when(exact, 2).otherwise(1), "title_cap": F.lit(1), "similar_ok_low": exact, "similar_ok": exact,
         }
     )
+    ranked = cut_lineage(ranked)
     targets = ranked.select("query_id", "live_target", "display_floor").distinct()
-    return J.select_diverse(ranked, targets), ranked
+    return cut_lineage(J.select_diverse(ranked, targets)), ranked
 
 
 def run_analysis(
@@ -113,7 +117,7 @@ def run_analysis(
     match. Shuffles: document aggregates by doc_id, duplicates by signature, demand by (query,
     term), pairs by query; a document meets only the few listings selected for its query.
     """
-    terms = listing_terms(listings, lexicon, req)
+    terms = cut_lineage(listing_terms(listings, lexicon, req))
     selected, ranked = search_listings(listings, queries, terms, roles)
     chosen = selected.select("query_id", F.col("key").alias("listing_id"), "position")
     pool = ranked.join(chosen, ["query_id", "listing_id"])
@@ -123,9 +127,9 @@ def run_analysis(
     hint_rows = ranked.select("query_id", "q_primary", "q_market").distinct()
     both = F.concat(F.transform("q_primary", lambda t: F.struct(t.alias("term"), F.lit("primary").alias("kind"))), F.transform("q_market", lambda t: F.struct(t.alias("term"), F.lit("market").alias("kind"))))
     hints = T.explode_once(hint_rows, ["query_id"], both, "h").select("query_id", "h.term", "h.kind")
-    demand = K.prune_demand(K.term_demand(market, own_terms, hints), lexicon.select("term").distinct())
+    demand = cut_lineage(K.prune_demand(K.term_demand(market, own_terms, hints), lexicon.select("term").distinct()))
 
-    signals = score_documents(docs, "doc_id", "text", headers, as_of)
+    signals = cut_lineage(score_documents(docs, "doc_id", "text", headers, as_of).drop("parser_confidence"))
     sections = C.assign_sections(docs, "doc_id", "text", headers)
     hits = E.term_hits(sections, ["doc_id", "section"], F.col("text"), lexicon)
     doc_terms, support = hits.select("doc_id", "term").distinct(), E.section_support(hits, "doc_id")
@@ -133,6 +137,7 @@ def run_analysis(
     wanted = docs.select("doc_id", "query_id").join(demand.drop("rank"), ["query_id"]).join(signals.select("doc_id", "experience_years"), ["doc_id"]).join(flags, ["query_id"])
     need = L.required_proof(*[F.col(n) for n in ("primary", "hinted", "share", "live_count", "company_count", "live_listings", "dense", "experience_years")])
     proved = E.with_proof(wanted, doc_terms, support, "doc_id").withColumns({"required": need, "has_term": F.col("proof") > 0})
+    proved = cut_lineage(proved)
     matched, missing = L.split_matched(proved)
 
     body = listings.select("query_id", "listing_id", "title", "description", "source")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Everything that decides a result is set here; cluster sizing is left to the cluster.
 SETTINGS = {
@@ -24,13 +26,17 @@ def build_session(app: str = "docmarket", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def cut_lineage(spark: SparkSession, df, eager: bool = True):
-    """Reliable checkpoint into the shared folder the cluster names.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a table that many later steps read.
 
-    ``spark.checkpoint.dir`` is read from the session. Without it (tests) the
-    caller has to set a directory on the SparkContext first.
+    It goes to the shared folder the cluster names in ``spark.checkpoint.dir``; only where
+    that is unset, as in tests, a fresh local folder is used. The files outlive executors.
     """
+    spark = df.sparkSession
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+        context.setCheckpointDir(folder)
+    elif not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint(eager=True)
