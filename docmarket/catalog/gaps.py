@@ -11,6 +11,7 @@ from docmarket.functions import text as T
 from docmarket.operators import dedupe as D, gaps as L, scoring as M, terms as E
 from docmarket.operators.ranking import top_per_group
 from docmarket.registry import query
+from docmarket.session import cut_lineage
 from docmarket.sources.tables import table
 
 DENSE_QUERIES = ("1-URGENT", "3-MEDIUM")
@@ -37,14 +38,19 @@ def doc_terms(spark, sf):
     return named.groupBy(F.col("o_custkey").alias("doc_id"), F.col("p_name").alias("term")).agg(F.max("l_quantity").alias("qty"))
 
 
-def top_demand(spark, sf):
-    return top_per_group(demand_frame(spark, sf), ["query_id"], [F.desc("share"), F.asc("term")], 20)
+def shared_demand(spark, sf):
+    """Demand rows, written out once: many later steps read this small table."""
+    return cut_lineage(demand_frame(spark, sf))
 
 
-def proved_frame(spark, sf):
+def top_demand(demand):
+    return top_per_group(demand, ["query_id"], [F.desc("share"), F.asc("term")], 20)
+
+
+def proved_frame(spark, sf, demand=None):
     own = doc_terms(spark, sf)
     support = own.select("doc_id", "term", F.when(F.col("qty") >= 40, "strong").when(F.col("qty") >= 20, "medium").otherwise("weak").alias("level"))
-    wanted = doc_queries(spark, sf).join(top_demand(spark, sf), ["query_id"])
+    wanted = doc_queries(spark, sf).join(top_demand(demand if demand is not None else demand_frame(spark, sf)), ["query_id"])
     proved = E.with_proof(wanted, own, support, "doc_id")
     dense = F.col("query_id").isin(*DENSE_QUERIES)
     need = L.required_proof(F.col("primary"), F.col("hinted"), F.col("share"), F.col("live_count"), F.col("company_count"), F.col("live_listings"), dense, F.col("years"))
@@ -111,7 +117,8 @@ REC_SQL = """rec AS (SELECT query_id, term, row_number() OVER (PARTITION BY quer
 
 
 def gaps_frame(spark, sf):
-    demand = demand_frame(spark, sf).select("query_id", "term", "share", "live_count", "company_count", "live_listings")
+    whole = shared_demand(spark, sf)
+    demand = whole.select("query_id", "term", "share", "live_count", "company_count", "live_listings")
     ranked = top_per_group(demand, ["query_id"], [F.desc("share"), F.asc("term")], 42, "rk")
     rec = ranked.filter("rk IN (2, 5) OR rk BETWEEN 31 AND 42").withColumn("pos", F.when(F.col("rk") == 2, 1).when(F.col("rk") == 5, 2).otherwise(F.col("rk") - 28)).select("query_id", "term", "pos")
     dm = ranked.filter("rk <= 20")
@@ -121,7 +128,7 @@ def gaps_frame(spark, sf):
     own = doc_terms(spark, sf)
     support = own.select("doc_id", "term", F.when(F.col("qty") >= 40, "strong").when(F.col("qty") >= 20, "medium").otherwise("weak").alias("level"))
     need = dm.select("query_id", "term").union(rec.select("query_id", "term")).distinct()
-    proved = proved_frame(spark, sf)
+    proved = proved_frame(spark, sf, whole)
     proofs = E.with_proof(doc_queries(spark, sf).select("doc_id", "query_id").join(need, ["query_id"]), own, support, "doc_id")
     proofs = proofs.join(proved.select("doc_id", "term", "required"), ["doc_id", "term"], "left").withColumns({"required": F.coalesce("required", F.lit(0.72)), "has_term": F.col("proof") > 0})
     _, missing = L.split_matched(proved)

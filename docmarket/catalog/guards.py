@@ -185,7 +185,7 @@ def wave_flags(df):
 
 @query("J2_select_diverse")
 def j2(spark, sf):
-    ranked = wave_flags(J.rank_candidates(cand(spark, sf), "key", 1000))
+    ranked = wave_flags(J.rank_candidates(cand(spark, sf), "key"))
     queries = ranked.select("query_id").distinct().withColumns({"live_target": F.lit(12), "display_floor": F.lit(10)})
     return J.select_diverse(ranked, queries)
 

@@ -137,10 +137,10 @@ DOC_MARKET_SQL = f"""{LEX_SQL}, {hits_sql('documents', 'doc_id', 'text')}, sigs
 def document_demand(spark, sf):
     docs = table(spark, sf, "documents")
     signed = docs.select("doc_id", "source", "lang", D.listing_signature(F.lit("feed"), F.col("lang"), F.col("lang"), F.col("text")).alias("signature"))
-    listings = D.with_dup_divisor(signed, "signature").select(
+    listings = signed.select(
         F.col("source").alias("query_id"), F.col("doc_id").alias("listing_id"), pick(FEED_NAMES[:4], F.col("doc_id") % 4).alias("source"),
         F.concat(F.lit("co "), F.col("doc_id") % 7).alias("company"), F.col("lang").alias("title"), (F.col("doc_id") % 10).cast("double").alias("role_fit"),
-        F.lit(None).cast("double").alias("listing_quality"), "dup_divisor",
+        F.lit(None).cast("double").alias("listing_quality"), "signature",
     )
     hits = E.match_terms(docs, ["source", "doc_id"], "text", lexicon(spark))
     terms = hits.select(F.col("source").alias("query_id"), F.col("doc_id").alias("listing_id"), "term", F.lit(None).cast("double").alias("weight"), F.col("n_hits").alias("n_evidence"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docmarket.functions.text import explode_once, ROLE_GENERIC_TOKENS, ROLE_STOPWORDS, URL, clean_label, clean_words, lit_array, normalize_ws, token_set, words
+from docmarket.functions.text import explode_once, ROLE_GENERIC_TOKENS, ROLE_STOPWORDS, URL, clean_label, clean_words, lit_array, normalize_ws, token_set
 from docmarket.operators.ranking import first_per_key, top_per_group, with_group_size, with_previous
 
 
@@ -43,9 +43,11 @@ def near_duplicates(df: DataFrame, signature: str, arrival: str, exempt: Column)
 
 def listing_signature(source: Column, company: Column, title: Column, description: Column, n_words: int = 36) -> Column:
     """source|company|title|head of the description, spelling-insensitive."""
-    low = lambda c: normalize_ws(F.lower(normalize_ws(c)))
-    plain = F.regexp_replace(F.regexp_replace(low(description), URL, ""), r"[^a-z0-9\s]", " ")
-    return F.concat_ws("|", F.coalesce(source, F.lit("unknown")), low(company), low(title), F.array_join(F.slice(words(plain), 1, n_words), " "))
+    low = lambda c: normalize_ws(F.lower(c))
+    # The first words are cut out by pattern, so the rest of the text is not split into an array.
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(description, F.lit(""))), URL, ""), "[^a-z0-9]+", " ")
+    head = F.trim(F.regexp_extract(plain, r"^ ?((?:\S+ ){0,%d}\S*)" % (n_words - 1), 1))
+    return F.concat_ws("|", F.coalesce(source, F.lit("unknown")), low(company), low(title), head)
 
 
 def with_dup_divisor(df: DataFrame, signature: str, name: str = "dup_divisor") -> DataFrame:

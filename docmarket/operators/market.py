@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docmarket import lexicons as X
 from docmarket.functions import text as T
-from docmarket.operators.ranking import top_per_group
+from docmarket.operators.ranking import top_per_group, with_group_size
 
 # --- fixed values -------------------------------------------------------------
 DEFAULT_FIT, DEFAULT_QUALITY, LIVE_WEIGHT, BASELINE_WEIGHT = 0.0, 10.0, 0.82, 0.70
@@ -31,17 +31,20 @@ def term_demand(
 ) -> DataFrame:
     """Weighted demand share of each term per query.
 
-    listings: query_id, listing_id, source, company, title, role_fit, listing_quality, dup_divisor
+    listings: query_id, listing_id, source, company, title, role_fit, listing_quality, and
+              dup_divisor, or signature to have the divisor counted here
     terms:    query_id, listing_id, term, weight (null = default), n_evidence
     hints:    query_id, term, kind (primary or market)
 
     share = 100 * sum(job weight * term weight) / sum(job weight of listings with terms).
-    Everything is aggregated with partial aggregates; the distinct companies and sources
-    are spread over (query, term, company) before they are counted.
+    The pairs are read once. They are first summed by (query, term, company, source), which
+    spreads a term that most listings name, then by (query, term) over those small rows.
     """
     live = is_live_source(F.col("source"))
     # Queries with live rows damp their baseline rows: one small row per query joined back.
     per_query = listings.groupBy("query_id").agg(F.max(live).alias("live_present"), F.count_if(live).alias("live_listings"))
+    if "signature" in listings.columns:
+        listings = with_group_size(listings, ["signature"], "dup_divisor")
     base = trust(F.col("source"), trust_table, trust_other)
     damped = F.when(F.col("live_present") & ~live, base * BASELINE_DAMPING).otherwise(base)
     fit = F.lit(0.45) + F.least(F.coalesce("role_fit", F.lit(DEFAULT_FIT)), F.lit(8.0)) / 8
@@ -54,24 +57,26 @@ def term_demand(
     )
     kinds = hints.groupBy("query_id", "term").agg(F.max((F.col("kind") == "primary")).alias("primary"), F.lit(True).alias("hinted"))
     once = terms.groupBy("query_id", "listing_id", "term").agg(F.max("weight").alias("weight"), F.max("n_evidence").alias("n_evidence"))
-    pairs = once.join(jobs, ["query_id", "listing_id"]).join(kinds, ["query_id", "term"], "left").fillna(False, ["primary", "hinted"])
+    # One row of each listing carries its weight for the denominator; a listing has at most as many terms as the lexicon.
+    lead = F.row_number().over(Window.partitionBy("query_id", "listing_id").orderBy("term")) == 1
+    pairs = once.join(jobs, ["query_id", "listing_id"]).withColumn("lead", lead).join(kinds, ["query_id", "term"], "left").fillna(False, ["primary", "hinted"])
     w = F.coalesce("weight", F.when(F.col("live"), LIVE_WEIGHT).otherwise(BASELINE_WEIGHT))
     up = lambda c, cond, add: F.when(cond, F.least(F.lit(1.0), c + add)).otherwise(c)
     w = up(w, F.contains(F.col("low_title"), F.col("term")), 0.12)
     w = up(w, F.col("n_evidence") > 1, 0.06)
     w = F.when(F.col("primary"), F.least(F.lit(1.0), w + 0.08)).when(F.col("hinted"), F.least(F.lit(1.0), w + 0.03)).otherwise(w * 0.86)
     w = F.when(F.col("term").isin(*generic) & ~F.col("primary"), w * 0.72).otherwise(w)
-    scored = pairs.withColumn("weighted", F.col("job_weight") * w)
-    demand = scored.groupBy("query_id", "term").agg(
-        F.sum("weighted").alias("weighted"), F.count(F.lit(1)).alias("count"), F.count_if("live").alias("live_count"), F.max("primary").alias("primary"), F.max("hinted").alias("hinted"),
-        F.max("live_present").alias("live_present"), F.max("live_listings").alias("live_listings"),
+    per_company = pairs.groupBy("query_id", "term", "company", "source").agg(
+        F.sum(F.col("job_weight") * w).alias("weighted"), F.sum(F.when(F.col("lead"), F.col("job_weight")).otherwise(0.0)).alias("jobs"), F.count(F.lit(1)).alias("n"), F.count_if("live").alias("n_live"),
+        *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
     )
-    # Two distinct counts in one aggregate would copy every row twice; each is counted on its own, already deduplicated.
-    distinct = lambda c: scored.select("query_id", "term", c).distinct().groupBy("query_id", "term").agg(F.count(F.lit(1)).alias(f"{c}_count"))
-    with_terms = once.select("query_id", "listing_id").distinct()
-    total = jobs.join(with_terms, ["query_id", "listing_id"], "left_semi").groupBy("query_id").agg(F.sum("job_weight").alias("total"))
-    out = demand.join(distinct("company"), ["query_id", "term"]).join(distinct("source"), ["query_id", "term"]).join(total, ["query_id"])
-    return out.filter("total > 0").withColumn("share", F.round(F.col("weighted") / F.col("total") * 100, 1)).drop("weighted", "total")
+    demand = per_company.groupBy("query_id", "term").agg(
+        F.sum("weighted").alias("weighted"), F.sum("jobs").alias("jobs"), F.sum("n").alias("count"), F.sum("n_live").alias("live_count"), *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
+        F.count_distinct("company").alias("company_count"), F.count_distinct("source").alias("source_count"),
+    )
+    # A query has at most as many rows here as the lexicon has terms.
+    out = demand.withColumn("total", F.sum("jobs").over(Window.partitionBy("query_id"))).filter("total > 0")
+    return out.withColumn("share", F.round(F.col("weighted") / F.col("total") * 100, 1)).drop("weighted", "jobs", "total")
 
 
 def keep_demand(known: Column, generic: Sequence[str] = X.GENERIC_SECONDARY_TERMS) -> Column:

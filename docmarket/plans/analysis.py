@@ -121,8 +121,8 @@ def run_analysis(
     selected, ranked = search_listings(listings, queries, terms, roles)
     chosen = selected.select("query_id", F.col("key").alias("listing_id"), "position")
     pool = ranked.join(chosen, ["query_id", "listing_id"])
-    signed = pool.withColumn("sig", D.listing_signature(F.col("source"), F.col("company"), F.col("title"), F.col("description")))
-    market = D.with_dup_divisor(signed.select("query_id", "listing_id", "source", "company", "title", "role_fit", "listing_quality", "sig"), "sig")
+    signed = pool.withColumn("signature", D.listing_signature(F.col("source"), F.col("company"), F.col("title"), F.col("description")))
+    market = signed.select("query_id", "listing_id", "source", "company", "title", "role_fit", "listing_quality", "signature")
     own_terms = terms.select("listing_id", "term", "weight", F.col("n").alias("n_evidence")).join(chosen, ["listing_id"]).drop("position")
     hint_rows = ranked.select("query_id", "q_primary", "q_market").distinct()
     both = F.concat(F.transform("q_primary", lambda t: F.struct(t.alias("term"), F.lit("primary").alias("kind"))), F.transform("q_market", lambda t: F.struct(t.alias("term"), F.lit("market").alias("kind"))))

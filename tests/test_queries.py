@@ -6,7 +6,11 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import entry, oracle_sql, queries
+from docmarket.catalog.structure import HEADERS
+from docmarket.operators import quality as Q, structure as C
 from tools.check import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,8 +49,14 @@ def test_no_cross_join(spark, name):
 
 
 def test_documents_are_parsed_without_a_shuffle(spark):
-    for name in ("C1_explode_lines", "C2_detect_headers", "C4_assign_sections", "C12_repetition_penalty"):
-        assert "Exchange" not in plan(spark, name), name
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    text = F.col("text")
+    frames = [
+        C.explode_lines(docs, "doc_id", "text"), C.assign_sections(docs, "doc_id", "text", HEADERS), docs.select(Q.repetition_penalty(text)),
+        C.section_lines(docs, "doc_id", "text", HEADERS),
+    ]
+    for df in frames:
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scan_reads_only_needed_columns(spark):
