@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmarket.llm import decontamination, mixing, quality_rules, sharding
+import public_tokenizers
+
+from docmarket.llm import decontamination, mixing, quality_rules, sharding, token_files
+from docmarket.session import new_folder
 
 QUERIES, SQL = {}, {}
 
@@ -37,6 +40,13 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder)).drop("copies")
 
 
+@query
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    out = new_folder(spark, "tokens")
+    token_files.write_tokens(documents(spark, folder), out, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.token_report(spark, out)
+
+
 @query
 def op10_shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder))

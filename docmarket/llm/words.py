@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -94,13 +94,18 @@ def word_hashes(column: pa.Array, table: np.ndarray, lower: bool = True) -> tupl
     """Hashes of all words of a slice in order, and for every row the number of words before it."""
     raw, ends = flat(column)
     if lower:
-        raw = _LOWER[raw]
+        raw = LOWER[raw]
     starts, stops, rows = split(raw, ends, table)
+    return span_hashes(raw, starts, stops), rows
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes."""
     size = 1 << max(16, int(len(raw)).bit_length())
     power, inverse = _powers(size) if size <= 4 * SLICE_BYTES else _powers.__wrapped__(size)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)), rows
+    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
