@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +27,29 @@ def build_session(app: str = "docmarket", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a table that many later steps read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, named by the cluster in ``spark.checkpoint.dir``.
 
-    It goes to the shared folder the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset, as in tests, a fresh local folder is used. The files outlive executors.
+    Only a local session, as in tests, gets one of its own where the setting is missing.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        context.setCheckpointDir(folder)
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    known = context._jsc.sc().getCheckpointDir()
+    return known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, in the shared folder, of a table that many later steps read. It outlives executors."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
