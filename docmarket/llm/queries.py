@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from docmarket.llm import decontamination, mixing, quality_rules, sharding, token_files
+from docmarket.llm import decontamination, mixing, quality_rules, secret_scan, sharding, token_files
 from docmarket.session import new_folder
 
 QUERIES, SQL = {}, {}
@@ -47,6 +47,14 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_report(spark, out)
 
 
+@query
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_secrets(documents(spark, folder).select("doc_id", "text"))
+    spans, base = F.col("secrets"), F.filter("secrets", lambda s: s["kind"] != "entropy")
+    counts = [secret_scan.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
 @query
 def op10_shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder))
