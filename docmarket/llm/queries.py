@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from docmarket.llm import decontamination, mixing, quality_rules, secret_scan, sharding, token_files
+from docmarket.llm import decontamination, mixing, pii, quality_rules, secret_scan, sharding, token_files
 from docmarket.session import new_folder
 
 QUERIES, SQL = {}, {}
@@ -55,6 +55,14 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
 
 
+@query
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, folder).select("doc_id", "text"))
+    base, spans = F.col("base"), F.concat("base", "added")
+    counts = [secret_scan.count_of(base, k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
 @query
 def op10_shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder))
