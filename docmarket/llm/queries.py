@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from docmarket.llm import decontamination, mixing, pii, quality_rules, secret_scan, sharding, token_files
+from docmarket.llm import decontamination, importance, jaccard_join, mixing, pii, quality_rules, secret_scan, sharding, token_files
 from docmarket.session import new_folder
 
 QUERIES, SQL = {}, {}
@@ -21,6 +21,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, folder))
+
+
 @query
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = documents(spark, folder).select("doc_id", "text"), spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -40,6 +45,13 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder)).drop("copies")
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder).select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    out = importance.classify(docs, importance.train_classifier(docs, labels))
+    return out.select("doc_id", F.col("__low").alias("low_weight"), F.col("__toxic").alias("toxic_weight"), F.col("__kept").alias("kept"))
+
+
 @query
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = new_folder(spark, "tokens")
@@ -116,3 +128,16 @@ words AS (SELECT rid, count(DISTINCT k + o) AS n_hit FROM (SELECT DISTINCT rid,
 items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
+
+
+SQL["op1_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, w[i : i + 2] AS t FROM p),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, c.r FROM c JOIN e ON e.x = c.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r) FROM c WHERE c.doc_id = d.doc_id) AS component_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links
+FROM d LEFT JOIN n USING (doc_id)"""
