@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from docmarket.llm import decontamination, importance, jaccard_join, mixing, pii, quality_rules, secret_scan, sharding, token_files
+from docmarket.llm import decontamination, importance, jaccard_join, mixing, pii, quality_rules, secret_scan, sharding, token_counts, token_files
 from docmarket.session import new_folder
 
 QUERIES, SQL = {}, {}
@@ -67,6 +67,15 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
 
 
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Three edits in every document, at a quarter, half and three quarters of its length: 5, 10 and 15 characters give way to a mark with its id."""
+    docs, size = documents(spark, folder), F.coalesce(F.length("text"), F.lit(0))
+    at = lambda k: F.floor(size * k / 4).cast("long")
+    edits = F.array(*[F.struct(at(k).alias("start"), (at(k) + 5 * k).alias("end"), F.concat(F.lit(" [edit "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f".{k}] ")).alias("text")) for k in (3, 2, 1)])
+    return token_counts.count_edited(docs.select("doc_id", "text", edits.alias("edits")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, folder).select("doc_id", "text"))
