@@ -154,7 +154,7 @@ def links_in_group(members: list[tuple[int, int, np.ndarray]], queries: list[tup
     return links, out
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, group_tokens: int = 400_000, id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, group_tokens: int = 1_000_000, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links.
 
     Two documents link when 100 * (common shingles) >= percent * (shingles of either); shingles are
@@ -223,9 +223,15 @@ def _unlinked(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return alone.filter("alone = blocks").select("node")
 
 
+def _small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it has few enough of its short rows; else its join is a shuffled one."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def _sets(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """node, copies, n, family (smallest token hash), tokens and keys of the chosen nodes, from one text of each."""
-    texts = keyed.join(chosen.select("h"), "h", "left_semi").select("text")
+    """node, copies, n, tokens and keys of the chosen nodes, from one text of each."""
+    number = chosen.count()
+    texts = keyed.join(_small(chosen.select("h"), number), "h", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -237,48 +243,63 @@ def _sets(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> Da
                 order = np.argsort(row, kind="stable")
                 keys, row = keys[order], row[order]
                 at = np.searchsorted(row, np.arange(len(nodes) + 1))
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], []]
                 for i, node in enumerate(nodes):
                     if node not in seen and bounds[i] < bounds[i + 1]:
                         seen.add(node)
                         own = hashes[bounds[i] : bounds[i + 1]]
-                        for column, value in zip(out, (node, int(mix(own).min().astype(np.int64)), own.astype(np.int64), keys[at[i] : at[i + 1]])):
+                        for column, value in zip(out, (node, own.astype(np.int64), keys[at[i] : at[i + 1]])):
                             column.append(value)
                 long = pa.int64()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], long), pa.array(out[1], long), pa.array(out[2], pa.list_(long)), pa.array(out[3], pa.list_(long))], ["node", "family", "tokens", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], long), pa.array(out[1], pa.list_(long)), pa.array(out[2], pa.list_(long))], ["node", "tokens", "keys"])
 
-    sets = texts.mapInArrow(run, "node bigint, family bigint, tokens array<bigint>, keys array<bigint>")
-    return sets.join(chosen.select("node", "copies", "n"), "node")
+    sets = texts.mapInArrow(run, "node bigint, tokens array<bigint>, keys array<bigint>")
+    return sets.join(_small(chosen.select("node", "copies", "n"), number), "node")
 
 
-def _in_groups(sets: DataFrame, group_tokens: int) -> DataFrame:
-    """Add ``gid``: similar nodes (one smallest token hash) together, about ``group_tokens`` tokens, never much over twice that."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
+def _in_groups(sizes: DataFrame, entries: DataFrame, group_tokens: int) -> DataFrame:
+    """(node, gid, split): similar nodes together, about ``group_tokens`` tokens a group.
+
+    Similar are nodes that blocks connect, directly or through others, so no block leads out of such a
+    family. Small families share a group; a family of more than twice ``group_tokens`` is split. Two
+    groups whose hashed number is the same are one larger group, which changes no result.
+    """
+    least = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
+    edges = entries.join(least.select("key", "first"), "key").filter("node <> first").select("node", "first").distinct()
+    families = sizes.join(connected(edges.toDF("a", "b")), "node", "left").select("node", "n", F.coalesce("root", "node").alias("family"))
+    # Large families stand alone, in as many groups as they need; the others are dealt to buckets whole.
+    large = families.groupBy("family").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > 2 * group_tokens)
+    large = cut_lineage(large.select("family", F.ceil(F.col("tokens") / group_tokens).alias("parts")))
+    families = families.join(_small(large, large.count()), "family", "left")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // group_tokens))
-    sets = sets.withColumn("bucket", F.pmod("family", F.lit(buckets)))
-    parts = sets.groupBy("bucket").agg(F.ceil(F.sum("n") / (2 * group_tokens)).cast("long").alias("parts"))
-    gid = F.col("bucket") * F.lit(1 << 30) + F.pmod(F.xxhash64("node"), F.col("parts"))
-    return sets.join(parts, "bucket").withColumn("gid", gid).drop("bucket", "parts", "family")
+    split = F.col("parts").isNotNull()
+    gid = F.when(split, F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("family"), F.lit(buckets)))
+    return families.select("node", gid.alias("gid"), split.alias("split"))
 
 
 def _held_against_groups(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int, group_tokens: int) -> DataFrame:
     """Links and joining edges of all chosen nodes: node, other (null where there is no edge), links."""
-    sets = cut_lineage(_in_groups(_sets(keyed, chosen, shingle, percent), group_tokens))
-    # The matrix: which groups hold a block. A node opens the groups after its own that hold one of its blocks.
-    entries = sets.select("node", "gid", F.explode("keys").alias("key"))
+    sets = cut_lineage(_sets(keyed, chosen, shingle, percent))
+    entries = sets.select("node", F.explode("keys").alias("key"))
+    placed = cut_lineage(_in_groups(sets.select("node", "n"), entries, group_tokens))
+    number = placed.count()
+    sets = sets.join(_small(placed, number), "node")
+    # The matrix: which groups hold a block, where families are split. A node opens the groups after its own that hold one of its blocks.
+    entries = sets.filter("split").select("node", "gid", F.explode("keys").alias("key"))
     matrix = entries.select("key", F.col("gid").alias("group")).distinct()
-    wide = matrix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    matrix = matrix.join(wide, "key", "left_semi")
-    opened = entries.join(matrix, "key").filter("group > gid").select("node", "group").distinct()
+    wide = matrix.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key")
+    entries = entries.join(wide, "key", "left_semi")
+    opened = entries.join(matrix.join(wide, "key", "left_semi"), "key").filter("group > gid").select("node", "group").distinct()
     opened = cut_lineage(opened.join(sets.select("node", "n"), "node"))
     parts = opened.groupBy("group").agg(F.ceil(F.sum("n") / group_tokens).cast("int").alias("parts"))
     queries = opened.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int") + 1).select("node", "group", "part")
     queries = queries.join(sets.select("node", "copies", "tokens"), "node").select("group", "part", F.lit(True).alias("asks"), "node", "copies", "tokens")
-    # Part 0 of a group holds its members against each other; each other part brings some queries to all members.
+    # Part 0 of a group holds its members against each other; each other part brings some queries to the members that hold a block of another group.
     places = parts.select("group", F.explode(F.sequence(F.lit(1), "parts")).alias("part"))
     members = sets.select(F.col("gid").alias("group"), "node", "copies", "tokens")
     own = members.withColumn("part", F.lit(0))
-    brought = members.join(places, "group")
+    brought = members.join(entries.select("node").distinct(), "node", "left_semi").join(places, "group")
     columns = ["group", "part", F.lit(False).alias("asks"), "node", "copies", "tokens"]
     rows = own.select(*columns).unionByName(brought.select(*columns)).unionByName(queries)
 
