@@ -223,7 +223,7 @@ def _unlinked(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return alone.filter("alone = blocks").select("node")
 
 
-def _small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+def _small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """``df``, to be broadcast if it has few enough of its short rows; else its join is a shuffled one."""
     return F.broadcast(df) if rows <= most else df
 
@@ -265,8 +265,13 @@ def _in_groups(sizes: DataFrame, entries: DataFrame, group_tokens: int) -> DataF
     groups whose hashed number is the same are one larger group, which changes no result.
     """
     least = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    edges = entries.join(least.select("key", "first"), "key").filter("node <> first").select("node", "first").distinct()
-    families = sizes.join(connected(edges.toDF("a", "b")), "node", "left").select("node", "n", F.coalesce("root", "node").alias("family"))
+    edges = cut_lineage(entries.join(least.select("key", "first"), "key").filter("node <> first").select("node", "first").distinct())
+    # Every node first goes to its smallest neighbour; only what joins two such stars is left for the rounds of `connected`.
+    star = cut_lineage(sizes.join(edges.groupBy("node").agg(F.min("first").alias("star")), "node", "left").select("node", "n", F.coalesce("star", "node").alias("star")))
+    number = star.count()
+    ends = edges.join(_small(star.select("node", F.col("star").alias("a")), number), "node").join(_small(star.select(F.col("node").alias("first"), F.col("star").alias("b")), number), "first")
+    roots = connected(ends.filter("a <> b").select("a", "b").distinct())
+    families = star.join(roots.select(F.col("node").alias("star"), "root"), "star", "left").select("node", "n", F.coalesce("root", "star").alias("family"))
     # Large families stand alone, in as many groups as they need; the others are dealt to buckets whole.
     large = families.groupBy("family").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > 2 * group_tokens)
     large = cut_lineage(large.select("family", F.ceil(F.col("tokens") / group_tokens).alias("parts")))
@@ -321,10 +326,13 @@ def connected(edges: DataFrame, most: int = 200) -> DataFrame:
     """
     both = cut_lineage(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
     labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    number = labels.count()
+    if not number:
+        return labels
     for _ in range(most):
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        near = both.join(_small(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), number), "other").groupBy("node").agg(F.min("near").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", "old", F.least("root", "far").alias("root"))
+        jump = step.join(_small(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), number), "root").select("node", "old", F.least("root", "far").alias("root"))
         jump = cut_lineage(jump)
         labels = jump.select("node", "root")
         if jump.filter("old <> root").isEmpty():
