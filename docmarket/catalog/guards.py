@@ -161,7 +161,7 @@ def h15(spark, sf):
 RANK_SQL = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY " + ", ".join(f"{k[1:]} ASC" if k.startswith("-") else f"{k} DESC" for k in J.RANK_KEYS) + ", key) AS rank FROM cand)"
 
 
-@query("J1_rank_candidates", f"WITH {CAND_SQL}, {RANK_SQL} SELECT query_id, key, rank FROM ranked WHERE rank <= 140")
+@query("J1_rank_candidates", f"WITH {CAND_SQL}, {RANK_SQL} SELECT query_id, key, rank FROM ranked")
 def j1(spark, sf):
     return J.rank_candidates(cand(spark, sf), "key").select("query_id", "key", "rank")
 
@@ -193,11 +193,10 @@ def j2(spark, sf):
 @query(
     "J2_cap_per_company",
     f"""WITH {CAND_SQL}, {RANK_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, company ORDER BY rank) AS k FROM ranked)
-    SELECT query_id, key, position FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM c WHERE k <= 2 AND rank <= 500) WHERE position <= 15""",
+    SELECT query_id, key, position FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM c WHERE k <= 2) WHERE position <= 15""",
 )
 def j2_cap(spark, sf):
-    ranked = J.rank_candidates(cand(spark, sf), "key", 500)
-    return J.cap_per_company(ranked, 2, 15).select("query_id", "key", "position")
+    return J.cap_per_company(cand(spark, sf), 2, 15, J.rank_order("key")).select("query_id", "key", "position")
 
 
 @query(
@@ -272,9 +271,9 @@ def j8(spark, sf):
 
 @query(
     "J9_cap_per_group",
-    f"""WITH {CAND_SQL}, {RANK_SQL}, c AS (SELECT query_id, key, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM ranked WHERE source <> 'adzuna' AND rank <= 300)
+    f"""WITH {CAND_SQL}, {RANK_SQL}, c AS (SELECT query_id, key, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM ranked WHERE source <> 'adzuna')
     SELECT query_id, key, position FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM c WHERE k <= 4) WHERE position <= 12""",
 )
 def j9(spark, sf):
-    ranked = J.rank_candidates(cand(spark, sf), "key", 300).withColumn("source", F.when(F.col("source") != "adzuna", F.col("source")).otherwise(""))
-    return J.cap_per_group(ranked, "source", 4, 12).select("query_id", "key", "position")
+    rows = cand(spark, sf).withColumn("source", F.when(F.col("source") != "adzuna", F.col("source")).otherwise(""))
+    return J.cap_per_group(rows, "source", 4, 12, J.rank_order("key")).select("query_id", "key", "position")

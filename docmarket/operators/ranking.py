@@ -24,28 +24,19 @@ def first_per_key(df: DataFrame, keys: Sequence, order: Sequence[Column]) -> Dat
     return top_per_group(df, keys, order, 1)
 
 
-def with_group_size(df: DataFrame, keys: Sequence[str], name: str, hot: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Add the number of rows of a row's group, without a window over the group.
+def with_group_size(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Add the number of rows of a row's group, without a window over the group. Null keys are a group too.
 
-    Sizes come from a partially aggregated count. Only groups of two or more are
-    joined back. Groups above ``hot`` rows (never more than rows/hot of them, so
-    the list stays small) are joined on a salted key, the others as they are.
+    Sizes come from a partially aggregated count, and only groups of two or more are joined back. A
+    group with very many rows is on one side of the join only, so its partition can be split at run time.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
-    # The size decides how many salts a key is copied to; the row side draws one of
-    # `salts` from its own content, and cold keys answer to every salt.
-    spread = sizes.filter(F.col(name) > hot).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    flat = sizes.filter(F.col(name) <= hot).withColumn("__salt", F.lit(-1))
-    hot_keys = sizes.filter(F.col(name) > hot).select(*keys, F.lit(True).alias("__hot"))
-    marked = df.join(hot_keys, list(keys), "left")
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if not _is_map(df, c)]), F.lit(salts)).cast("int")
-    marked = marked.withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(-1)))
-    joined = marked.join(spread.unionByName(flat), [*keys, "__salt"], "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit(1).cast("bigint"))).drop("__salt", "__hot")
-
-
-def _is_map(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() == "map"
+    sizes = sizes.select(F.col(name).alias("__size"), *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(F.col(f"__key{i}"))
+    joined = df.join(sizes, same, "left").drop(*[f"__key{i}" for i in range(len(keys))])
+    return joined.withColumn(name, F.coalesce("__size", F.lit(1).cast("bigint"))).drop("__size")
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, payload: Sequence[str], bucket: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docmarket import lexicons as X
 from docmarket.functions import text as T
@@ -17,14 +17,21 @@ RANK_KEYS = (
     "skill_overlap", "role_fit", "market_quality",
 )
 BASE_CAPS = {"remoteok": 2, "arbeitnow": 1, "greenhouse": 5, "lever": 5, "remotive": 4, "jobicy": 4, "themuse": 4, "jooble": 4, "adzuna": 4}
-OTHER_CAP, SELECTION_MAX, CANDIDATE_LIMIT = 3, 15, 140
+OTHER_CAP, SELECTION_MAX = 3, 15
 # ------------------------------------------------------------------------------
 
 
-def rank_candidates(cand: DataFrame, tie: str, k: int = CANDIDATE_LIMIT, keys: Sequence[str] = RANK_KEYS) -> DataFrame:
-    """The ``k`` best rows per query by twelve keys, descending; a last key makes ties stable."""
-    order = [F.asc(key[1:]) if key.startswith("-") else F.desc(key) for key in keys]
-    return top_per_group(cand, ["query_id"], [*order, F.asc(tie)], k, "rank")
+def rank_order(tie: str, keys: Sequence[str] = RANK_KEYS) -> list[Column]:
+    """The order of candidates: twelve keys, descending unless named with a minus; a last key makes ties stable."""
+    return [*(F.asc(key[1:]) if key.startswith("-") else F.desc(key) for key in keys), F.asc(tie)]
+
+
+def rank_candidates(cand: DataFrame, tie: str, k: int | None = None, keys: Sequence[str] = RANK_KEYS) -> DataFrame:
+    """All rows of a query with their rank; with ``k`` its best ``k`` rows, cut before the shuffle."""
+    order = rank_order(tie, keys)
+    if k is None:
+        return cand.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return top_per_group(cand, ["query_id"], order, k, "rank")
 
 
 def source_cap(source: Column, target: Column, sources: Column, limit: Column) -> Column:
@@ -34,10 +41,9 @@ def source_cap(source: Column, target: Column, sources: Column, limit: Column) -
     return F.greatest(base, F.least(limit, even))
 
 
-def cap_per_company(ranked: DataFrame, cap: int, limit: int) -> DataFrame:
-    """At most ``cap`` rows per query and company, then the first ``limit`` by rank."""
-    capped = top_per_group(ranked, ["query_id", "company"], [F.asc("rank")], cap)
-    return top_per_group(capped, ["query_id"], [F.asc("rank")], limit, "position")
+def cap_per_company(cand: DataFrame, cap: int, limit: int, order: Sequence[Column]) -> DataFrame:
+    """At most ``cap`` rows per query and company, then the first ``limit``, both in ``order``."""
+    return top_per_group(top_per_group(cand, ["query_id", "company"], order, cap), ["query_id"], order, limit, "position")
 
 
 @dataclass(frozen=True)
@@ -108,16 +114,16 @@ def select_diverse(ranked: DataFrame, queries: DataFrame, waves: Sequence[Wave]
     return out.select("query_id", (F.col("pos") + 1).alias("position"), "x.wave", "x.rank", "x.key", "x.source", "x.company")
 
 
-def fill_to_floor(selected: DataFrame, safe: DataFrame, floors: DataFrame, tie: str, max_floor: int = SELECTION_MAX) -> DataFrame:
+def fill_to_floor(selected: DataFrame, safe: DataFrame, floors: DataFrame, tie: str) -> DataFrame:
     """Append safe rows to queries under their floor, if the query has enough safe rows.
 
-    selected and safe: query_id, key; floors: query_id, floor (at most ``max_floor``).
+    selected and safe: query_id, key; floors: query_id, floor.
     """
     size = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
     short = floors.join(size(selected, "n"), ["query_id"], "left").join(size(safe, "n_safe"), ["query_id"], "left").fillna(0, ["n", "n_safe"])
     short = short.filter((F.col("n") < F.col("floor")) & (F.col("n_safe") >= F.col("floor"))).select("query_id", (F.col("floor") - F.col("n")).alias("missing"))
     spare = first_per_key(safe.join(short, ["query_id"]), ["query_id", "key"], [F.asc(tie)]).join(selected.select("query_id", "key"), ["query_id", "key"], "left_anti")
-    added = top_per_group(spare, ["query_id"], [F.asc(tie)], max_floor, "__n").filter(F.col("__n") <= F.col("missing"))
+    added = spare.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc(tie)))).filter(F.col("__n") <= F.col("missing"))
     return selected.select("query_id", "key", F.lit(False).alias("filled")).unionByName(added.select("query_id", "key", F.lit(True).alias("filled")))
 
 
@@ -161,7 +167,7 @@ def nearest_location_pool(cand: DataFrame, tier: Column) -> DataFrame:
     return tiered.join(best, ["query_id", "__tier"], "left_semi").drop("__tier")
 
 
-def cap_per_group(ranked: DataFrame, group: str, cap: int, n: int) -> DataFrame:
+def cap_per_group(cand: DataFrame, group: str, cap: int, n: int, order: Sequence[Column]) -> DataFrame:
     """At most ``cap`` rows per query and group, then the best ``n``; rows without a group are left out."""
-    capped = top_per_group(ranked.filter(F.coalesce(group, F.lit("")) != ""), ["query_id", group], [F.asc("rank")], cap)
-    return top_per_group(capped, ["query_id"], [F.asc("rank")], n, "position")
+    capped = top_per_group(cand.filter(F.coalesce(group, F.lit("")) != ""), ["query_id", group], order, cap)
+    return top_per_group(capped, ["query_id"], order, n, "position")

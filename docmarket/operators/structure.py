@@ -351,12 +351,6 @@ def header_signals(lines: DataFrame, doc_id: str, headers: Headers, inline: bool
     )
 
 
-def section_leakage(lines: DataFrame, doc_id: str, education: str = EDUCATION_WORDS, work: str = WORK_WORDS) -> DataFrame:
-    """One point for education words in experience, one for work words in education."""
-    hit = lambda section, words: F.max(((F.col("section") == section) & F.col("line").rlike("(?iU)" + words)).cast("int"))
-    return lines.groupBy(doc_id).agg((hit("experience", education) + hit("education", work)).alias("section_leakage_count"))
-
-
 DATE_TOKEN = rf"(?:{T.MONTH_NAME})\s+\d{{4}}|\d{{1,2}}/\d{{4}}|\d{{4}}"
 DATE_RANGE = rf"(?i)({DATE_TOKEN})\s*(?:-|to)\s*(present|current|now|{DATE_TOKEN})"
 

@@ -71,7 +71,7 @@ def guard_inputs(annotated: DataFrame, flags: DataFrame, roles: RoleLexicon) ->
     )
 
 
-def search_listings(listings: DataFrame, queries: DataFrame, terms: DataFrame, roles: RoleLexicon, candidate_limit: int = J.CANDIDATE_LIMIT) -> tuple[DataFrame, DataFrame]:
+def search_listings(listings: DataFrame, queries: DataFrame, terms: DataFrame, roles: RoleLexicon, candidate_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected, candidates): candidates scored and gated per query, then selected under the diversity caps.
 
     listings: query_id, listing_id, source, company, title, description, tags, location, remote

@@ -36,7 +36,7 @@ def plan(spark, name):
     return queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["A5_lookup_live", "I1_dedupe_listings", "J1_rank_candidates", "L7_bucket_gap_report"])
+@pytest.mark.parametrize("name", ["A5_lookup_live", "I1_dedupe_listings", "J2_cap_per_company", "L7_bucket_gap_report"])
 def test_top_k_is_cut_before_the_shuffle(spark, name):
     text = plan(spark, name)
     assert re.search(r"WindowGroupLimit .*Partial", text), name

@@ -52,10 +52,22 @@ def test_select_diverse_equals_sequential_scan(spark):
 
 
 def test_group_size_with_hot_group(spark):
-    df = spark.range(0, 1000).select("id", F.when(F.col("id") < 700, "hot").otherwise(F.col("id").cast("string")).alias("k"))
-    got = ranking.with_group_size(df, ["k"], "n", hot=100, salts=8)
+    df = spark.range(0, 1000).select("id", F.when(F.col("id") < 700, "hot").when(F.col("id") < 998, F.col("id").cast("string")).alias("k"))
+    got = ranking.with_group_size(df, ["k"], "n")
     assert got.count() == 1000
-    assert {(r["k"] == "hot", r["n"]) for r in got.collect()} == {(True, 700), (False, 1)}
+    assert {(r["k"] == "hot", r["n"]) for r in got.collect()} == {(True, 700), (False, 1), (False, 2)}
+
+
+def test_all_candidates_are_ranked(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("query_id"), F.col("id").alias("key"), *[(F.col("id") % 7).alias(k.lstrip("-")) for k in J.RANK_KEYS])
+    assert [r["rank"] for r in J.rank_candidates(rows, "key").orderBy("rank").collect()] == list(range(1, 5001))
+
+
+def test_floor_above_fifteen_is_filled(spark):
+    selected = spark.createDataFrame([(1, 100)], "query_id int, key int")
+    safe = spark.range(30).select(F.lit(1).alias("query_id"), F.col("id").cast("int").alias("key"))
+    floors = spark.createDataFrame([(1, 20)], "query_id int, floor int")
+    assert J.fill_to_floor(selected, safe, floors, "key").count() == 20
 
 
 def test_near_duplicates_keep_exempt_rows(spark):
