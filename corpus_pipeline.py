@@ -27,9 +27,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without an id cannot be told apart and stay; of rows that repeat an id one stays.
     """
-    groups = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    groups = cut_lineage(jaccard_join.jaccard_components(docs, shingle=5, percent=80))
+    first = cut_lineage(groups.filter("doc_id = component_id").groupBy("doc_id").count())
+    number = first.count()
+    held = lambda rows: docs.join(jaccard_join.small(first.filter(rows).select("doc_id"), number), "doc_id", "left_semi")
+    kept = held("count = 1").unionByName(held("count > 1").dropDuplicates(["doc_id"]))
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 

@@ -223,7 +223,7 @@ def _unlinked(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return alone.filter("alone = blocks").select("node")
 
 
-def _small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """``df``, to be broadcast if it has few enough of its short rows; else its join is a shuffled one."""
     return F.broadcast(df) if rows <= most else df
 
@@ -231,7 +231,7 @@ def _small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 def _sets(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, copies, n, tokens and keys of the chosen nodes, from one text of each."""
     number = chosen.count()
-    texts = keyed.join(_small(chosen.select("h"), number), "h", "left_semi").select("text")
+    texts = keyed.join(small(chosen.select("h"), number), "h", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -254,7 +254,7 @@ def _sets(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], long), pa.array(out[1], pa.list_(long)), pa.array(out[2], pa.list_(long))], ["node", "tokens", "keys"])
 
     sets = texts.mapInArrow(run, "node bigint, tokens array<bigint>, keys array<bigint>")
-    return sets.join(_small(chosen.select("node", "copies", "n"), number), "node")
+    return sets.join(small(chosen.select("node", "copies", "n"), number), "node")
 
 
 def _in_groups(sizes: DataFrame, entries: DataFrame, group_tokens: int) -> DataFrame:
@@ -269,13 +269,13 @@ def _in_groups(sizes: DataFrame, entries: DataFrame, group_tokens: int) -> DataF
     # Every node first goes to its smallest neighbour; only what joins two such stars is left for the rounds of `connected`.
     star = cut_lineage(sizes.join(edges.groupBy("node").agg(F.min("first").alias("star")), "node", "left").select("node", "n", F.coalesce("star", "node").alias("star")))
     number = star.count()
-    ends = edges.join(_small(star.select("node", F.col("star").alias("a")), number), "node").join(_small(star.select(F.col("node").alias("first"), F.col("star").alias("b")), number), "first")
+    ends = edges.join(small(star.select("node", F.col("star").alias("a")), number), "node").join(small(star.select(F.col("node").alias("first"), F.col("star").alias("b")), number), "first")
     roots = connected(ends.filter("a <> b").select("a", "b").distinct())
     families = star.join(roots.select(F.col("node").alias("star"), "root"), "star", "left").select("node", "n", F.coalesce("root", "star").alias("family"))
     # Large families stand alone, in as many groups as they need; the others are dealt to buckets whole.
     large = families.groupBy("family").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > 2 * group_tokens)
     large = cut_lineage(large.select("family", F.ceil(F.col("tokens") / group_tokens).alias("parts")))
-    families = families.join(_small(large, large.count()), "family", "left")
+    families = families.join(small(large, large.count()), "family", "left")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // group_tokens))
     split = F.col("parts").isNotNull()
@@ -289,7 +289,7 @@ def _held_against_groups(keyed: DataFrame, chosen: DataFrame, shingle: int, perc
     entries = sets.select("node", F.explode("keys").alias("key"))
     placed = cut_lineage(_in_groups(sets.select("node", "n"), entries, group_tokens))
     number = placed.count()
-    sets = sets.join(_small(placed, number), "node")
+    sets = sets.join(small(placed, number), "node")
     # The matrix: which groups hold a block, where families are split. A node opens the groups after its own that hold one of its blocks.
     entries = sets.filter("split").select("node", "gid", F.explode("keys").alias("key"))
     matrix = entries.select("key", F.col("gid").alias("group")).distinct()
@@ -330,9 +330,9 @@ def connected(edges: DataFrame, most: int = 200) -> DataFrame:
     if not number:
         return labels
     for _ in range(most):
-        near = both.join(_small(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), number), "other").groupBy("node").agg(F.min("near").alias("near"))
+        near = both.join(small(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), number), "other").groupBy("node").agg(F.min("near").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.join(_small(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), number), "root").select("node", "old", F.least("root", "far").alias("root"))
+        jump = step.join(small(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), number), "root").select("node", "old", F.least("root", "far").alias("root"))
         jump = cut_lineage(jump)
         labels = jump.select("node", "root")
         if jump.filter("old <> root").isEmpty():
