@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix: exact links, their counts and connected components.
 
-Documents with one shingle set are one node. Nodes that can have a link at all are put into groups of
-similar nodes of bounded size; a group stores the union of its members' tokens. A query node opens a
+Documents with one shingle set are one node. Nodes that can have a link at all, by how many of their
+tokens no other node has, are put into groups of similar nodes of bounded size; a group stores the union of its members' tokens. A query node opens a
 group only if its overlap with that union is large enough for any member.
 
 Which groups a node must be held against is found by blocks: for sets that may differ in at most D
@@ -181,7 +181,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, gro
     documents = cut_lineage(keyed.mapInArrow(profile, f"id {kind}, h bigint, node bigint, n bigint"))
     nodes = documents.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min("h").alias("h"))
     nodes = cut_lineage(nodes)
-    chosen = cut_lineage(nodes.join(_unlinked(rows.select("text"), shingle, percent), "node", "left_anti"))
+    own = nodes.join(_unshared(rows.select("text"), shingle, percent), "node", "left")
+    chosen = cut_lineage(own.filter(100 * F.coalesce("unshared", F.lit(0)) <= (100 - percent) * F.col("n")).drop("unshared"))
     found = cut_lineage(_held_against_groups(keyed, chosen, shingle, percent, group_tokens))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -193,8 +194,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, gro
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def _blocks(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(key, node, blocks) of every distinct set a task meets; ``blocks`` is how many keys the node has."""
+def _unshared(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, unshared): how many of a node's tokens in one fixed part of the hash space no other node has.
+
+    A set may hold at most (100 - percent) % tokens that a linked set has not, wherever their hashes lie.
+    So a node with more unshared tokens than that in any part of the hash space has no link at all. The
+    part is twice as wide as this bound: a text without a link drops out unless half of it is in others.
+    """
+    part = np.uint64(min(2 * (100 - percent) + 1, 100) * (_ALL // 100))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # one number for each of the task's own documents
@@ -207,20 +214,12 @@ def _blocks(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                     if node not in seen:
                         seen.add(node)
                         fresh[i] = True
-                keys, row = block_keys(hashes, bounds, percent)
-                keep = fresh[row] if len(row) else np.zeros(0, bool)
-                keys, row = keys[keep], row[keep]
-                number = np.bincount(row, minlength=len(nodes))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes[row], pa.int64()), pa.array(number[row], pa.int32())], ["key", "node", "blocks"])
-
-    return texts.select("text").mapInArrow(run, "key bigint, node bigint, blocks int")
-
+                row = np.repeat(np.arange(len(nodes)), np.diff(bounds))
+                keep = fresh[row] & (mix(hashes + np.uint64(11)) < part)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].astype(np.int64)), pa.array(nodes[row[keep]], pa.int64())], ["token", "node"])
 
-def _unlinked(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Nodes that share no block with another node: every key they give is met with no other node."""
-    keys = _blocks(texts, shingle, percent).groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.max("blocks").alias("blocks"))
-    alone = keys.filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"), F.max("blocks").alias("blocks"))
-    return alone.filter("alone = blocks").select("node")
+    tokens = texts.select("text").mapInArrow(run, "token bigint, node bigint").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return tokens.filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("unshared"))
 
 
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
