@@ -21,29 +21,26 @@ def is_live(now: Column, until: str = "cached_until") -> Column:
     return F.col(until).isNull() | (F.col(until) > now)
 
 
-def _newest(hits: DataFrame, tie: str, max_limit: int) -> DataFrame:
-    # The literal bound lets Spark cut each group before the shuffle; a query that
-    # asks for more than the bound fails instead of being cut short.
-    asked = F.when(F.col("limit") <= max_limit, F.col("limit")).otherwise(
-        F.raise_error(F.lit("limit above max_limit; raise max_limit")).cast("int")
-    )
-    ranked = top_per_group(hits, ["query_id"], [F.desc("last_seen_at"), F.asc(tie)], max_limit, "rank")
-    return ranked.filter(F.col("rank") <= asked)
+def _newest(live: DataFrame, queries: DataFrame, on: Sequence[str], tie: str) -> DataFrame:
+    # The order does not depend on the query: groups are cut to the largest limit any query
+    # asks for, before the join, so the join has at most that many rows per query.
+    most = queries.agg(F.max("limit")).first()[0] or 0
+    hits = top_per_group(live, on, [F.desc("last_seen_at"), F.asc(tie)], most, "rank").join(queries, list(on))
+    return hits.filter(F.col("rank") <= F.col("limit")).select(*[c for c in hits.columns if c != "rank"], "rank")
+
 
+def lookup_live(listings: DataFrame, queries: DataFrame, now: Column, tie: str = "external_id") -> DataFrame:
+    """Live listings per query with the same role and location, newest first, as many as its ``limit``.
 
-def lookup_live(listings: DataFrame, queries: DataFrame, now: Column, tie: str = "external_id", max_limit: int = CANDIDATE_LIMIT) -> DataFrame:
-    """Live listings per query with the same role and location, newest first."""
-    hits = listings.filter(is_live(now)).join(queries, ["normalized_role", "location_query"])
-    return _newest(hits, tie, max_limit)
+    ``queries`` has one row per query; a null limit gives no rows.
+    """
+    return _newest(listings.filter(is_live(now)), queries, ["normalized_role", "location_query"], tie)
 
 
-def lookup_live_any_location(
-    listings: DataFrame, queries: DataFrame, now: Column, tie: str = "external_id", max_limit: int = 6 * CANDIDATE_LIMIT
-) -> DataFrame:
-    """As :func:`lookup_live` without the location, for a wider sample."""
+def lookup_live_any_location(listings: DataFrame, queries: DataFrame, now: Column, tie: str = "external_id") -> DataFrame:
+    """As :func:`lookup_live` without the location, for a wider sample: six times the limit, 140 at least."""
     wide = queries.drop("location_query").withColumn("limit", F.greatest(F.col("limit") * 6, F.lit(CANDIDATE_LIMIT)))
-    hits = listings.filter(is_live(now)).join(wide, ["normalized_role"])
-    return _newest(hits, tie, max_limit)
+    return _newest(listings.filter(is_live(now)), wide, ["normalized_role"], tie)
 
 
 def upsert_listings(

@@ -108,3 +108,12 @@ def test_overlap_join_equals_brute_force(spark):
     got = {(r["l"], r["r"]) for r in D.overlap_join(spark.createDataFrame(left, "l int, t string"), spark.createDataFrame(right, "r int, t string"), "l", "r", "t", 0.6, 100).collect()}
     want = {(a, b) for a, s in left for b, u in right if len(set(s.split()) & set(u.split())) / len(set(u.split())) >= 0.6 - 1e-9}
     assert got == want
+
+
+def test_lookup_takes_any_limit_and_cuts_before_the_join(spark):
+    live = spark.range(400).selectExpr("id AS external_id", "'r' AS normalized_role", "'l' AS location_query", "timestamp_seconds(id % 200) AS last_seen_at", "CAST(NULL AS TIMESTAMP) AS cached_until")
+    asked = spark.sql("SELECT * FROM VALUES (1, 'r', 'l', 300), (2, 'r', 'l', 3), (3, 'r', 'l', CAST(NULL AS INT)) AS t(query_id, normalized_role, location_query, limit)")
+    out = L.lookup_live(live, asked, F.lit("2024-01-01").cast("timestamp"))
+    assert {r["query_id"]: r["n"] for r in out.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 300, 2: 3}
+    assert [r["external_id"] for r in out.filter("query_id = 2").orderBy("rank").collect()] == [199, 399, 198]
+    assert L.lookup_live(live, asked.limit(0), F.current_timestamp()).count() == 0
