@@ -46,15 +46,16 @@ def windows_of(text: Column, size: int = MAX_GRAM) -> Column:
     )
 
 
-def term_hits(df: DataFrame, keys: Sequence, text: Column, lexicon: DataFrame, size: int = MAX_GRAM) -> DataFrame:
-    """One row per occurrence of a lexicon surface: keys, pos (token position), term.
+def term_hits(df: DataFrame, keys: Sequence, text: Column, lexicon: DataFrame) -> DataFrame:
+    """One row per occurrence of a lexicon surface of any length: keys, pos (token position), term.
 
     Tokens are joined to the lexicon on the surface's first token and the rest is compared
     in the join condition, so a text gives one row per token, not one per n-gram, and with
     a broadcast lexicon nothing is shuffled before the hits are found.
     """
-    spread = T.explode_once(df, keys, windows_of(text, size), "w", "pos").withColumn("first", F.get("w", 0))
     lex = lexicon_frame(lexicon)
+    longest = lex.agg(F.max(F.size("grams"))).first()[0] or 1
+    spread = T.explode_once(df, keys, windows_of(text, longest), "w", "pos").withColumn("first", F.get("w", 0))
     same = (spread["first"] == lex["first"]) & (F.slice(spread["w"], F.lit(1), F.size(lex["grams"])) == lex["grams"])
     return spread.join(lex, same).drop("w", "first", "grams")
 

@@ -117,3 +117,12 @@ def test_lookup_takes_any_limit_and_cuts_before_the_join(spark):
     assert {r["query_id"]: r["n"] for r in out.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 300, 2: 3}
     assert [r["external_id"] for r in out.filter("query_id = 2").orderBy("rank").collect()] == [199, 399, 198]
     assert L.lookup_live(live, asked.limit(0), F.current_timestamp()).count() == 0
+
+
+def test_a_surface_of_six_words_is_found(spark):
+    from docmarket.operators.terms import match_terms
+
+    lexicon = spark.sql("SELECT * FROM VALUES ('very deep neural network model training', 'long'), ('neural network', 'short') AS t(surface, term)")
+    text = spark.sql("SELECT 1 AS id, 'We do very deep neural network model training daily' AS text")
+    assert sorted(tuple(r) for r in match_terms(text, ["id"], "text", lexicon).collect()) == [(1, "long", 1, 2), (1, "short", 1, 4)]
+    assert match_terms(text, ["id"], "text", lexicon.limit(0)).count() == 0
