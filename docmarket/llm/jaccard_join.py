@@ -5,8 +5,8 @@ tokens no other node has, are put into groups of similar nodes of bounded size;
 group only if its overlap with that union is large enough for any member.
 
 Which groups a node must be held against is found by blocks: for sets that may differ in at most D
-tokens, tokens are dealt by hash into D + 1 blocks, so two linked sets agree in at least one whole
-block. D follows from the sizes; sizes are cut into classes such that linked sets lie in one class or
+tokens, tokens are dealt by hash into more than D blocks, so two linked sets agree in at least one whole
+block; a set with too few blocks that hold tokens is dealt again to more. D follows from the sizes; sizes are cut into classes such that linked sets lie in one class or
 in neighbouring ones. A passage that many texts share puts few whole blocks in common, so no list of
 the texts with a frequent token is ever joined with itself.
 """
@@ -27,6 +27,8 @@ from docmarket.session import cut_lineage
 
 GOLDEN = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
+#: How often a row is dealt to blocks before each of its tokens is a block.
+DEALS = 12
 
 
 @lru_cache(maxsize=4)
@@ -59,43 +61,48 @@ def node_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def block_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all blocks, with the row of each. A row gives the blocks of its class and of the next.
+    """Keys of all blocks that hold tokens, with the row of each. A row gives the blocks of its class and of the next.
 
-    A row with more empty blocks than it can spare gives keys for these as well, which only rows of
-    that kind can share.
+    An empty block says nothing, so it has no key. A row whose full blocks are no more than the tokens it
+    may differ in from a linked one is dealt again to somewhat more blocks, and so on, up to one block a
+    token. Of two linked rows the one that ends first has a full block that no difference touches, and the
+    other has been dealt the same way that far.
     """
     counts = np.diff(bounds)
     low = size_classes(percent)
     keys, rows = [], []
-    some = np.flatnonzero(counts)
+    every = np.repeat(np.arange(len(counts)), counts)
     for up in (0, 1):
         scheme = np.searchsorted(low, counts, side="right") - 1 + up
         spare = (100 - percent) * 2 * (low[scheme + 1] - 1) // (100 + percent)  # most tokens that linked sets differ in
-        blocks = spare + 1
-        row = np.repeat(np.arange(len(counts)), counts)
-        slot = (mix(hashes + np.uint64(7)) % blocks[row].astype(np.uint64)).astype(np.int64)
-        # Sums of token hashes by (row, slot), in order of the slots.
-        first = np.concatenate(([0], np.cumsum(blocks[some])))
-        place = np.zeros(len(counts), dtype=np.int64)
-        place[some] = first[:-1]
-        at = place[row] + slot
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-        if not len(starts):
-            continue
-        total = np.add.reduceat(mix(hashes[order] ^ np.uint64(0x5BE0CD19137E2179)), starts)
-        number = at[starts]
-        owner = row[order][starts]
-        salt = mix(scheme[owner].astype(np.uint64) * np.uint64(GOLDEN) + (number - place[owner]).astype(np.uint64))
-        keys.append(mix(total ^ salt))
-        rows.append(owner)
-        full = np.bincount(owner, minlength=len(counts))
-        for r in np.flatnonzero((full <= spare) & (counts > 0)).tolist():
-            empty = np.setdiff1d(np.arange(blocks[r]), number[owner == r] - place[r])
-            base = (int(scheme[r]) * GOLDEN + 0xA5A5A5A5) & _ALL
-            keys.append(mix(np.uint64(base) + mix(empty.astype(np.uint64))))
-            rows.append(np.full(len(empty), r))
+        most = np.minimum(spare, counts * (100 - percent) // percent)  # the same by the row's own size
+        blocks = spare + 1 + spare // 12
+        todo = counts > 0
+        for deal in range(DEALS + 1):
+            own = todo[every]
+            tokens, row = hashes[own], every[own]
+            if not len(row):
+                break
+            some = np.flatnonzero(todo)
+            place = np.zeros(len(counts), dtype=np.int64)
+            if deal < DEALS:
+                slot = (mix(tokens + np.uint64(7 + deal)) % blocks[row].astype(np.uint64)).astype(np.int64)
+                place[some] = np.cumsum(blocks[some]) - blocks[some]
+                at = place[row] + slot
+                order = np.argsort(at, kind="stable")
+                tokens, row, at = tokens[order], row[order], at[order]
+            else:
+                at = np.arange(len(row))
+            # Sums of token hashes by (row, slot), in order of the slots.
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            total = np.add.reduceat(mix(tokens ^ np.uint64(0x5BE0CD19137E2179)), starts)
+            owner = row[starts]
+            number = at[starts] - place[owner] if deal < DEALS else np.zeros(len(starts), dtype=np.int64)
+            salt = mix(scheme[owner].astype(np.uint64) * np.uint64(GOLDEN) + (number * (DEALS + 1) + deal).astype(np.uint64))
+            keys.append(mix(total ^ salt))
+            rows.append(owner)
+            todo &= np.bincount(owner, minlength=len(counts)) <= most
+            blocks = blocks + np.maximum(1, blocks // 8)
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(keys).astype(np.int64), np.concatenate(rows)
@@ -228,7 +235,7 @@ def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 
 
 def _sets(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """node, copies, n, tokens and keys of the chosen nodes, from one text of each."""
+    """node, task, tokens and keys of the chosen nodes. A node comes once from each task that holds a copy."""
     number = chosen.count()
     texts = keyed.join(small(chosen.select("h"), number), "h", "left_semi").select("text")
 
@@ -252,8 +259,8 @@ def _sets(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> Da
                 long = pa.int64()
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], long), pa.array(out[1], pa.list_(long)), pa.array(out[2], pa.list_(long))], ["node", "tokens", "keys"])
 
-    sets = texts.mapInArrow(run, "node bigint, tokens array<bigint>, keys array<bigint>")
-    return sets.join(small(chosen.select("node", "copies", "n"), number), "node")
+    sets = texts.mapInArrow(run, "node bigint, tokens array<bigint>, keys array<bigint>").withColumn("task", F.spark_partition_id())
+    return sets.join(small(chosen.select("node"), number), "node", "left_semi")
 
 
 def _in_groups(sizes: DataFrame, entries: DataFrame, group_tokens: int) -> DataFrame:
@@ -285,10 +292,12 @@ def _in_groups(sizes: DataFrame, entries: DataFrame, group_tokens: int) -> DataF
 def _held_against_groups(keyed: DataFrame, chosen: DataFrame, shingle: int, percent: int, group_tokens: int) -> DataFrame:
     """Links and joining edges of all chosen nodes: node, other (null where there is no edge), links."""
     sets = cut_lineage(_sets(keyed, chosen, shingle, percent))
-    entries = sets.select("node", F.explode("keys").alias("key"))
-    placed = cut_lineage(_in_groups(sets.select("node", "n"), entries, group_tokens))
-    number = placed.count()
-    sets = sets.join(small(placed, number), "node")
+    # Of a node that several tasks gave, one row counts; its tokens are not shuffled for that.
+    one = cut_lineage(sets.groupBy("node").agg(F.min("task").alias("task")).join(chosen.select("node", "copies", "n"), "node"))
+    number = one.count()
+    entries = sets.join(small(one.select("node", "task"), number), ["node", "task"]).select("node", F.explode("keys").alias("key"))
+    placed = cut_lineage(one.join(_in_groups(one.select("node", "n"), entries, group_tokens), "node"))
+    sets = sets.join(small(placed, number), ["node", "task"]).drop("task")
     # The matrix: which groups hold a block, where families are split. A node opens the groups after its own that hold one of its blocks.
     entries = sets.filter("split").select("node", "gid", F.explode("keys").alias("key"))
     matrix = entries.select("key", F.col("gid").alias("group")).distinct()
@@ -308,7 +317,6 @@ def _held_against_groups(keyed: DataFrame, chosen: DataFrame, shingle: int, perc
     rows = own.select(*columns).unionByName(brought.select(*columns)).unionByName(queries)
 
     def hold(key, frame):
-        frame = frame.drop_duplicates(["asks", "node"])
         sets_of = lambda asks: [(n, c, np.asarray(t).astype(np.uint64)) for n, c, t in frame.loc[frame["asks"] == asks, ["node", "copies", "tokens"]].itertuples(index=False)]
         members, asking = sets_of(False), sets_of(True)
         links, edges = links_in_group(members, members if key[1] == 0 else asking, key[1] == 0, percent)

@@ -95,3 +95,26 @@ def test_a_group_is_not_opened_without_overlap():
     far = [(1, 1, np.arange(10, dtype=np.uint64)), (2, 1, np.arange(5, 15, dtype=np.uint64))]
     links, edges = J.links_in_group(far, [(3, 1, np.arange(100, 110, dtype=np.uint64)), (4, 2, np.arange(10, dtype=np.uint64))], False, 90)
     assert links == {4: 1, 1: 2} and edges == [(4, 1)]
+
+
+def test_copies_in_many_partitions_are_one_row(spark, monkeypatch):
+    text = " ".join(f"c{i}" for i in range(50))
+    rows = [(i, text) for i in range(40)] + [(i, text + f" e{i % 3}") for i in range(40, 60)]
+    seen, group = [], J._in_groups
+
+    def spy(sizes, entries, group_tokens):
+        seen.append([[tuple(r) for r in df.collect()] for df in (sizes, entries)])
+        return group(sizes, entries, group_tokens)
+
+    monkeypatch.setattr(J, "_in_groups", spy)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), 3, 90, 60)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 3, 90)
+    ((sizes, entries),) = seen
+    assert len(sizes) == 4 and len(entries) == len(set(entries))
+
+
+@pytest.mark.parametrize("percent,n", [(80, 20), (80, 100), (80, 450), (90, 12), (60, 6)])
+def test_unrelated_sets_share_no_block(percent, n):
+    rng = np.random.default_rng(n)
+    keys, row = J.block_keys(np.sort(rng.integers(0, 2**63, (500, n)).astype(np.uint64), axis=1).ravel(), np.arange(501) * n, percent)
+    assert len(np.unique(row)) == 500 and len(np.unique(keys)) == len(keys)
