@@ -71,3 +71,24 @@ def test_edges(spark):
     assert got[15] == [("entropy", 0, 32), ("entropy", 33, 65)]
     assert {tuple(s) for s in S.scan_secrets(docs.filter("doc_id = 2"), allowed=[key]).first()["secrets"]} == set()
     assert S.scan_secrets(docs.limit(0)).count() == 0
+
+
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CLASSES = {"upper hex": DIGITS + "ABCDEF", "base32": UPPER + "234567", "upper base36": DIGITS + UPPER, "base36": DIGITS + LOWER, "base62": DIGITS + LOWER + UPPER, "base64": DIGITS + LOWER + UPPER + "+/"}
+
+
+def test_recall_by_class_and_length():
+    rng, never = random.Random(3), re.compile(r"(?!)")
+    for name, alphabet in CLASSES.items():
+        for length in (20, 24, 32, 40, 64):
+            keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(400)]
+            whole = sum((3, 2, 2 + length) in S.scan_text(f"a {k} b", S.BY_CLASS, never) for k in keys)
+            assert whole >= 0.96 * len(keys), (name, length, whole)
+
+
+def test_fixed_patterns_are_cut_out_of_a_secret():
+    never = re.compile(r"(?!)")
+    left, right, hexes = "Kx7QmZ2vLp9RtY4w", "Jn5BsGh8UdVc3TfE", "0f1e2d3c4b5a69788796"
+    assert S.scan_text(left + hexes + right, S.BY_CLASS, never) == [(3, 0, 16), (2, 16, 36), (3, 36, 52)]
+    assert S.scan_text("user-" + hexes, S.BY_CLASS, never) == [(2, 5, 25)]
+    assert S.scan_text("The quick brownfoxjumpsoverthelazydog Verwaltungsgerichtsbarkeit state-of-the-art-Solutions", S.BY_CLASS, never) == []
