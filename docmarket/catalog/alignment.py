@@ -68,7 +68,7 @@ FAST_SQL = f"""ft AS (SELECT p_partkey, {FTOK('q_text')} AS q, {FTOK('title')} A
 
 @query("G2_fast_title_alignment", f"WITH {CAND_SQL}, {FAST_SQL} SELECT p_partkey, score FROM fast")
 def g2(spark, sf):
-    return cand(spark, sf).select("p_partkey", G.fast_title_alignment().alias("score"))
+    return cand(spark, sf).select("p_partkey", G.fast_title_alignment(240).alias("score"))
 
 
 RAW = lambda e: f"regexp_replace(lower({e}), '[^a-z0-9+ ]+', ' ', 'g')"
@@ -140,7 +140,7 @@ QUAL_SQL = f"""q0 AS (SELECT ov.*, len(list_filter(string_split(cd, ' '), lambda
 
 
 def annotated(spark, sf):
-    return G.annotate(cand(spark, sf), LEX.families, ADJ)
+    return G.annotate(cand(spark, sf), LEX.families, ADJ, head=700)
 
 
 @query("G8_listing_quality", f"WITH {CAND_SQL}, {OVER_SQL}, {QUAL_SQL} SELECT p_partkey, listing_quality FROM ql")
@@ -226,6 +226,6 @@ def e13(spark, sf):
     rows = cand(spark, sf).join(model.select(F.col("label").alias("title"), F.col("baseline_terms").alias("title_terms")), ["title"]).join(
         model.select(F.col("label").alias("q_text"), F.col("baseline_terms").alias("query_terms")), ["q_text"]
     )
-    out = G.fast_profile(rows)
+    out = G.fast_profile(rows, head=240)
     flat = F.array_join(F.transform("prior", lambda x: F.concat_ws("=", x["term"], x["weight"])), "|")
     return out.select("p_partkey", flat.alias("prior"), "title_alignment", "role_fit", "requirement_quality")

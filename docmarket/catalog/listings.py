@@ -45,7 +45,7 @@ def a1(spark, sf):
         F.when(F.col("doc_id") % 2 == 0, F.lit("2024-02-03T04:05:06Z")).otherwise(F.lit("86400")).alias("created"),
     )
     turns = table(spark, sf, "conversations").select("text", F.concat_ws("-", "conv_id", "turn").alias("turn_key"))
-    out = feeds.unify_listings({"pages": pages, "docs": docs, "turns": turns}, {"pages": PAGE_FEED, "docs": DOC_FEED, "turns": TURN_FEED})
+    out = feeds.unify_listings({"pages": pages, "docs": docs, "turns": turns}, {"pages": PAGE_FEED, "docs": DOC_FEED, "turns": TURN_FEED}, limit=4000)
     return out.select(
         "source", "external_id", "title", "company", "location", "remote", "url", "description", F.array_join("tags", "|").alias("tags"),
         F.coalesce(F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("posted"),
@@ -88,7 +88,7 @@ def a3(spark, sf):
 )
 def a4(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.col("html").alias("description"))
-    return feeds.prepare_listing_text(rows).select("page_id", "description", "preview")
+    return feeds.prepare_listing_text(rows, limit=4000).select("page_id", "description", "preview")
 
 
 # --- listing table: events are sightings of listings ----------------------------

@@ -22,7 +22,6 @@ from docmarket.operators.ranking import top_per_group
 FAST_STOPWORDS = ("a", "an", "and", "for", "in", "of", "remote", "the", "to", "with")
 FAMILY_FILLERS = ("engineer", "developer", "manager")
 LEADERSHIP = ("manager", "director", "head", "chief", "lead", "principal", "staff", "cto")
-SCORING_CLIP = 700
 # ------------------------------------------------------------------------------
 
 c = F.col
@@ -73,12 +72,18 @@ def title_alignment(description: Column | None = None) -> Column:
     return F.when(known, T.let(_texts(description if description is not None else c("description")), score)).otherwise(0.0)
 
 
-def fast_title_alignment() -> Column:
-    """Cheap first ranking by token hits; the description's first 240 characters count as context."""
+def _head(n: int | None) -> Column:
+    """The description, or its first ``n`` characters."""
+    whole = F.coalesce(c("description"), F.lit(""))
+    return whole if n is None else F.substring(whole, 1, n)
+
+
+def fast_title_alignment(head: int | None = None) -> Column:
+    """Cheap first ranking by token hits; the description counts as context, whole or its first ``head`` characters."""
     toks = lambda t: F.filter(F.split(T.clean_words(t), " "), lambda w: (w != "") & ~w.isin(*FAST_STOPWORDS))
     text = lambda arr: F.array_join(arr, " ")
     tags = F.array_join(F.coalesce(c("tags"), T.lit_array([])), " ")
-    context = F.concat_ws(" ", c("title"), tags, F.substring(F.coalesce(c("description"), F.lit("")), 1, 240))
+    context = F.concat_ws(" ", c("title"), tags, _head(head))
     state = F.struct(toks(c("q_text")).alias("q"), toks(c("title")).alias("t"), toks(context).alias("x"))
 
     def score(s: Column) -> Column:
@@ -285,9 +290,9 @@ def candidates(listings: DataFrame, queries: DataFrame, titles: DataFrame, query
     return listings.join(queries, list(on)).join(t, ["title"]).join(q, ["q_text"])
 
 
-def annotate(cand: DataFrame, families: Sequence[str], adjacent: Sequence[str], requested: str = "q_location") -> DataFrame:
-    """All scores of a candidate row in two projections; long descriptions are clipped for the role scores."""
-    desc = F.substring(F.coalesce(c("description"), F.lit("")), 1, SCORING_CLIP)
+def annotate(cand: DataFrame, families: Sequence[str], adjacent: Sequence[str], requested: str = "q_location", head: int | None = None) -> DataFrame:
+    """All scores of a candidate row in two projections; for the role scores the description counts whole or its first ``head`` characters."""
+    desc = _head(head)
     low = F.array_distinct(F.transform(c("terms"), F.lower))
     tier = location_tier(c(requested), c("location"), c("remote"))
     first = cand.withColumns(
@@ -306,12 +311,12 @@ def annotate(cand: DataFrame, families: Sequence[str], adjacent: Sequence[str],
     )
 
 
-def fast_profile(cand: DataFrame, title_terms: str = "title_terms", query_terms: str = "query_terms", max_terms: int = 10) -> DataFrame:
+def fast_profile(cand: DataFrame, title_terms: str = "title_terms", query_terms: str = "query_terms", max_terms: int = 10, head: int | None = None) -> DataFrame:
     """Cheap prior profile: baseline terms of the title, then of the query, with fixed weights."""
     key = lambda a: F.transform(a, lambda t: F.lower(F.trim(t)))
     both = F.array_distinct(F.filter(F.concat(key(F.slice(c(title_terms), 1, max_terms)), key(F.slice(c(query_terms), 1, max_terms))), lambda t: t != ""))
     marked = T.let(F.slice(both, 1, max_terms), lambda terms: F.transform(terms, lambda t: F.struct(t.alias("term"), F.when(F.array_contains(key(c(title_terms)), t), 0.46).otherwise(0.34).alias("weight"))))
-    out = cand.withColumns({"prior": marked, "title_alignment": fast_title_alignment()})
+    out = cand.withColumns({"prior": marked, "title_alignment": fast_title_alignment(head)})
     quality = F.when(F.size("prior") == 0, 6.0).when(c("title_alignment") > 0, 18.0).otherwise(10.0)
     return out.withColumns({"role_fit": F.round(F.greatest(F.lit(0.0), F.least(F.lit(14.0), c("title_alignment") / 2.8)), 2), "requirement_quality": quality})
 

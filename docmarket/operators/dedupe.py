@@ -55,26 +55,31 @@ def with_dup_divisor(df: DataFrame, signature: str, name: str = "dup_divisor") -
     return with_group_size(df, [signature], name)
 
 
-def merge_ranked(primary: DataFrame, extra: DataFrame, limit: int, max_rows: int = 10_000) -> DataFrame:
+def merge_ranked(primary: DataFrame, extra: DataFrame, limit: int) -> DataFrame:
     """Primary rows first, then extra; a row is kept if no kept row has its key or its signature.
 
-    Columns: query_id, rank, key, signature. Both lists are selections of a few rows
-    per query; a query with more than ``max_rows`` fails rather than being cut.
-    The scan is exact: a dropped row does not block later ones.
+    Columns: query_id, rank, key, signature. Lists may be of any length; the scan sees only the
+    first rows of each, without a change of the result. The scan is exact: a dropped row does not block later ones.
     """
     rows = primary.withColumn("origin", F.lit(0)).unionByName(extra.withColumn("origin", F.lit(1)))
     # Exact copies of a (key, signature) can never be kept after the first.
     rows = first_per_key(rows, ["query_id", "key", "signature"], [F.asc("origin"), F.asc("rank")])
+    order = [F.asc("origin"), F.asc("rank"), F.asc("key"), F.asc("signature")]
+    # A row is dropped for a kept row of its key or signature. If ``limit`` earlier rows of its key, all with
+    # other signatures, were dropped too, as many rows are kept already; the same holds for its signature.
+    rows = top_per_group(rows, ["query_id", "key"], order, limit)
+    rows = top_per_group(rows, ["query_id", "signature"], order, limit)
+    # A kept row then drops less than 2 * limit others, so after this many rows the list is full.
+    rows = top_per_group(rows, ["query_id"], order, 2 * limit * limit)
     item = F.struct("origin", "rank", "key", "signature")
-    per_query = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("items"))
-    guarded = F.when(F.col("n") <= max_rows, F.col("items")).otherwise(F.raise_error(F.lit("merge_ranked: list too long")).cast(rows.select(F.array(item)).schema[0].dataType))
+    per_query = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     empty = F.slice(F.col("items"), 1, 0)
 
     def step(kept: Column, x: Column) -> Column:
         clash = F.exists(kept, lambda y: (y["key"] == x["key"]) | (y["signature"] == x["signature"]))
         return F.when((F.size(kept) >= limit) | clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    merged = per_query.select("query_id", F.posexplode(F.aggregate(guarded, empty, step)).alias("pos", "x"))
+    merged = per_query.select("query_id", F.posexplode(F.aggregate("items", empty, step)).alias("pos", "x"))
     return merged.select("query_id", (F.col("pos") + 1).alias("position"), "x.origin", "x.rank", "x.key", "x.signature")
 
 

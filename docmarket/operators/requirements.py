@@ -108,11 +108,12 @@ def title_implied(listings: DataFrame, key: str, title: str, table: DataFrame) -
     a phrase counts at word boundaries.
     """
     words = T.clean_words(F.col(title))
+    keyed = table.withColumn("gram", T.clean_words(F.col("phrase"))).select("gram", "term", "weight")
+    longest = keyed.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
     grams = T.let(
         F.split(words, " "),
-        lambda w: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))),
+        lambda w: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))),
     )
-    keyed = table.withColumn("gram", T.clean_words(F.col("phrase"))).select("gram", "term", "weight")
     return T.explode_once(listings, [key], grams, "gram").join(keyed, ["gram"]).groupBy(key, "term").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 

@@ -99,14 +99,15 @@ def targeted_evidence(df: DataFrame, keys: Sequence[str], text: str, lexicon: Da
     """Wanted (keys, term) found in the text, with mode ``pattern`` or ``literal``.
 
     Terms the lexicon does not find are looked for literally, also glued or split at
-    their own blanks: equal compact keys of up to four neighbouring tokens.
+    their own blanks: equal compact keys of neighbouring tokens, four or as many as the longest wanted term has.
     """
     texts = df.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
     matched = match_terms(texts, keys, text, lexicon).select(*keys, "term").join(wanted, [*keys, "term"], "left_semi")
     missing = wanted.join(matched, [*keys, "term"], "left_anti").withColumn("__c", T.compact_term(F.col("term")))
+    longest = max(MAX_GRAM, wanted.agg(F.max(F.size(F.split(T.fold_term(F.col("term")), " ")))).first()[0] or 1)
     grams = T.explode_once(
         texts.join(missing.select(*keys).distinct(), list(keys), "left_semi"), keys,
-        T.let(windows_of(F.col(text)), lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.array_join(F.slice(w, F.lit(1), n), "")))))),
+        T.let(windows_of(F.col(text), longest), lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.array_join(F.slice(w, F.lit(1), n), "")))))),
         "__c",
     )
     literal = missing.join(grams, [*keys, "__c"], "left_semi").select(*keys, "term")

@@ -136,10 +136,15 @@ def _tags(df: DataFrame, feed: Feed, fallback: Column) -> Column:
     return F.when(F.size(tags) > 0, tags).otherwise(F.array(fallback))
 
 
-def to_listing(df: DataFrame, source: str, feed: Feed, query: Column | None = None) -> DataFrame:
-    """One feed's raw records in the listing schema."""
+def _body(text: Column, limit: int | None) -> Column:
+    """A text without markup, whole or clipped."""
+    return strip_html(text) if limit is None else clip(strip_html(text), limit)
+
+
+def to_listing(df: DataFrame, source: str, feed: Feed, query: Column | None = None, limit: int | None = None) -> DataFrame:
+    """One feed's raw records in the listing schema; descriptions are whole or clipped to ``limit`` characters."""
     title = first_of(df, feed.title, "Unknown Role")
-    description = clip(strip_html(first_of(df, feed.description, "")), 4000)
+    description = _body(first_of(df, feed.description, ""), limit)
     location = first_of(df, feed.location, feed.default_location)
     places = {"title": title, "description": description, "location": location}
     tests = []
@@ -168,14 +173,13 @@ def to_listing(df: DataFrame, source: str, feed: Feed, query: Column | None = No
     return out
 
 
-def unify_listings(raw_by_source: Mapping[str, DataFrame], feeds: Mapping[str, Feed] = FEEDS) -> DataFrame:
+def unify_listings(raw_by_source: Mapping[str, DataFrame], feeds: Mapping[str, Feed] = FEEDS, limit: int | None = None) -> DataFrame:
     """Union of all feeds in the listing schema."""
-    frames = [to_listing(df, source, feeds[source]) for source, df in raw_by_source.items()]
+    frames = [to_listing(df, source, feeds[source], limit=limit) for source, df in raw_by_source.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def prepare_listing_text(df: DataFrame) -> DataFrame:
-    """Markup out of description and preview, both clipped."""
-    body = strip_html(F.col("description"))
+def prepare_listing_text(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Markup out of description and preview; the preview is clipped, the description whole or clipped to ``limit``."""
     lead = F.coalesce(F.nullif(F.col("preview"), F.lit("")), F.col("description")) if "preview" in df.columns else F.col("description")
-    return df.withColumns({"description": clip(body, 4000), "preview": clip(strip_html(lead), 260)})
+    return df.withColumns({"description": _body(F.col("description"), limit), "preview": clip(strip_html(lead), 260)})
