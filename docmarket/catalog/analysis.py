@@ -1,4 +1,4 @@
-"""The end-to-end plan on the tables: conversation turns are documents, parts with document texts are listings."""
+"""The end-to-end plan on the tables: conversation turns are documents, parts are listings, with the texts of documents."""
 
 from __future__ import annotations
 
@@ -15,16 +15,25 @@ from docmarket.sources.tables import table
 
 
 def market_inputs(spark, sf):
-    """(docs, listings, queries): the query is the name of a part; a listing is asked for by the next part's name."""
+    """(docs, listings, queries): the query is the name of a part; a listing is asked for by the next part's name.
+
+    Parts are numbered without a gap. Documents and conversations are dealt to them round and round by
+    their number, the last part's name asks for the first part, and a part without a document has an empty text.
+    """
     key = F.col("p_partkey")
-    names = table(spark, sf, "part").select((key + 1).alias("p_partkey"), F.col("p_name").alias("query_id"))
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("description"), F.col("lang"))
-    listings = parts_frame(spark, sf).join(names, ["p_partkey"]).join(texts, ["p_partkey"]).select(
+    number, first = table(spark, sf, "part").agg(F.greatest(F.count(F.lit(1)), F.lit(1)), F.coalesce(F.min(key), F.lit(0))).first()
+    dealt = lambda n: (F.pmod(F.coalesce(n, F.lit(0)) - first, F.lit(number)) + first).cast("bigint")
+    names = table(spark, sf, "part").select(dealt(key + 1).alias("p_partkey"), F.col("p_name").alias("query_id"))
+    texts = table(spark, sf, "documents").groupBy(dealt(F.col("doc_id")).alias("p_partkey")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("texts"), F.sort_array(F.collect_set("lang")).alias("langs")
+    )
+    listings = parts_frame(spark, sf).join(names, ["p_partkey"]).join(texts, ["p_partkey"], "left").select(
         "query_id", key.alias("listing_id"), F.element_at(T.lit_array(("jobicy", "adzuna", "remoteok")), (key % 3 + 1).cast("int")).alias("source"), F.col("p_brand").alias("company"),
-        F.col("label").alias("title"), "description", F.array("p_type", "lang").alias("tags"), F.lit("Remote").alias("location"), F.lit(True).alias("remote"),
+        F.col("label").alias("title"), F.coalesce(F.array_join("texts.text", "\n"), F.lit("")).alias("description"), F.concat(F.array("p_type"), F.coalesce("langs", T.lit_array([]))).alias("tags"),
+        F.lit("Remote").alias("location"), F.lit(True).alias("remote"),
     )
     queries = names.select("query_id").distinct().select("query_id", F.col("query_id").alias("q_text"), F.lit("").alias("q_location"), F.lit(15).alias("limit"))
-    turns = table(spark, sf, "conversations").withColumn("p_partkey", F.col("conv_id") + 1)
+    turns = table(spark, sf, "conversations").withColumn("p_partkey", dealt(F.col("conv_id") + 1))
     docs = turns.join(names, ["p_partkey"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "query_id", "text", F.lit("text/plain").alias("content_type"))
     return docs, listings, queries
 
