@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from docmarket.llm import decontamination, importance, jaccard_join, mixing, pii, quality_rules, secret_scan, sharding, token_counts, token_files
+from docmarket.llm import decontamination, fim, importance, inner_product, jaccard_join, mixing, pii, quality_rules, secret_scan, sharding, token_counts, token_files, vector_codes
 from docmarket.session import new_folder
 
 QUERIES, SQL = {}, {}
@@ -89,6 +89,31 @@ def op10_shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = fim.fill_in_middle(documents(spark, folder))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+@query
+def op12_inner_product_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = embeddings(spark, folder)
+    return inner_product.top_inner_products(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress_vectors(embeddings(spark, folder))
+    digits = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    out = vector_codes.label_errors(coded.withColumn("code", digits))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 SQL["op3_quality_rules"] = rf"""
@@ -150,3 +175,40 @@ e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 c(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, c.r FROM c JOIN e ON e.x = c.doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r) FROM c WHERE c.doc_id = d.doc_id) AS component_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links
 FROM d LEFT JOIN n USING (doc_id)"""
+
+
+SQL["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, CASE WHEN text = '' THEN [] ELSE regexp_extract_all(text, '[^\n]*\n|[^\n]+') END AS units, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS hs FROM d),
+c AS (SELECT *, len(units)::BIGINT AS n, hs[1] % (len(units) + 1) AS x, hs[2] % (len(units) + 1) AS y FROM u),
+p AS (SELECT *, array_to_string(units[1 : least(x, y)], '') AS prefix, array_to_string(units[least(x, y) + 1 : greatest(x, y)], '') AS middle, array_to_string(units[greatest(x, y) + 1 : n], '') AS suffix,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+_VECTORS = """SELECT *, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+SQL["op12_inner_product_search"] = f"""
+WITH v AS ({_VECTORS}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id IS DISTINCT FROM c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+_NEAREST = "SELECT rid, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (SELECT t.rid, t.p, b.e, list_dot_product(t.x, t.x) - 2 * list_dot_product(t.x, b.x) + list_dot_product(b.x, b.x) AS d FROM parts t JOIN b{i} b ON t.p = b.p) GROUP BY rid, p"
+_ROUND = """
+a{i} AS MATERIALIZED ({nearest}),
+m{i} AS (SELECT p, e, k, floor(sum(x[k]) / count(*)) AS y FROM a{i} JOIN parts USING (rid, p), range(1, 17) AS r(k) GROUP BY p, e, k),
+b{j} AS MATERIALIZED (SELECT p, e, coalesce(n.x, o.x) AS x FROM b{i} o LEFT JOIN (SELECT p, e, list(y ORDER BY k) AS x FROM m{i} GROUP BY p, e) n USING (p, e)),"""
+
+SQL["op13_vector_codes"] = f"""
+WITH v AS ({_VECTORS}),
+w AS MATERIALIZED (SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id) AS rid FROM v),
+parts AS MATERIALIZED (SELECT rid, p, v[16 * p + 1 : 16 * p + 16] AS x FROM w, range(4) AS r(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM parts WHERE rid <= 256),
+{"".join(_ROUND.format(i=i, j=i + 1, nearest=_NEAREST.format(i=i)) for i in range(4))}
+last AS MATERIALIZED ({_NEAREST.format(i=4)}),
+rows AS (SELECT rid, string_agg(lower(printf('%02x', e::BIGINT)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM last GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) AS s FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM w JOIN rows USING (rid), books"""
