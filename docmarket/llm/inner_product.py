@@ -115,7 +115,7 @@ class Queries:
             q = alive[a : a + BLOCK_QUERIES]
             bound = self.bounds()[q] - slack[q]
             # No vector shorter than this can reach the bound of any query of this block.
-            need = (bound / np.maximum(self.length[q], 1e-300)).min()
+            need = np.divide(bound, self.length[q], out=np.full(len(q), -np.inf), where=self.length[q] > 1e-6).min()
             few = int(np.searchsorted(-length, -need, side="right")) if need > 0 else len(length)
             keep, partial, at = None, np.zeros((len(q), few)), 0
             for h, own, other in zip(self.levels, self.rest, rests):
@@ -244,10 +244,9 @@ def _of_block(rows: DataFrame, head, asked: pa.Table, turned: dict[int, np.ndarr
     """Best candidates of one block of queries: of the longest vectors first, then of the rest above the bounds so found."""
     context = rows.sparkSession.sparkContext
     sets, widths = {}, np.asarray(asked["width"])
-    for width, rotation in turned.items():
+    for width in np.unique(widths).tolist():
         of = asked.filter(pa.array(widths == width)).combine_chunks()
-        if of.num_rows:
-            sets[width] = (np.asarray(of["id"]), matrix(of["numbers"], width), rotation)
+        sets[width] = (np.asarray(of["id"]), matrix(of["numbers"], width), turned.get(width, np.eye(width)))
     floors = {w: np.full(len(x[0]), np.iinfo(np.int64).min) for w, x in sets.items()}
 
     def best(part: DataFrame) -> DataFrame:
