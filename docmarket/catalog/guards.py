@@ -166,6 +166,12 @@ def j1(spark, sf):
     return J.rank_candidates(cand(spark, sf), "key").select("query_id", "key", "rank")
 
 
+@query("J1_rank_in_ranges", f"WITH {CAND_SQL}, {RANK_SQL} SELECT query_id, key, rank FROM ranked")
+def j1_ranges(spark, sf):
+    """The same ranks with every query cut into ranges of about a thousand rows."""
+    return J.rank_candidates(cand(spark, sf), "key", rows_per_range=1000).select("query_id", "key", "rank")
+
+
 def wave_flags(df):
     safe = ~F.col("hard_mismatch") & F.col("g_final")
     t = (F.col("title_overlap") >= 1) | (F.col("precision") >= 2) | (F.col("family_overlap") >= 2)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docmarket import lexicons as X
 from docmarket.functions import text as T
-from docmarket.operators.ranking import first_per_key, top_per_group
+from docmarket.operators.ranking import ROWS_PER_RANGE, first_per_key, rank_rows, top_per_group
 
 # --- fixed values -------------------------------------------------------------
 RANK_KEYS = (
@@ -26,12 +26,11 @@ def rank_order(tie: str, keys: Sequence[str] = RANK_KEYS) -> list[Column]:
     return [*(F.asc(key[1:]) if key.startswith("-") else F.desc(key) for key in keys), F.asc(tie)]
 
 
-def rank_candidates(cand: DataFrame, tie: str, k: int | None = None, keys: Sequence[str] = RANK_KEYS) -> DataFrame:
-    """All rows of a query with their rank; with ``k`` its best ``k`` rows, cut before the shuffle."""
-    order = rank_order(tie, keys)
+def rank_candidates(cand: DataFrame, tie: str, k: int | None = None, keys: Sequence[str] = RANK_KEYS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """All rows of a query with their rank, a hot query in ranges of its order; with ``k`` its best ``k`` rows, cut before the shuffle."""
     if k is None:
-        return cand.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return top_per_group(cand, ["query_id"], order, k, "rank")
+        return rank_rows(cand, ["query_id"], [*((key.removeprefix("-"), not key.startswith("-")) for key in keys), (tie, False)], "rank", rows_per_range)
+    return top_per_group(cand, ["query_id"], rank_order(tie, keys), k, "rank")
 
 
 def source_cap(source: Column, target: Column, sources: Column, limit: Column) -> Column:
