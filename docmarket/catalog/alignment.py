@@ -55,7 +55,7 @@ ALIGN_PARTS = f"""al0 AS (SELECT *, {N('ch', HAS('ct', 'h'))} AS n_t, {N('ch', H
     + n_c * 2.5 + n_g + CASE WHEN q_domain IS NULL THEN 0 WHEN t_domain = q_domain THEN 3.5 WHEN t_domain IS NOT NULL THEN -8.5 ELSE 0 END + CASE WHEN n_bad = 0 THEN 0 WHEN n_t = 0 AND n_c = 0 AND NOT contains(t_role, q_role) THEN -12 ELSE -4.5 END''', 2)} AS title_alignment FROM al0)"""
 
 
-@query("G1_title_alignment", f"WITH {CAND_SQL}, {ALIGN_PARTS} SELECT p_partkey, title_alignment FROM al")
+@query("G1_title_alignment", f"WITH RECURSIVE {CAND_SQL}, {ALIGN_PARTS} SELECT p_partkey, title_alignment FROM al")
 def g1(spark, sf):
     return cand(spark, sf).select("p_partkey", G.title_alignment().alias("title_alignment"))
 
@@ -66,7 +66,7 @@ FAST_SQL = f"""ft AS (SELECT p_partkey, {FTOK('q_text')} AS q, {FTOK('title')} A
   fast AS (SELECT p_partkey, {S.rnd('CASE WHEN contains(ts, qs) THEN 12 WHEN len(list_intersect(d, t)) = len(d) THEN 9 ELSE least(7, len(list_intersect(d, t)) * 3) END + CASE WHEN contains(xs, qs) AND NOT contains(ts, qs) THEN 2.5 ELSE 0 END + least(4, len(list_intersect(d, x)) * CAST(0.9 AS DOUBLE))', 2)} AS score FROM fv)"""
 
 
-@query("G2_fast_title_alignment", f"WITH {CAND_SQL}, {FAST_SQL} SELECT p_partkey, score FROM fast")
+@query("G2_fast_title_alignment", f"WITH RECURSIVE {CAND_SQL}, {FAST_SQL} SELECT p_partkey, score FROM fast")
 def g2(spark, sf):
     return cand(spark, sf).select("p_partkey", G.fast_title_alignment(240).alias("score"))
 
@@ -80,12 +80,12 @@ FIT_SQL = f"""f0 AS (SELECT *, {RAW('title')} AS rt, {RAW('description')} AS rd,
     * CASE WHEN q_role IN {S.in_list(LEX.families)} AND t_role IN {S.in_list(LEX.families)} AND q_role <> t_role THEN CASE WHEN q_role || '|' || t_role IN {S.in_list(ADJ)} THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END ELSE 1 END''', 2)} AS role_fit FROM f1)"""
 
 
-@query("G3_role_fit", f"WITH {CAND_SQL}, {FIT_SQL} SELECT p_partkey, role_fit FROM fit")
+@query("G3_role_fit", f"WITH RECURSIVE {CAND_SQL}, {FIT_SQL} SELECT p_partkey, role_fit FROM fit")
 def g3(spark, sf):
     return cand(spark, sf).select("p_partkey", G.role_fit(LEX.families, ADJ).alias("role_fit"))
 
 
-@query("G4_term_overlap", f"WITH {CAND_SQL} SELECT p_partkey, len(list_intersect(list_distinct(terms), q_primary)) * CAST(1.5 AS DOUBLE) + len(list_intersect(list_distinct(terms), q_market)) AS overlap FROM gc")
+@query("G4_term_overlap", f"WITH RECURSIVE {CAND_SQL} SELECT p_partkey, len(list_intersect(list_distinct(terms), q_primary)) * CAST(1.5 AS DOUBLE) + len(list_intersect(list_distinct(terms), q_market)) AS overlap FROM gc")
 def g4(spark, sf):
     return cand(spark, sf).select("p_partkey", G.term_overlap().alias("overlap"))
 
@@ -98,7 +98,7 @@ OVER_SQL = f"""o0 AS (SELECT *, {CW('t_text')} AS tt, {CW("t_text || ' ' || desc
     CASE WHEN q_domain IS NULL THEN 0 ELSE CASE WHEN t_domain = q_domain THEN 2 ELSE 0 END + CASE WHEN title_overlap >= 1 THEN 1 ELSE 0 END + CASE WHEN family_overlap >= 1 THEN 1 ELSE 0 END END AS domain_score FROM o1)"""
 
 
-@query("G5_domain_match", f"WITH {CAND_SQL}, {OVER_SQL} SELECT p_partkey, domain_score FROM ov")
+@query("G5_domain_match", f"WITH RECURSIVE {CAND_SQL}, {OVER_SQL} SELECT p_partkey, domain_score FROM ov")
 def g5(spark, sf):
     over = G.title_overlaps()
     return cand(spark, sf).select("p_partkey", G.domain_match(over["title_overlap"], over["family_overlap"]).alias("domain_score"))
@@ -106,7 +106,7 @@ def g5(spark, sf):
 
 @query(
     "G6_title_overlaps",
-    f"""WITH {CAND_SQL}, {OVER_SQL} SELECT p_partkey, title_overlap, family_overlap, core_title, core_text, specialty_overlap, precision,
+    f"""WITH RECURSIVE {CAND_SQL}, {OVER_SQL} SELECT p_partkey, title_overlap, family_overlap, core_title, core_text, specialty_overlap, precision,
       CASE WHEN list_has_any(string_split({S.clean_label('q_text')}, ' '), {S.str_list(G.LEADERSHIP)}) THEN 0 ELSE CASE WHEN regexp_matches(t_text, '\\b(manager|director|head|chief|vp|vice president)\\b') THEN 2 ELSE 0 END
       + CASE WHEN contains(t_text, 'architect') AND NOT contains(cq, 'architect') THEN 1 ELSE 0 END END AS penalty FROM ov""",
 )
@@ -127,7 +127,7 @@ PLACE_SQL = f"""pl AS (SELECT *, {S.clean_label('q_location')} AS want, lower(tr
       WHEN contains(cplace, want) THEN 'exact' WHEN remote OR world THEN 'remote_fallback' ELSE 'other_location' END AS location_tier FROM pm)"""
 
 
-@query("G7_location", f"WITH {CAND_SQL}, {PLACE_SQL} SELECT p_partkey, location_score, location_tier, focused AND location_tier NOT IN ('exact_country', 'near_region', 'unknown') AS mismatch FROM loc")
+@query("G7_location", f"WITH RECURSIVE {CAND_SQL}, {PLACE_SQL} SELECT p_partkey, location_score, location_tier, focused AND location_tier NOT IN ('exact_country', 'near_region', 'unknown') AS mismatch FROM loc")
 def g7(spark, sf):
     args = (F.col("q_location"), F.col("location"), F.col("remote"))
     out = cand(spark, sf).select("p_partkey", "q_location", G.location_score(*args).alias("location_score"), G.location_tier(*args).alias("location_tier"))
@@ -143,7 +143,7 @@ def annotated(spark, sf):
     return G.annotate(cand(spark, sf), LEX.families, ADJ, head=700)
 
 
-@query("G8_listing_quality", f"WITH {CAND_SQL}, {OVER_SQL}, {QUAL_SQL} SELECT p_partkey, listing_quality FROM ql")
+@query("G8_listing_quality", f"WITH RECURSIVE {CAND_SQL}, {OVER_SQL}, {QUAL_SQL} SELECT p_partkey, listing_quality FROM ql")
 def g8(spark, sf):
     return annotated(spark, sf).select("p_partkey", "listing_quality")
 
@@ -154,14 +154,14 @@ ANN_SQL = f"""{ALIGN_PARTS}, {FIT_SQL}, {OVER_SQL}, {QUAL_SQL}, {PLACE_SQL},
   an AS (SELECT *, {S.rnd(f'(role_fit * 10 + requirement_quality + least(10, skill_count * CAST(1.5 AS DOUBLE)) + hm * 8 + hp * 12 + location_score * 18 + listing_quality * CAST(1.7 AS DOUBLE)) * CAST({TRUST} AS DOUBLE)', 2)} AS market_quality FROM an0)"""
 
 
-@query("G9_market_quality", f"WITH {CAND_SQL}, {ANN_SQL} SELECT p_partkey, market_quality FROM an")
+@query("G9_market_quality", f"WITH RECURSIVE {CAND_SQL}, {ANN_SQL} SELECT p_partkey, market_quality FROM an")
 def g9(spark, sf):
     return annotated(spark, sf).select("p_partkey", "market_quality")
 
 
 @query(
     "G10_annotate",
-    f"WITH {CAND_SQL}, {ANN_SQL} SELECT p_partkey, title_alignment, role_fit, location_score, location_tier, domain_score, listing_quality, market_quality, hp * CAST(1.5 AS DOUBLE) + hm AS skill_overlap FROM an",
+    f"WITH RECURSIVE {CAND_SQL}, {ANN_SQL} SELECT p_partkey, title_alignment, role_fit, location_score, location_tier, domain_score, listing_quality, market_quality, hp * CAST(1.5 AS DOUBLE) + hm AS skill_overlap FROM an",
 )
 def g10(spark, sf):
     return annotated(spark, sf).select("p_partkey", "title_alignment", "role_fit", "location_score", "location_tier", "domain_score", "listing_quality", "market_quality", "skill_overlap")
@@ -169,7 +169,7 @@ def g10(spark, sf):
 
 @query(
     "G11_context_signals",
-    f"""WITH {CAND_SQL}, {OVER_SQL}, w AS (SELECT *, list_transform(q_primary, lambda h: {CW('h')}) AS cp, list_transform(q_market, lambda h: {CW('h')}) AS cm FROM ov)
+    f"""WITH RECURSIVE {CAND_SQL}, {OVER_SQL}, w AS (SELECT *, list_transform(q_primary, lambda h: {CW('h')}) AS cp, list_transform(q_market, lambda h: {CW('h')}) AS cm FROM ov)
     SELECT p_partkey, title_overlap AS title_hint_hits, {N('cp', PHRASE('te', 'h'))} AS primary_hits, {N('cm', PHRASE('te', 'h'))} AS market_hits FROM w""",
 )
 def g11(spark, sf):
@@ -178,7 +178,7 @@ def g11(spark, sf):
 
 @query(
     "G12_cache_bucket",
-    f"""WITH {CAND_SQL} SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'none' WHEN {S.clean_label('title')} = {S.clean_label('q_text')} THEN 'exact' WHEN {S.clean_label('title')} IN ('ring engineer', 'old anvil', 'red ring', 'hot gear') THEN 'related' WHEN t_role = q_role THEN 'canonical' ELSE 'none' END AS bucket FROM gc""",
+    f"""WITH RECURSIVE {CAND_SQL} SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'none' WHEN {S.clean_label('title')} = {S.clean_label('q_text')} THEN 'exact' WHEN {S.clean_label('title')} IN ('ring engineer', 'old anvil', 'red ring', 'hot gear') THEN 'related' WHEN t_role = q_role THEN 'canonical' ELSE 'none' END AS bucket FROM gc""",
 )
 def g12(spark, sf):
     cached = F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.col("title"))
@@ -188,7 +188,7 @@ def g12(spark, sf):
 
 @query(
     "G13_match_strength",
-    f"""WITH {CAND_SQL}, {ANN_SQL}, s AS (SELECT *, hp * 1.5 + hm AS so, list_sort(list_intersect(list_distinct(terms), q_market)) AS rt FROM an)
+    f"""WITH RECURSIVE {CAND_SQL}, {ANN_SQL}, s AS (SELECT *, hp * 1.5 + hm AS so, list_sort(list_intersect(list_distinct(terms), q_market)) AS rt FROM an)
     SELECT p_partkey, CASE WHEN source = 'role-baseline' THEN CASE p_partkey % 3 WHEN 0 THEN 'Conservative fallback' WHEN 1 THEN 'Guarded baseline' ELSE 'Calibration baseline' END WHEN title_alignment >= 24 OR role_fit >= 12 THEN 'Strong role match'
       WHEN title_alignment >= 12 OR role_fit >= 7 OR so >= 3 THEN 'Related role match' ELSE 'Broad live match' END AS label,
       coalesce(nullif(array_to_string(list_filter([CASE WHEN title_alignment >= 24 THEN 'title matches the role' WHEN title_alignment >= 12 THEN 'title in the same family' END, CASE WHEN len(rt) > 0 THEN 'role terms: ' || array_to_string(rt[1:3], ', ') END,
@@ -201,14 +201,14 @@ def g13(spark, sf):
     return rows.select("p_partkey", label.alias("label"), F.array_join(G.match_reasons(F.col("title_alignment"), F.col("market_quality"), F.col("role_terms")), "|").alias("reasons"))
 
 
-@query("G14_tag_overlap", f"WITH {CAND_SQL} SELECT p_partkey, len(list_filter(string_split(lower(q_text), ' '), lambda t: length(t) > 2 AND contains(lower(tags[1] || ' ' || tags[2]), t))) * CAST(0.5 AS DOUBLE) AS overlap FROM gc")
+@query("G14_tag_overlap", f"WITH RECURSIVE {CAND_SQL} SELECT p_partkey, len(list_filter(string_split(lower(q_text), ' '), lambda t: length(t) > 2 AND contains(lower(tags[1] || ' ' || tags[2]), t))) * CAST(0.5 AS DOUBLE) AS overlap FROM gc")
 def g14(spark, sf):
     return cand(spark, sf).select("p_partkey", G.tag_overlap(F.col("q_text"), F.array("p_type", "p_brand")).alias("overlap"))
 
 
 @query(
     "J10_rank_per_source",
-    f"WITH {CAND_SQL}, {ANN_SQL} SELECT query_id, source, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY title_alignment DESC, role_fit DESC, location_score DESC, remote DESC, p_partkey) AS rank FROM an) WHERE rank <= 5",
+    f"WITH RECURSIVE {CAND_SQL}, {ANN_SQL} SELECT query_id, source, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY title_alignment DESC, role_fit DESC, location_score DESC, remote DESC, p_partkey) AS rank FROM an) WHERE rank <= 5",
 )
 def j10(spark, sf):
     return G.rank_per_source(annotated(spark, sf), 5, "p_partkey").select("query_id", "source", "p_partkey", "rank")
@@ -216,7 +216,7 @@ def j10(spark, sf):
 
 @query(
     "E13_fast_profile",
-    f"""WITH {CAND_SQL}, {MODEL_SQL}, {FAST_SQL}, e AS (SELECT gc.p_partkey, t.baseline_terms AS tb, q.baseline_terms AS qb, score FROM gc JOIN mdl2 t ON t.label = gc.title JOIN mdl2 q ON q.label = gc.q_text JOIN fast USING (p_partkey)),
+    f"""WITH RECURSIVE {CAND_SQL}, {MODEL_SQL}, {FAST_SQL}, e AS (SELECT gc.p_partkey, t.baseline_terms AS tb, q.baseline_terms AS qb, score FROM gc JOIN mdl2 t ON t.label = gc.title JOIN mdl2 q ON q.label = gc.q_text JOIN fast USING (p_partkey)),
     u AS (SELECT *, list_concat(tb[1:10], list_filter(qb[1:10], lambda x: NOT list_contains(tb, x)))[1:10] AS terms FROM e)
     SELECT p_partkey, coalesce(array_to_string(list_transform(terms, lambda x: x || '=' || CASE WHEN list_contains(tb, x) THEN '0.46' ELSE '0.34' END), '|'), '') AS prior, score AS title_alignment,
       {S.rnd('greatest(0, least(14, score / CAST(2.8 AS DOUBLE)))', 2)} AS role_fit, CAST(CASE WHEN len(terms) = 0 THEN 6 WHEN score > 0 THEN 18 ELSE 10 END AS DOUBLE) AS requirement_quality FROM u""",

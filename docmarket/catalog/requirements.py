@@ -170,7 +170,7 @@ def e14(spark, sf):
 
 @query(
     "E15_title_fallback_profile",
-    f"""WITH {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL}, {MODEL_SQL}, t AS (SELECT p_partkey, p.label, baseline_terms[1:5] AS b FROM parts p JOIN mdl2 USING (label) JOIN hints h USING (label) WHERE p_partkey % 3 <> 0 AND (normalized <> expanded OR domain IS NOT NULL)),
+    f"""WITH RECURSIVE {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL}, {MODEL_SQL}, t AS (SELECT p_partkey, p.label, baseline_terms[1:5] AS b FROM parts p JOIN mdl2 USING (label) JOIN hints h USING (label) WHERE p_partkey % 3 <> 0 AND (normalized <> expanded OR domain IS NOT NULL)),
     u AS (SELECT p_partkey, unnest(b) AS term, unnest(range(1, len(b) + 1)) AS pos FROM t)
     SELECT p_partkey, term, CAST(0.36 AS DOUBLE) AS weight, pos, CAST(36 AS DOUBLE) AS quality, 'title-variant-inferred' AS mode FROM u""",
 )

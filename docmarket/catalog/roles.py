@@ -76,10 +76,26 @@ def rule_sql(words: str) -> str:
     return "CASE " + " ".join("WHEN " + " AND ".join(f"list_has_any({words}, {S.str_list(g)})" for g in groups) + f" THEN {S.q(role)}" for groups, role in LEX.rules) + " END"
 
 
+def ratio_sql(name: str, names: dict, label: str, bar: str) -> str:
+    """Closest name of each label by matching blocks: common runs of every pair, then blocks found by recursion."""
+    return f"""{name}p AS MATERIALIZED (SELECT row_number() OVER () AS pid, *, length(a)::BIGINT AS na, length(b)::BIGINT AS nb FROM
+    (SELECT label, {label} AS b, k AS a, role, {bar} AS bar FROM lk JOIN {_pairs(['k', 'role'], names)} n ON 2.0::DOUBLE * least(length(k), length({label})) / (length(k) + length({label})) >= {bar} WHERE {label} <> '')),
+  {name}c AS (SELECT pid, i, j FROM {name}p, range(1, 80) AS r(i), range(1, 80) AS q(j) WHERE i <= na AND j <= nb AND substr(a, i, 1) = substr(b, j, 1)),
+  {name}i AS (SELECT *, i - row_number() OVER (PARTITION BY pid, i - j ORDER BY i) AS island FROM {name}c),
+  {name}r AS MATERIALIZED (SELECT pid, i, j, count(*) OVER (PARTITION BY pid, i - j, island ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM {name}i),
+  {name}b(pid, a0, a1, b0, b1, gain) AS (SELECT pid, 1::BIGINT, na + 1, 1::BIGINT, nb + 1, 0::BIGINT FROM {name}p
+    UNION ALL SELECT pid, CASE WHEN side THEN x.i + x.k ELSE a0 END, CASE WHEN side THEN a1 ELSE x.i END, CASE WHEN side THEN x.j + x.k ELSE b0 END, CASE WHEN side THEN b1 ELSE x.j END, CASE WHEN side THEN 0 ELSE x.k END
+    FROM (SELECT pid, a0, a1, b0, b1, max(struct_pack(k := least(k, a1 - i, b1 - j), ni := -i, nj := -j)) AS m FROM {name}b JOIN {name}r r USING (pid) WHERE i >= a0 AND i < a1 AND j >= b0 AND j < b1 GROUP BY pid, a0, a1, b0, b1),
+      LATERAL (SELECT struct_pack(i := -m.ni, j := -m.nj, k := m.k) AS x), (VALUES (true), (false)) s(side)),
+  {name}m AS (SELECT pid, sum(gain) AS n FROM {name}b GROUP BY pid),
+  {name} AS (SELECT label, arg_max(role, struct_pack(ratio := ratio, a := a)) AS role FROM (SELECT *, 2.0::DOUBLE * n / (na + nb) AS ratio FROM {name}p JOIN {name}m USING (pid)) WHERE ratio >= bar GROUP BY label)"""
+
+
+CLOSE_SQL = ratio_sql("fs_", ALIAS, "cleaned", "CASE WHEN contains(cleaned, ' ') THEN 0.9::DOUBLE ELSE 0.82::DOUBLE END") + ",\n  " + ratio_sql("fg_", {k: ALIAS[p] for k, p in COMPACT.items()}, "ck", "0.9::DOUBLE") + """,
+  fz AS (SELECT label, coalesce(s.role, g.role) AS role FROM fs_ s FULL JOIN fg_ g USING (label))"""
 NORMAL_SQL = f"""{LABELS_SQL}, {FAMILY_SQL},
   lk AS (SELECT label, cleaned, replace(cleaned, ' ', '') AS ck, string_split(cleaned, ' ') AS w, {TOK('cleaned')} AS tk FROM labels),
-  fz AS (SELECT label, arg_max(role, struct_pack(r := ratio, n := -ord)) AS role FROM (SELECT label, a.role, row_number() OVER (PARTITION BY label ORDER BY alias) AS ord, 1 - levenshtein(cleaned, alias) / greatest(length(cleaned), length(alias)) AS ratio, cleaned
-     FROM lk CROSS JOIN {S.values(['alias', 'role'], sorted(ALIAS.items()))} a) WHERE ratio >= CASE WHEN contains(cleaned, ' ') THEN 0.9 ELSE 0.82 END - 1e-9 GROUP BY label),
+  {CLOSE_SQL},
   sg0 AS (SELECT label, role, ord, CASE WHEN list_contains(phrases, cleaned) THEN 12.0 ELSE 0 END + len(list_filter(phrases, lambda p: contains(p, ' ') AND contains(cleaned, p))) * 4.5 + len(list_intersect(tk, signals)) * 1.6 AS score FROM lk CROSS JOIN fam),
   sg1 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, ord) AS rn, lead(score) OVER (PARTITION BY label ORDER BY score DESC, ord) AS nxt FROM sg0),
   sg AS (SELECT label, role FROM sg1 WHERE rn = 1 AND score >= 2.4 AND score >= nxt + 0.7),
@@ -90,14 +106,14 @@ NORMAL_SQL = f"""{LABELS_SQL}, {FAMILY_SQL},
     LEFT JOIN {_pairs(['k', 'role'], EXACT)} ex ON ex.k = lk.cleaned LEFT JOIN fz ON fz.label = lk.label LEFT JOIN sg ON sg.label = lk.label LEFT JOIN lo ON lo.label = lk.label)"""
 
 
-@query("F1_normalize_role", f"WITH {NORMAL_SQL} SELECT label, normalized, expanded FROM norm")
+@query("F1_normalize_role", f"WITH RECURSIVE {NORMAL_SQL} SELECT label, normalized, expanded FROM norm")
 def f1(spark, sf):
     return R.normalize_role(labels_frame(spark, sf), LEX).select("label", "normalized", "expanded")
 
 
-@query("F2_fuzzy_alias", f"WITH {NORMAL_SQL} SELECT label, role FROM fz")
+@query("F2_fuzzy_alias", f"WITH RECURSIVE {NORMAL_SQL} SELECT label, role FROM fz")
 def f2(spark, sf):
-    return labels_frame(spark, sf).select("label", R.fuzzy_alias(F.col("cleaned"), LEX)["role"].alias("role")).filter("role IS NOT NULL")
+    return R.fuzzy_alias(labels_frame(spark, sf), LEX).select("label", "close.role").filter("role IS NOT NULL")
 
 
 ORDER = LEX.domain_order()
@@ -118,7 +134,7 @@ PARTS_SQL = f"""{DOM_SQL}, dc AS (SELECT *, CASE WHEN len({PICK('expanded', LEX.
   CASE WHEN len({MEAN('expanded')}) > 0 THEN {MEAN('expanded')} ELSE {MEAN('normalized')} END AS specialty FROM dm)"""
 
 
-@query("F3_infer_domain", f"WITH {NORMAL_SQL}, {DOM_SQL} SELECT label, coalesce(domain, 'none') AS domain FROM dm")
+@query("F3_infer_domain", f"WITH RECURSIVE {NORMAL_SQL}, {DOM_SQL} SELECT label, coalesce(domain, 'none') AS domain FROM dm")
 def f3(spark, sf):
     norm = R.normalize_role(labels_frame(spark, sf), LEX)
     return norm.select("label", F.coalesce(R.infer_domain(F.col("expanded"), F.col("normalized"), LEX), F.lit("none")).alias("domain"))
@@ -141,7 +157,7 @@ def profiles_frame(spark, sf):
     return R.role_profile(labels_frame(spark, sf), LEX)
 
 
-@query("F4_infer_family", f"WITH {NORMAL_SQL}, {FAM_SQL} SELECT label, coalesce(family, 'none') AS family FROM prof")
+@query("F4_infer_family", f"WITH RECURSIVE {NORMAL_SQL}, {FAM_SQL} SELECT label, coalesce(family, 'none') AS family FROM prof")
 def f4(spark, sf):
     return profiles_frame(spark, sf).select("label", F.coalesce("family", F.lit("none")).alias("family"))
 
@@ -149,7 +165,7 @@ def f4(spark, sf):
 JOIN = lambda c: f"coalesce(array_to_string({c}, ' '), '') AS {c}"
 
 
-@query("F5_decompose", f"WITH {NORMAL_SQL}, {PARTS_SQL} SELECT label, {JOIN('heads')}, {JOIN('seniority')}, {JOIN('specialty')} FROM dc")
+@query("F5_decompose", f"WITH RECURSIVE {NORMAL_SQL}, {PARTS_SQL} SELECT label, {JOIN('heads')}, {JOIN('seniority')}, {JOIN('specialty')} FROM dc")
 def f5(spark, sf):
     norm = R.normalize_role(labels_frame(spark, sf), LEX)
     parts = R.decompose(F.col("expanded"), F.col("normalized"), LEX)
@@ -158,7 +174,7 @@ def f5(spark, sf):
 
 @query(
     "F6_role_profile",
-    f"WITH {NORMAL_SQL}, {FAM_SQL} SELECT label, cleaned, expanded, normalized, coalesce(domain, 'none') AS domain, role, coalesce(role_domain, 'none') AS role_domain, coalesce(array_to_string(list_sort(tokens), ' '), '') AS tokens FROM prof",
+    f"WITH RECURSIVE {NORMAL_SQL}, {FAM_SQL} SELECT label, cleaned, expanded, normalized, coalesce(domain, 'none') AS domain, role, coalesce(role_domain, 'none') AS role_domain, coalesce(array_to_string(list_sort(tokens), ' '), '') AS tokens FROM prof",
 )
 def f6(spark, sf):
     none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
@@ -191,7 +207,7 @@ def hints_frame(spark, sf):
 HINT_COLS = ("market_hints", "primary_hints", "title_hints", "negative_hints")
 
 
-@query("F7_role_hints", f"WITH {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL} SELECT label, " + ", ".join(f"coalesce(array_to_string({c}, '|'), '') AS {c}" for c in HINT_COLS) + " FROM hints")
+@query("F7_role_hints", f"WITH RECURSIVE {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL} SELECT label, " + ", ".join(f"coalesce(array_to_string({c}, '|'), '') AS {c}" for c in HINT_COLS) + " FROM hints")
 def f7(spark, sf):
     return hints_frame(spark, sf).select("label", *[F.array_join(c, "|").alias(c) for c in HINT_COLS])
 
@@ -207,7 +223,7 @@ MODEL_SQL = f"""mdl0 AS (SELECT label, {_ordered_sql(LEX.models, 'role')} AS mb,
   mdl2 AS (SELECT label, {TIDY('b')} AS baseline_terms, {TIDY('r')} AS recommended_terms FROM mdl)"""
 
 
-@query("F8_role_term_model", f"WITH {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL}, {MODEL_SQL} SELECT label, coalesce(array_to_string(baseline_terms, '|'), '') AS baseline, coalesce(array_to_string(recommended_terms, '|'), '') AS recommended FROM mdl2")
+@query("F8_role_term_model", f"WITH RECURSIVE {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL}, {MODEL_SQL} SELECT label, coalesce(array_to_string(baseline_terms, '|'), '') AS baseline, coalesce(array_to_string(recommended_terms, '|'), '') AS recommended FROM mdl2")
 def f8(spark, sf):
     out = R.role_term_model(hints_frame(spark, sf), LEX)
     return out.select("label", F.array_join("baseline_terms", "|").alias("baseline"), F.array_join("recommended_terms", "|").alias("recommended"))
@@ -220,7 +236,7 @@ NEG_HIT = f"len(list_filter(q.negative_hints, lambda h: contains(' ' || t.cleane
 
 @query(
     "F9_role_alignment",
-    f"""WITH {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL} SELECT a.p_partkey, CASE WHEN {NEG_HIT} THEN -3 WHEN q.role = t.role THEN 3 ELSE {ALIGN_SQL}
+    f"""WITH RECURSIVE {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL} SELECT a.p_partkey, CASE WHEN {NEG_HIT} THEN -3 WHEN q.role = t.role THEN 3 ELSE {ALIGN_SQL}
       WHEN t.role IN {S.in_list(LEX.families)} AND q.role_domain = t.role_domain THEN -2 ELSE 0 END END AS alignment
     FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey - 1 JOIN hints t ON t.label = a.label JOIN hints q ON q.label = b.label""",
 )
@@ -241,7 +257,7 @@ def f10(spark, sf):
 
 @query(
     "F12_query_class",
-    f"""WITH {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL}, c AS (SELECT *, coalesce(CASE role WHEN 'ring engineer' THEN 'hard' WHEN 'bolt engineer' THEN 'hard' WHEN 'gear specialist' THEN 'moving' END, role_domain, 'general') AS family_group,
+    f"""WITH RECURSIVE {NORMAL_SQL}, {FAM_SQL}, {HINTS_SQL}, c AS (SELECT *, coalesce(CASE role WHEN 'ring engineer' THEN 'hard' WHEN 'bolt engineer' THEN 'hard' WHEN 'gear specialist' THEN 'moving' END, role_domain, 'general') AS family_group,
       normalized = 'widget designer' AS sparse, coalesce(role_domain = 'study', false) AS business, CASE WHEN expanded = normalized THEN true WHEN len(string_split(expanded, ' ')) < 2 THEN false ELSE list_contains(list_transform(title_hints, lambda h: {S.clean_label('h')}), expanded) END AS strict,
       CASE WHEN coalesce(domain = 'study', false) THEN false ELSE len(specialty) > 0 AND (normalized = 'gear specialist' OR expanded <> normalized) END AS needs_specialty FROM hints),
     d AS (SELECT *, family_group = 'hard' AS dense FROM c)

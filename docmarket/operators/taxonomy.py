@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docmarket.functions import text as T
+from docmarket.operators.similarity import add_closest
 from docmarket.roles import RoleLexicon, clean
 from docmarket.sources.tables import values_frame
 
@@ -43,27 +44,20 @@ def word_rule(words: Column, lex: RoleLexicon) -> Column:
     return out
 
 
-def fuzzy_alias(cleaned: Column, lex: RoleLexicon) -> Column:
-    """struct(alias, role) of the closest alias, similarity 1 - edit distance / longer length.
+def fuzzy_alias(labels: DataFrame, lex: RoleLexicon, wanted: Column | None = None) -> DataFrame:
+    """labels (cleaned) with ``close``: struct(alias, role) of the alias most similar by matching blocks, or null.
 
-    At least 0.9 for labels of two or more words, 0.82 for one word. Only aliases whose
-    length alone allows that are compared; the alias list is bounded.
+    At least 0.9 for labels of two or more words, 0.82 for one word; else the glued label is held
+    against the glued aliases, at least 0.9. Of equally similar aliases the last in order. The alias list is bounded;
+    only aliases that lengths and character counts allow are compared, and only in rows where ``wanted`` holds.
     """
-    aliases = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(f).alias("role")) for a, f in sorted(lex.alias_map().items())])
-
-    def best(c: Column) -> Column:
-        bar = F.when(F.instr(c, " ") > 0, FUZZY_LONG).otherwise(FUZZY_SHORT)
-        longer = lambda a: F.greatest(F.length(c), F.length(a))
-        near = F.filter(aliases, lambda x: F.least(F.length(c), F.length(x["alias"])) >= longer(x["alias"]) * bar - 1e-9)
-        scored = F.transform(
-            near, lambda x: F.struct((F.lit(1.0) - F.levenshtein(c, x["alias"]) / F.greatest(longer(x["alias"]), F.lit(1))).alias("ratio"), x["alias"].alias("alias"), x["role"].alias("role"))
-        )
-        passed = F.filter(scored, lambda x: x["ratio"] >= bar - 1e-9)
-        # Highest ratio, then the first alias in order.
-        top = F.array_max(F.transform(passed, lambda x: x["ratio"]))
-        return F.get(F.filter(passed, lambda x: x["ratio"] == top), 0)
-
-    return T.let(cleaned, lambda c: F.when(c != "", T.let(F.get(F.array(c), 0), best)))
+    aliases = lex.alias_map()
+    glued = {k: aliases[p] for k, p in lex.compact_map().items()}
+    df = add_closest(labels, "__spelled", F.col("cleaned"), aliases, lambda c: F.when(F.instr(c, " ") > 0, FUZZY_LONG).otherwise(FUZZY_SHORT), wanted)
+    missed = F.col("__spelled").isNull() if wanted is None else F.col("__spelled").isNull() & wanted
+    df = add_closest(df, "__glued", F.replace("cleaned", F.lit(" "), F.lit("")), glued, lambda c: F.lit(FUZZY_LONG), missed)
+    best = F.coalesce("__spelled", "__glued")
+    return df.withColumn("close", F.when(best.isNotNull(), F.struct(best["name"].alias("alias"), best["value"].alias("role")))).drop("__spelled", "__glued")
 
 
 def _family_structs(lex: RoleLexicon) -> Column:
@@ -140,9 +134,11 @@ def normalize_role(labels: DataFrame, lex: RoleLexicon) -> DataFrame:
     df = _lookup(df, spark, "phrase", {p: syn[p] for p in compact.values() if p in syn}, "r_compact")
     df = _lookup(df, spark, "cleaned", exact, "r_keyword")
     words = F.split("cleaned", " ")
-    # coalesce stops at the first hit, so the costly steps run only for labels the tables miss.
+    # Only labels that the tables and rules miss are compared with aliases; coalesce stops at the first hit.
+    df = df.withColumn("r_known", F.coalesce("r_synonym", "r_compact", "r_keyword", word_rule(words, lex)))
+    df = fuzzy_alias(df, lex, F.col("r_known").isNull())
     role = F.coalesce(
-        "r_synonym", "r_compact", "r_keyword", word_rule(words, lex), fuzzy_alias(F.col("cleaned"), lex)["role"], signal_role(F.col("cleaned"), lex),
+        "r_known", "close.role", signal_role(F.col("cleaned"), lex),
         loose_keyword(F.col("cleaned"), lex), "cleaned",
     )
     return df.select("label", "cleaned", role.alias("normalized"), F.coalesce("phrase", "cleaned").alias("expanded"))
