@@ -7,7 +7,7 @@ import importlib
 from docmarket.registry import REGISTRY, Registered
 
 MODULES = (
-    "text", "listings", "structure", "terms", "market", "quality", "gaps", "roles", "guards", "alignment", "requirements", "reports", "analysis",
+    "text", "listings", "structure", "terms", "market", "quality", "gaps", "roles", "guards", "alignment", "requirements", "reports", "analysis", "refresh",
 )
 
 # Counts and positions that Spark gives as INT and the SQL twin as BIGINT; shown as BIGINT.

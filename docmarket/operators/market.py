@@ -25,6 +25,35 @@ def trust(source: Column, table: Mapping[str, float], other: float) -> Column:
     return F.coalesce(F.try_element_at(T.lit_map(table), F.lower(source)), F.lit(other))
 
 
+def job_columns(trust_table: Mapping[str, float], trust_other: float) -> dict[str, Column]:
+    """Per listing: source, live, company, low_title, and job_weight before damping and the duplicate divisor."""
+    base = trust(F.col("source"), trust_table, trust_other)
+    fit = F.lit(0.45) + F.least(F.coalesce("role_fit", F.lit(DEFAULT_FIT)), F.lit(8.0)) / 8
+    quality = F.lit(0.65) + F.least(F.coalesce("listing_quality", F.lit(DEFAULT_QUALITY)), F.lit(20.0)) / 28
+    low_title = F.lower(T.normalize_ws(F.col("title")))
+    company = F.coalesce(F.nullif(F.lower(T.normalize_ws(F.col("company"))), F.lit("")), F.concat_ws(":", F.lower("source"), F.substring(low_title, 1, 48)))
+    return {"source": F.lower("source"), "live": is_live_source(F.col("source")), "company": company, "low_title": low_title, "job_weight": base * fit * quality}
+
+
+def term_weight(generic: Sequence[str]) -> Column:
+    """Weight of a listing's term from weight, live, low_title, n_evidence, primary and hinted."""
+    w = F.coalesce("weight", F.when(F.col("live"), LIVE_WEIGHT).otherwise(BASELINE_WEIGHT))
+    up = lambda c, cond, add: F.when(cond, F.least(F.lit(1.0), c + add)).otherwise(c)
+    w = up(w, F.contains(F.col("low_title"), F.col("term")), 0.12)
+    w = up(w, F.col("n_evidence") > 1, 0.06)
+    w = F.when(F.col("primary"), F.least(F.lit(1.0), w + 0.08)).when(F.col("hinted"), F.least(F.lit(1.0), w + 0.03)).otherwise(w * 0.86)
+    return F.when(F.col("term").isin(*generic) & ~F.col("primary"), w * 0.72).otherwise(w)
+
+
+def demand_pairs(jobs: DataFrame, terms: DataFrame, hints: DataFrame) -> DataFrame:
+    """One row for each listing and term, with the flags of the hints; ``lead`` marks one row of each listing."""
+    kinds = hints.groupBy("query_id", "term").agg(F.max((F.col("kind") == "primary")).alias("primary"), F.lit(True).alias("hinted"))
+    once = terms.groupBy("query_id", "listing_id", "term").agg(F.max("weight").alias("weight"), F.max("n_evidence").alias("n_evidence"))
+    # One row of each listing carries its weight for the denominator; a listing has at most as many terms as the lexicon.
+    lead = F.row_number().over(Window.partitionBy("query_id", "listing_id").orderBy("term")) == 1
+    return once.join(jobs, ["query_id", "listing_id"]).withColumn("lead", lead).join(kinds, ["query_id", "term"], "left").fillna(False, ["primary", "hinted"])
+
+
 def term_demand(
     listings: DataFrame, terms: DataFrame, hints: DataFrame, trust_table: Mapping[str, float] = X.DEMAND_TRUST,
     trust_other: float = X.DEMAND_TRUST_OTHER, generic: Sequence[str] = X.GENERIC_SECONDARY_TERMS,
@@ -45,27 +74,11 @@ def term_demand(
     per_query = listings.groupBy("query_id").agg(F.max(live).alias("live_present"), F.count_if(live).alias("live_listings"))
     if "signature" in listings.columns:
         listings = with_group_size(listings, ["signature"], "dup_divisor")
-    base = trust(F.col("source"), trust_table, trust_other)
-    damped = F.when(F.col("live_present") & ~live, base * BASELINE_DAMPING).otherwise(base)
-    fit = F.lit(0.45) + F.least(F.coalesce("role_fit", F.lit(DEFAULT_FIT)), F.lit(8.0)) / 8
-    quality = F.lit(0.65) + F.least(F.coalesce("listing_quality", F.lit(DEFAULT_QUALITY)), F.lit(20.0)) / 28
-    low_title = F.lower(T.normalize_ws(F.col("title")))
-    company = F.coalesce(F.nullif(F.lower(T.normalize_ws(F.col("company"))), F.lit("")), F.concat_ws(":", F.lower("source"), F.substring(low_title, 1, 48)))
-    jobs = listings.join(per_query, ["query_id"]).select(
-        "query_id", "listing_id", F.lower("source").alias("source"), live.alias("live"), "live_present", "live_listings", company.alias("company"), low_title.alias("low_title"),
-        (damped * fit * quality / F.greatest(F.col("dup_divisor"), F.lit(1))).alias("job_weight"),
-    )
-    kinds = hints.groupBy("query_id", "term").agg(F.max((F.col("kind") == "primary")).alias("primary"), F.lit(True).alias("hinted"))
-    once = terms.groupBy("query_id", "listing_id", "term").agg(F.max("weight").alias("weight"), F.max("n_evidence").alias("n_evidence"))
-    # One row of each listing carries its weight for the denominator; a listing has at most as many terms as the lexicon.
-    lead = F.row_number().over(Window.partitionBy("query_id", "listing_id").orderBy("term")) == 1
-    pairs = once.join(jobs, ["query_id", "listing_id"]).withColumn("lead", lead).join(kinds, ["query_id", "term"], "left").fillna(False, ["primary", "hinted"])
-    w = F.coalesce("weight", F.when(F.col("live"), LIVE_WEIGHT).otherwise(BASELINE_WEIGHT))
-    up = lambda c, cond, add: F.when(cond, F.least(F.lit(1.0), c + add)).otherwise(c)
-    w = up(w, F.contains(F.col("low_title"), F.col("term")), 0.12)
-    w = up(w, F.col("n_evidence") > 1, 0.06)
-    w = F.when(F.col("primary"), F.least(F.lit(1.0), w + 0.08)).when(F.col("hinted"), F.least(F.lit(1.0), w + 0.03)).otherwise(w * 0.86)
-    w = F.when(F.col("term").isin(*generic) & ~F.col("primary"), w * 0.72).otherwise(w)
+    columns = job_columns(trust_table, trust_other)
+    damped = F.when(F.col("live_present") & ~live, BASELINE_DAMPING).otherwise(1.0)
+    weight = columns.pop("job_weight") * damped / F.greatest(F.col("dup_divisor"), F.lit(1))
+    jobs = listings.join(per_query, ["query_id"]).select("query_id", "listing_id", "live_present", "live_listings", weight.alias("job_weight"), *[c.alias(n) for n, c in columns.items()])
+    pairs, w = demand_pairs(jobs, terms, hints), term_weight(generic)
     per_company = pairs.groupBy("query_id", "term", "company", "source").agg(
         F.sum(F.col("job_weight") * w).alias("weighted"), F.sum(F.when(F.col("lead"), F.col("job_weight")).otherwise(0.0)).alias("jobs"), F.count(F.lit(1)).alias("n"), F.count_if("live").alias("n_live"),
         *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
