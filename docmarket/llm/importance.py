@@ -154,12 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, smoothing: flo
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     labelled = rows.join(few, F.col("id") == F.col("__id")).select("text", "__toxic")
     words = np.sort(np.array([r["word"] for r in toxic_words(labelled, evidence, pure).collect()], dtype=np.int64).astype(np.uint64))
-    counted = count_ngrams(rows.join(few, F.col("id") == F.col("__id"), "left"), words, "text").collect()  # at most BUCKETS + 4096 rows
+    counted = count_ngrams(rows.join(few, F.col("id") == F.col("__id"), "left"), words, "text").toArrow()  # at most BUCKETS + 4096 rows
     size = BUCKETS + len(words)
     n, low, toxic = (np.zeros(size) for _ in range(3))
-    at = np.array([r["bucket"] for r in counted], dtype=np.int64)
+    at = np.asarray(counted["bucket"])
     for out, name in ((n, "n"), (low, "low"), (toxic, "toxic")):
-        out[at] = [r[name] for r in counted]
+        out[at] = np.asarray(counted[name])
     share = low[:BUCKETS].sum() / max(n[:BUCKETS].sum(), 1.0)
     weights = np.log((low[:BUCKETS] + smoothing) / (n[:BUCKETS] * share + smoothing)) if share else np.zeros(BUCKETS)
     share = toxic[:BUCKETS].sum() / max(n[:BUCKETS].sum(), 1.0)

@@ -325,7 +325,7 @@ def _held_against_groups(keyed: DataFrame, chosen: DataFrame, shingle: int, perc
     return rows.groupBy("group", "part").applyInPandas(hold, "node bigint, other bigint, links bigint")
 
 
-def connected(edges: DataFrame, most: int = 200) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes in edges (a, b): root is the smallest node of the component.
 
     In each round a node takes the smallest root among its neighbours' and its own, and then the root of
@@ -336,7 +336,7 @@ def connected(edges: DataFrame, most: int = 200) -> DataFrame:
     number = labels.count()
     if not number:
         return labels
-    for _ in range(most):
+    while True:  # each round at least halves the longest way to a root
         near = both.join(small(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), number), "other").groupBy("node").agg(F.min("near").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = step.join(small(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), number), "root").select("node", "old", F.least("root", "far").alias("root"))
@@ -344,4 +344,3 @@ def connected(edges: DataFrame, most: int = 200) -> DataFrame:
         labels = jump.select("node", "root")
         if jump.filter("old <> root").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")

@@ -6,7 +6,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -16,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docmarket.llm.words import LOWER, WHITESPACE, flat, slices, span_hashes, split
 
-KNOWN = 1_000_000  # words a worker remembers at most
-SLICE_BYTES = 4 << 20
+KNOWN = 150_000  # words a worker remembers at most; beyond it the ones not seen for longest go
 _TAIL = np.zeros(256, dtype=bool)
 _TAIL[list(b".,;:!?")] = True
 # Bytes of the letters a-z, A-Z and U+00C0 to U+017F, which are composed and lower-cased one by one; the signs among these are taken out by pairs.
@@ -48,11 +46,11 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}  # hash of a word -> its number
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.used, self.slice = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0  # sorted; slice in which a word was last seen
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def learn(self, hashes: np.ndarray, pieces: list[str], plain: list[bool]) -> None:
-        """Number pieces that are not known and keep their ids."""
+    def ids_of(self, pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and their numbers."""
         ids, rest, model = [], [], self.tokenizer.model
         for piece, letters in zip(pieces, plain):
             if letters:
@@ -64,39 +62,55 @@ class WordEncoder:
             some = rest[at : at + 4096]
             for k, e in zip(some, self.tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
                 ids[k] = e.ids
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.place.update(zip(hashes.tolist(), range(len(self.starts), len(self.starts) + len(pieces))))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))))
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
+
+    def learn(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep words; if there are too many, half the room stays for those seen last."""
+        starts = len(self.ids) + np.cumsum(lengths, dtype=np.int32) - lengths
+        columns = [np.concatenate(x) for x in ((self.hashes, hashes), (self.used, np.full(len(hashes), self.slice, np.int32)), (self.starts, starts), (self.lengths, lengths))]
+        self.ids = np.concatenate((self.ids, ids))
+        if len(columns[0]) > KNOWN:
+            keep = np.argsort(-columns[1], kind="stable")[: KNOWN // 2]
+            columns = [c[keep] for c in columns]
+            self.ids = self.ids[spread(columns[2], columns[3])]
+            columns[2] = np.cumsum(columns[3], dtype=np.int32) - columns[3]
+        order = np.argsort(columns[0])
+        self.hashes, self.used, self.starts, self.lengths = (c[order] for c in columns)
 
     def encode(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, and for every row how many come before it (rows + 1 numbers)."""
         raw, starts, stops, plain, rows = cut_pieces(*flat(column))
-        hashes = span_hashes(raw, starts, stops)
-        code, distinct = pd.factorize(hashes)
-        number = lambda: np.fromiter(map(self.place.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
-        numbers = number()
-        new = np.flatnonzero(numbers < 0)
+        code, distinct = pd.factorize(span_hashes(raw, starts, stops))
+        self.slice += 1
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), dtype=bool)
+        self.used[at[known]] = self.slice
+        from_, lengths, ids = np.zeros(len(distinct), np.int32), np.zeros(len(distinct), np.int32), self.ids
+        from_[known], lengths[known] = self.starts[at[known]], self.lengths[at[known]]
+        new = np.flatnonzero(~known)
         if len(new):
-            if len(self.place) + len(new) > KNOWN:
-                self.forget()
-                new = np.arange(len(distinct))
-            first = np.empty(len(distinct), dtype=np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            data, at = raw.tobytes(), first[new]
-            self.learn(distinct[new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), stops[at].tolist())], plain[at].tolist())
-            numbers = number()
-        numbers = numbers[code]
-        lengths = self.lengths[numbers]
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.ids[np.arange(before[-1]) + np.repeat(self.starts[numbers] - before[:-1], lengths)]
-        bounds = before[rows]
+            first = np.empty(len(distinct), dtype=np.int32)
+            first[code[::-1]] = np.arange(len(code), dtype=np.int32)[::-1]
+            data, first = raw.tobytes(), first[new]
+            own, sizes = self.ids_of([data[a:b].decode() for a, b in zip(starts[first].tolist(), stops[first].tolist())], plain[first].tolist())
+            from_[new], lengths[new] = len(ids) + np.cumsum(sizes, dtype=np.int32) - sizes, sizes
+            ids = np.concatenate((ids, own))
+            self.learn(distinct[new], own, sizes)
+        lengths = lengths[code]
+        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        ids, bounds = ids[spread(from_[code], lengths)], before[rows]
         if end is not None:
             ids, bounds = np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
         return ids, bounds
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the stretches that start at ``starts``, one after the other."""
+    before = np.cumsum(lengths, dtype=np.int32) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()), dtype=np.int32)
+
+
 def cut_pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes with plain words' ASCII letters in lower case, starts and ends of pieces, which are plain, and pieces before each row.
 
@@ -132,7 +146,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, shards: int | None = None, stripe_bytes: int = 64 << 20, id: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, shards: int | None = None, stripe_bytes: int = 16 << 20, id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text and write ids as ORC in ascending order of ``id``: doc_id, shard, at, ids.
 
     Shards are ranges of ids, one file each; ``at`` counts the ids of a shard's earlier documents, so a
@@ -149,7 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for batch in batches:
-            for a, b in slices(batch["text"], SLICE_BYTES):
+            for a, b in slices(batch["text"]):
                 ids, bounds = encoder(tokenizer).encode(batch["text"].slice(a, b - a), end)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["shard"].slice(a, b - a), pa.array(at + bounds[:-1], pa.int64()), lists], ["doc_id", "shard", "at", "ids"])

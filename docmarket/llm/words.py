@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -40,18 +40,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x5851F42D4C957F2D
+_PRIME = np.uint64(2**61 - 1)
+_BASE = 0x0B7E151628AED2A6 + 1  # any number below the prime that is no small root of unity
+_LOW31, _LOW30, _LOW29 = (np.uint64(2**n - 1) for n in (31, 30, 29))
+_S61, _S32, _S31, _S30, _S29 = (np.uint64(n) for n in (61, 32, 31, 30, 29))
 
 
-@lru_cache(maxsize=4)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Below the prime, for any 64-bit number."""
+    x = (x & _PRIME) + (x >> _S61)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it: by halves, as 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    cross = a1 * b0 + a0 * b1
+    return _reduced(a1 * b1 * np.uint64(2) + (cross >> _S30) + ((cross & _LOW30) << _S31) + _reduced(a0 * b0))
+
+
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to ``size``, a power of two."""
+
     def of(base: int) -> np.ndarray:
-        out = np.full(size, base & (2**64 - 1), dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
+        out = np.ones(size, dtype=np.uint64)
+        n = 1
+        while n < size:
+            out[n : 2 * n] = _times(out[:n], np.uint64(pow(base, n, int(_PRIME))))
+            n *= 2
+        return out
 
-    return of(_BASE), of(pow(_BASE, -1, 2**64))
+    return of(_BASE), of(pow(_BASE, -1, int(_PRIME)))
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -101,11 +121,20 @@ def word_hashes(column: pa.Array, table: np.ndarray, lower: bool = True) -> tupl
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Hashes of spans of bytes."""
-    size = 1 << max(16, int(len(raw)).bit_length())
+    size = 1 << max(16, int(len(raw) - 1).bit_length())
     power, inverse = _powers(size) if size <= 4 * SLICE_BYTES else _powers.__wrapped__(size)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    # A byte times a power has less than 70 bits; its halves are summed apart, each sum in less than 64 bits.
+    value, power = raw.astype(np.uint64) + np.uint64(1), power[: len(raw)]
+    high = value * (power >> _S32)
+    low = value * (power & np.uint64(2**32 - 1))
+    sums = []
+    for half in (low, high):
+        running = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(half, out=running[1:])
+        sums.append(running[stops] - running[starts])
+    low, high = _reduced(sums[0]), _reduced(sums[1])
+    shifted = _reduced((high >> _S29) + ((high & _LOW29) << _S32))  # times 2**32
+    return mix(_times(_reduced(low + shifted), inverse[starts]) + (stops - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
