@@ -123,13 +123,13 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     """Hashes of spans of bytes."""
     size = 1 << max(16, int(len(raw) - 1).bit_length())
     power, inverse = _powers(size) if size <= 4 * SLICE_BYTES else _powers.__wrapped__(size)
-    # A byte times a power has less than 70 bits; its halves are summed apart, each sum in less than 64 bits.
-    value, power = raw.astype(np.uint64) + np.uint64(1), power[: len(raw)]
-    high = value * (power >> _S32)
-    low = value * (power & np.uint64(2**32 - 1))
-    sums = []
-    for half in (low, high):
-        running = np.zeros(len(raw) + 1, dtype=np.uint64)
+    # A byte times a power has less than 70 bits; its halves are summed one after the other, each sum in less than 64 bits.
+    value, sums = raw.astype(np.uint64), []
+    value += np.uint64(1)
+    running = np.zeros(len(raw) + 1, dtype=np.uint64)
+    for high in (False, True):
+        half = power[: len(raw)] >> _S32 if high else power[: len(raw)] & np.uint64(2**32 - 1)
+        half *= value
         np.cumsum(half, out=running[1:])
         sums.append(running[stops] - running[starts])
     low, high = _reduced(sums[0]), _reduced(sums[1])
