@@ -13,7 +13,7 @@ from docmarket.llm.fm_index import FmIndex
 from docmarket.llm.words import NOT_ALNUM, flat, slices, split, word_hashes, window_hashes
 
 BLOCK_BYTES = 16 << 20  # of benchmark text that go to the tasks at once
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 2 << 20  # of document text under one index
 STATE = "n_words bigint, spans array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>, items array<string>"
 
 
