@@ -13,7 +13,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import SparkSession
+
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -74,6 +77,16 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return of(_BASE), of(pow(_BASE, -1, int(_PRIME)))
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let whole texts go to Python and back in Arrow batches of ``most`` bytes (one row at least), not Spark's 64 MB.
+
+    A batch stands in memory about five times on its way, in every task. A smaller setting stays as it is.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > most:
+        spark.conf.set(name, f"{most}b")
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes of text each (one row at least)."""
     ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]

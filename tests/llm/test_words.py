@@ -81,3 +81,19 @@ def test_encoder_forgets_the_oldest(monkeypatch):
         ids, bounds = encoder.encode(pa.array(texts), 1)
         assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
         assert len(encoder.hashes) <= 200 and (np.diff(encoder.hashes.astype(object)) > 0).all()
+
+
+def test_batches_of_texts_are_bounded(spark):
+    from docmarket.llm.words import small_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        small_batches(spark, 1 << 16)
+        small_batches(spark, 1 << 20)  # the smaller one stays
+        assert spark.conf.get(name) == "65536b"
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+        docs = spark.range(64, numPartitions=1).selectExpr("repeat('x', 10000) AS text")
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n bigint").collect()) <= 8
+    finally:
+        spark.conf.set(name, before)
