@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmarket.llm import decontamination, importance, jaccard_join, mixing, sharding
+from docmarket.llm.words import small_batches
 from docmarket.session import cut_lineage, new_folder
 
 #: The classifier's model and the Gumbel sample have no SQL form; tests hold the stages against brute force.
@@ -17,6 +18,7 @@ ORACLE_SQL = None
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     classifier = importance.train_classifier(docs, labels)
     return importance.classify(docs, classifier, keep_text=True).filter("__kept").select(*docs.columns)
@@ -27,6 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without an id cannot be told apart and stay; of rows that repeat an id one stays.
     """
+    small_batches(spark)
     groups = cut_lineage(jaccard_join.jaccard_components(docs, shingle=5, percent=80))
     first = cut_lineage(groups.filter("doc_id = component_id").groupBy("doc_id").count())
     number = first.count()
@@ -37,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
+    small_batches(spark)
     found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=True)
     return found.filter(F.size("spans") == 0).select(*docs.columns)
 
