@@ -61,14 +61,14 @@ def g1(spark, sf):
 
 
 FTOK = lambda e: f"list_filter(string_split({CW(e)}, ' '), lambda w: w <> '' AND w NOT IN {S.in_list(G.FAST_STOPWORDS)})"
-FAST_SQL = f"""ft AS (SELECT p_partkey, {FTOK('q_text')} AS q, {FTOK('title')} AS t, {FTOK("title || ' ' || tags[1] || ' ' || tags[2] || ' ' || substring(description, 1, 240)")} AS x FROM gc),
+FAST_SQL = f"""ft AS (SELECT p_partkey, {FTOK('q_text')} AS q, {FTOK('title')} AS t, {FTOK("title || ' ' || tags[1] || ' ' || tags[2] || ' ' || description")} AS x FROM gc),
   fv AS (SELECT p_partkey, list_distinct(q) AS d, array_to_string(q, ' ') AS qs, array_to_string(t, ' ') AS ts, array_to_string(x, ' ') AS xs, t, x FROM ft),
   fast AS (SELECT p_partkey, {S.rnd('CASE WHEN contains(ts, qs) THEN 12 WHEN len(list_intersect(d, t)) = len(d) THEN 9 ELSE least(7, len(list_intersect(d, t)) * 3) END + CASE WHEN contains(xs, qs) AND NOT contains(ts, qs) THEN 2.5 ELSE 0 END + least(4, len(list_intersect(d, x)) * CAST(0.9 AS DOUBLE))', 2)} AS score FROM fv)"""
 
 
 @query("G2_fast_title_alignment", f"WITH RECURSIVE {CAND_SQL}, {FAST_SQL} SELECT p_partkey, score FROM fast")
 def g2(spark, sf):
-    return cand(spark, sf).select("p_partkey", G.fast_title_alignment(240).alias("score"))
+    return cand(spark, sf).select("p_partkey", G.fast_title_alignment().alias("score"))
 
 
 RAW = lambda e: f"regexp_replace(lower({e}), '[^a-z0-9+ ]+', ' ', 'g')"
@@ -140,7 +140,7 @@ QUAL_SQL = f"""q0 AS (SELECT ov.*, len(list_filter(string_split(cd, ' '), lambda
 
 
 def annotated(spark, sf):
-    return G.annotate(cand(spark, sf), LEX.families, ADJ, head=700)
+    return G.annotate(cand(spark, sf), LEX.families, ADJ)
 
 
 @query("G8_listing_quality", f"WITH RECURSIVE {CAND_SQL}, {OVER_SQL}, {QUAL_SQL} SELECT p_partkey, listing_quality FROM ql")
@@ -226,6 +226,6 @@ def e13(spark, sf):
     rows = cand(spark, sf).join(model.select(F.col("label").alias("title"), F.col("baseline_terms").alias("title_terms")), ["title"]).join(
         model.select(F.col("label").alias("q_text"), F.col("baseline_terms").alias("query_terms")), ["q_text"]
     )
-    out = G.fast_profile(rows, head=240)
+    out = G.fast_profile(rows)
     flat = F.array_join(F.transform("prior", lambda x: F.concat_ws("=", x["term"], x["weight"])), "|")
     return out.select("p_partkey", flat.alias("prior"), "title_alignment", "role_fit", "requirement_quality")

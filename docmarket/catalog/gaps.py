@@ -10,6 +10,7 @@ from docmarket.catalog.text import sql_clip, sql_token_set
 from docmarket.functions import text as T
 from docmarket.operators import dedupe as D, gaps as L, scoring as M, terms as E
 from docmarket.operators.ranking import top_per_group
+from docmarket.operators.select import SELECTION_MAX
 from docmarket.registry import query
 from docmarket.session import cut_lineage
 from docmarket.sources.tables import table
@@ -73,7 +74,7 @@ def l2(spark, sf):
 
 
 EVIDENCE_SQL = f"""lst AS (SELECT l.*, 'about ' || title || '  at ' || company AS description FROM listings l),
-  keyed AS (SELECT query_id, listing_id, term, CASE WHEN n_evidence >= 6 THEN 0 WHEN n_evidence >= 3 THEN 1 ELSE 2 END AS tier FROM terms WHERE term LIKE '%ring' OR term LIKE 'old%'),
+  keyed AS (SELECT query_id, listing_id, term, CASE WHEN n_evidence >= 6 THEN 0 WHEN n_evidence >= 3 THEN 1 ELSE 2 END AS tier FROM terms),
   ev AS (SELECT k.*, lst.source, lst.company, CASE tier WHEN 0 THEN 'stored ' || term WHEN 1 THEN {S.ws('description')} ELSE 'literal ' || term END AS snippet FROM keyed k JOIN lst USING (query_id, listing_id) WHERE lst.source <> 'role-baseline'),
   firsts AS (SELECT * FROM (SELECT *, coalesce(nullif(lower(company), ''), 'unknown') AS company_key, row_number() OVER (PARTITION BY query_id, term, coalesce(nullif(lower(company), ''), 'unknown') ORDER BY listing_id) AS rn FROM ev) WHERE rn = 1)"""
 
@@ -81,7 +82,7 @@ EVIDENCE_SQL = f"""lst AS (SELECT l.*, 'about ' || title || '  at ' || company A
 def evidence_frame(spark, sf):
     listings, terms, _ = market_frames(spark, sf)
     listings = listings.withColumns({"description": F.concat(F.lit("about "), "title", F.lit("  at "), "company"), "arrival": F.col("listing_id")})
-    once = terms.filter("term LIKE '%ring' OR term LIKE 'old%'").groupBy("query_id", "listing_id", "term").agg(F.max("n_evidence").alias("n"))
+    once = terms.groupBy("query_id", "listing_id", "term").agg(F.max("n_evidence").alias("n"))
     snippet = lambda word: F.concat(F.lit(word + " "), "term").alias("snippet")
     keys = ["query_id", "listing_id", "term"]
     stored = once.filter("n >= 6").select(*keys, snippet("stored"))
@@ -159,7 +160,7 @@ REPORT_SQL = """de AS (SELECT DISTINCT o_custkey AS doc_id, p_name AS term, (['e
   dr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY CASE section WHEN 'experience' THEN 5 WHEN 'skills' THEN 4 WHEN 'summary' THEN 1 ELSE 0 END + CASE WHEN snippet LIKE 'built %' THEN 2 ELSE 0 END
     + CASE WHEN regexp_matches(snippet, '[0-9]') THEN 1 ELSE 0 END - CASE WHEN snippet LIKE '%http%' THEN 4 ELSE 0 END DESC, least(length(snippet), 220) DESC, length(snippet), snippet) AS r FROM de),
   da AS (SELECT doc_id, term, string_agg(snippet, '|' ORDER BY r) AS document_evidence FROM dr WHERE r <= 2 GROUP BY ALL),
-  le AS (SELECT t.query_id, t.term, t.listing_id, l.source, CASE WHEN n_evidence >= 5 THEN 'must have ' || term ELSE term || ' wanted' END AS snippet FROM terms t JOIN listings l USING (query_id, listing_id) WHERE term LIKE 'red%' OR l.source = 'role-baseline'),
+  le AS (SELECT t.query_id, t.term, t.listing_id, l.source, CASE WHEN n_evidence >= 5 THEN 'must have ' || term ELSE term || ' wanted' END AS snippet FROM terms t JOIN listings l USING (query_id, listing_id)),
   ll AS (SELECT query_id, term, bool_or(source <> 'role-baseline') AS has_live FROM le GROUP BY ALL),
   lr AS (SELECT le.*, row_number() OVER (PARTITION BY query_id, term ORDER BY CASE WHEN source <> 'role-baseline' THEN 4 ELSE 0 END + CASE WHEN snippet LIKE 'must%' THEN 2 ELSE 0 END DESC, least(length(snippet), 220) DESC, length(snippet), snippet, listing_id) AS r
     FROM le JOIN ll USING (query_id, term) WHERE NOT has_live OR source <> 'role-baseline'),
@@ -181,7 +182,7 @@ def l6(spark, sf):
     own = lines.select(F.col("o_custkey").alias("doc_id"), name.alias("term"), pick(("experience", "skills", "summary", "other"), no % 4).alias("section"), text.alias("snippet"))
     listings, terms, _ = market_frames(spark, sf)
     once = terms.groupBy("query_id", "listing_id", "term").agg(F.max("n_evidence").alias("n"))
-    shown = once.join(listings.select("query_id", "listing_id", "source"), ["query_id", "listing_id"]).filter("term LIKE 'red%' OR source = 'role-baseline'")
+    shown = once.join(listings.select("query_id", "listing_id", "source"), ["query_id", "listing_id"])
     shown = shown.select("query_id", "term", "listing_id", "source", F.when(F.col("n") >= 5, F.concat(F.lit("must have "), "term")).otherwise(F.concat("term", F.lit(" wanted"))).alias("snippet"))
     out = L.term_report(rows, own, shown)
     flat = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
@@ -246,16 +247,18 @@ def m3(spark, sf):
     )
 
 
-SCORED_PAIRS_SQL = """sp AS (SELECT dq.doc_id, dq.query_id, l.listing_id, l.source, CAST(l.listing_id % 90 AS DOUBLE) AS base, CAST(dq.doc_id % 100 AS DOUBLE) AS language, CAST(l.listing_id % 30 AS DOUBLE) AS title_alignment, CAST(l.listing_id % 14 AS DOUBLE) AS role_fit
-    FROM dq JOIN listings l ON l.query_id = dq.query_id AND l.listing_id % 500 = dq.doc_id % 500),
+# A document is scored against the 15 listings selected for its query: those that fit best.
+SCORED_PAIRS_SQL = """picked AS (SELECT * FROM listings QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(role_fit, 0) DESC, listing_id) <= 15),
+  sp AS (SELECT dq.doc_id, dq.query_id, l.listing_id, l.source, CAST(l.listing_id % 90 AS DOUBLE) AS base, CAST(dq.doc_id % 100 AS DOUBLE) AS language, CAST(l.listing_id % 30 AS DOUBLE) AS title_alignment, CAST(l.listing_id % 14 AS DOUBLE) AS role_fit
+    FROM dq JOIN picked l ON l.query_id = dq.query_id),
   own_proof AS (SELECT doc_id, term, CAST(CASE WHEN qty >= 40 THEN 1 WHEN qty >= 20 THEN 0.72 ELSE 0.38 END AS DOUBLE) AS proof FROM own)"""
 
 
 def scored_pairs(spark, sf):
     listings, terms, _ = market_frames(spark, sf)
-    dq = doc_queries(spark, sf).withColumn("block", F.col("doc_id") % 500)
     key = F.col("listing_id")
-    pairs = dq.join(listings.withColumn("block", key % 500), ["query_id", "block"]).select(
+    picked = top_per_group(listings, ["query_id"], [F.desc(F.coalesce("role_fit", F.lit(0.0))), F.asc("listing_id")], SELECTION_MAX)
+    pairs = doc_queries(spark, sf).join(picked, ["query_id"]).select(
         "doc_id", "query_id", "listing_id", "source", (key % 90).cast("double").alias("base"), (F.col("doc_id") % 100).cast("double").alias("language"),
         (key % 30).cast("double").alias("title_alignment"), (key % 14).cast("double").alias("role_fit"),
     )
@@ -290,7 +293,7 @@ def m5(spark, sf):
     f"""WITH {BASE_SQL}, {SCORED_PAIRS_SQL}, w AS (SELECT sp.doc_id, sp.listing_id, sp.source, coalesce(weight, CASE WHEN source <> 'role-baseline' THEN CAST(0.82 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END) AS w, coalesce(proof, 0) AS proof
       FROM sp JOIN terms t ON t.listing_id = sp.listing_id LEFT JOIN own_proof o ON o.doc_id = sp.doc_id AND o.term = t.term),
     p AS (SELECT doc_id, listing_id, sum(w) AS total, sum(w * proof) AS covered, max(CASE WHEN source <> 'role-baseline' THEN 1 ELSE CAST(0.7 AS DOUBLE) END) AS jw FROM w GROUP BY ALL)
-    SELECT doc_id, {S.rnd('sum(covered / total * jw) / sum(jw) * 100', 2)} AS skill_match FROM p WHERE total > 0 GROUP BY doc_id""",
+    SELECT doc_id, {S.rnd(S.rnd('sum(covered / total * jw) / sum(jw) * 100', 9), 2)} AS skill_match FROM p WHERE total > 0 GROUP BY doc_id""",
 )
 def m6(spark, sf):
     pairs, terms, own = scored_pairs(spark, sf)

@@ -32,7 +32,7 @@ turns_f AS (
   SELECT 'turns', conv_id || '-' || turn, 'Unknown Role', 'Unknown Company', 'Unknown', 'https://example.com', {sql_strip_html('text')}, 'listing', '', false, ''
   FROM conversations),
 u AS (SELECT * FROM pages_f UNION ALL SELECT * FROM docs_f UNION ALL SELECT * FROM turns_f)
-SELECT source, external_id, title, company, location, remote, url, {sql_clip('body', 4000)} AS description, tags, posted, extra FROM u
+SELECT source, external_id, title, company, location, remote, url, body AS description, tags, posted, extra FROM u
 """
 
 
@@ -45,7 +45,7 @@ def a1(spark, sf):
         F.when(F.col("doc_id") % 2 == 0, F.lit("2024-02-03T04:05:06Z")).otherwise(F.lit("86400")).alias("created"),
     )
     turns = table(spark, sf, "conversations").select("text", F.concat_ws("-", "conv_id", "turn").alias("turn_key"))
-    out = feeds.unify_listings({"pages": pages, "docs": docs, "turns": turns}, {"pages": PAGE_FEED, "docs": DOC_FEED, "turns": TURN_FEED}, limit=4000)
+    out = feeds.unify_listings({"pages": pages, "docs": docs, "turns": turns}, {"pages": PAGE_FEED, "docs": DOC_FEED, "turns": TURN_FEED})
     return out.select(
         "source", "external_id", "title", "company", "location", "remote", "url", "description", F.array_join("tags", "|").alias("tags"),
         F.coalesce(F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("posted"),
