@@ -85,10 +85,10 @@ def find(phrases: Phrases, words: np.ndarray, rows: np.ndarray, sample: int) ->
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def search_batch(batch: pa.RecordBatch, phrases: Phrases, text: str, sample: int) -> pa.RecordBatch:
-    """One batch with n_words, spans and items, joined with those of earlier blocks where it has them."""
+def search_batch(batch: pa.RecordBatch, phrases: Phrases, text: str, sample: int, first_block: bool = True) -> pa.RecordBatch:
+    """One batch with n_words, spans and items, joined with those of earlier blocks after the first."""
     column, parts = batch[text], []
-    earlier = batch["spans"].to_pylist() if "spans" in batch.schema.names else None
+    earlier = None if first_block else batch["spans"].to_pylist()
     earlier_items = batch["items"].to_pylist() if earlier is not None else None
     counts, spans, items = [], [None] * len(batch), [None] * len(batch)
     for a, b in slices(column, SHARD_BYTES):
@@ -153,7 +153,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, sample:
 
     Nulls: a null text has no words; an item with a null text has no window; a null item id is written
     as an empty string. Items that share an id count once. Repeated rows are searched each. An empty
-    table gives no rows, an empty benchmark no spans. Other columns than the three are passed on.
+    table gives no rows, an empty benchmark no spans. Columns of ``docs`` called n_words, spans or items give
+    way to the results; all others are passed on.
     """
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
@@ -167,9 +168,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, sample:
         names = [f.name for f in kept if keep_text or not last or f.name != text]
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept if f.name in names] + [STATE])
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, names=names) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, names=names, first_block=block == 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield search_batch(batch, phrases, text, sample).select([*names, "n_words", "spans", "items"])
+                yield search_batch(batch, phrases, text, sample, first_block).select([*names, "n_words", "spans", "items"])
 
         out = out.mapInArrow(run, schema)
     return out
