@@ -109,41 +109,61 @@ def _code_point(number: Column) -> Column:
 
 # Names in frequency order first: a map literal is searched front to back.
 _COMMON_NAMES = ("amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "ndash", "mdash", "rsquo", "bull")
+# What a reference to a control of the C1 block stands for: the windows-1252 character of that byte, if there is one.
+_CONTROLS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
 def _entity_names() -> dict[str, str]:
-    """Names of single characters in the Latin-1 and punctuation blocks, from the HTML table."""
-    table = {}
-    for name, text in html5.items():
-        if name.endswith(";") and len(text) == 1 and (ord(text) < 0x100 or 0x2010 <= ord(text) <= 0x2044 or text in "€™"):
-            table[name[:-1]] = text
-    ordered = {n: table[n] for n in _COMMON_NAMES if n in table}
-    ordered.update(sorted(table.items()))
-    return ordered
+    """All names that end in a semicolon, from the HTML table: common ones, then Latin-1 and punctuation, then the rest."""
+    table = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+    rank = {name: i for i, name in enumerate(_COMMON_NAMES)}
+    near = lambda text: len(text) == 1 and (ord(text) < 0x100 or 0x2010 <= ord(text) <= 0x2044 or text in "€™")
+    return dict(sorted(table.items(), key=lambda x: (rank.get(x[0], len(rank)), not near(x[1]), x[0])))
 
 
 ENTITY_NAMES = _entity_names()
+#: Names that count without a semicolon too, even when more letters follow.
+BARE_NAMES = {name: text for name, text in html5.items() if not name.endswith(";")}
+
+
+def _packed_map(table: dict[str, str]) -> Column:
+    """A map literal from one string, folded once by the optimizer."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _numeric_character(code: Column) -> Column:
+    """The character of a numeric reference as browsers read it; not a character: empty, not a code point: U+FFFD."""
+    return (
+        F.when(code.between(0x80, 0x9F), F.substring(F.lit(_CONTROLS), (code - 0x7F).cast("int"), F.lit(1)))
+        .when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE), F.lit(""))
+        .otherwise(_code_point(code))
+    )
 
 
 def unescape_html(c: Column) -> Column:
     """Character references to characters, once (``&amp;lt;`` becomes ``&lt;``).
 
-    Covers numeric references and the named characters of Latin-1 and general
-    punctuation; a reference needs its closing semicolon.
+    Covers numeric references and every name of the HTML table, those of two characters included. A
+    name with a semicolon is looked up whole; otherwise the longest name that needs none is taken from
+    the front and what follows stays. Unknown references stay as they are.
     """
+    longest_first = "|".join(sorted(BARE_NAMES, key=lambda n: (-len(n), n)))
+    after = lambda piece, used: F.substring(piece, used + F.lit(1), F.length(piece))
 
     def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
-        code = (
-            F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10))
-            .when(name.startswith("#"), F.substring(name, 2, 7))
-            .cast("bigint")
-        )
-        char = F.when(
-            name.startswith("#"), F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), _code_point(code))
-        ).when(name != "", F.try_element_at(lit_map(ENTITY_NAMES), name))
-        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(char, F.substring(piece, F.length(name) + F.lit(2), F.length(piece)))
+        number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits, hexes = F.regexp_extract(number, "^#0*([0-9]*)", 1), F.regexp_extract(number, "^#[xX]0*([0-9a-fA-F]*)", 1)
+        code = F.when(F.greatest(F.length(digits), F.length(hexes)) > 7, F.lit(0x110000)).when(
+            number.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), hexes), 16, 10).cast("bigint")
+        ).otherwise(F.concat(F.lit("0"), digits).cast("bigint"))
+        name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]{1,31});", 1)
+        bare = F.regexp_extract(piece, f"^(?:{longest_first})", 0)
+        return F.coalesce(
+            F.when(number != "", F.concat(_numeric_character(code), after(piece, F.length(number)))),
+            F.when(name != "", F.concat(F.try_element_at(_packed_map(ENTITY_NAMES), name), after(piece, F.length(name) + 1))),
+            F.when(bare != "", F.concat(F.try_element_at(_packed_map(BARE_NAMES), bare), after(piece, F.length(bare)))),
+            F.concat(F.lit("&"), piece),
         )
 
     pieces = F.split(c, "&")

@@ -68,3 +68,18 @@ def test_timestamps(one):
 def test_dedupe_adjacent(one):
     assert one(T.dedupe_adjacent_words(F.col("t")), "a a b a a") == "a b a"
     assert one(T.dedupe_adjacent_words(F.col("t")), "") == ""
+
+
+def test_character_references_are_the_platforms(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    rng = random.Random(3)
+    texts = [f"a&{n}" for n in html5] + [f"&{n.rstrip(';')}xy;b" for n in html5] + [f"&{n.rstrip(';')} b &{n}&" for n in html5]
+    texts += [f"&#{n}; &#x{n:x} &#{n}z" for n in [*range(0, 0x120), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 10**12]]
+    texts += ["&#000000000000065;", "&#x00000000000041;", "&#;", "&#x;", "&#xg", "&", "&&amp;amp;", "", "&notit; &notin; &notin"]
+    texts += ["".join(rng.choice(["&", "am", "amp", "lt", "no", "t", "in", ";", "#", "x4", "12", " ", "é"]) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.unescape_html(F.col("t")).alias("u")).collect()
+    wrong = [(texts[r["i"]], r["u"]) for r in got if r["u"] != html.unescape(texts[r["i"]])]
+    assert len(got) == len(texts) and not wrong
