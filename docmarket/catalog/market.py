@@ -236,16 +236,20 @@ ATTEMPTS_SQL = """attempts AS (SELECT event_id, event_type AS source, 'stage' ||
   CASE WHEN event_id % 4 < 2 THEN '' WHEN event_id % 8 = 2 THEN 'Read Timeout after ' || (event_id % 3) ELSE 'http ' || (400 + event_id % 5) END AS error, value - 20 AS elapsed_ms, user_id % 12 AS result_count FROM events)"""
 
 
-def attempts_frame(spark, sf):
+def attempts_of(events):
     key = F.col("event_id")
     error = F.when(key % 4 < 2, "").when(key % 8 == 2, F.concat(F.lit("Read Timeout after "), key % 3)).otherwise(F.concat(F.lit("http "), key % 5 + 400))
-    return table(spark, sf, "events").select(
+    return events.select(
         key.alias("attempt_id"), F.col("event_type").alias("source"), F.concat(F.lit("stage"), key % 6).alias("stage"), F.col("user_id").alias("query"), "ts",
         F.when(key % 4 == 0, "success").when(key % 4 == 1, "skipped_budget").otherwise("failed").alias("status"), error.alias("error"),
         (F.col("value") - 20).alias("elapsed_ms"), (F.col("user_id") % 12).alias("result_count"),
     )
 
 
+def attempts_frame(spark, sf):
+    return attempts_of(table(spark, sf, "events"))
+
+
 def _first_values(col: str, k: int) -> str:
     return f"(SELECT string_agg(v, '|' ORDER BY first_at, v) FROM (SELECT CAST({col} AS VARCHAR) AS v, min(event_id) AS first_at FROM attempts b WHERE b.source = a.source AND CAST({col} AS VARCHAR) <> '' GROUP BY 1 ORDER BY first_at, v LIMIT {k}))"
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from docmarket import lexicons as X
 from docmarket.catalog import sql as S
-from docmarket.catalog.market import ATTEMPTS_SQL, attempts_frame
+from docmarket.catalog.market import ATTEMPTS_SQL, attempts_frame, attempts_of
 from docmarket.catalog.quality import SIGNALS_SQL, signals
 from docmarket.operators import report as N
 from docmarket.registry import query
+from docmarket.session import new_folder
 from docmarket.sources.tables import table
 from docmarket.streaming import jobs as O
 
@@ -120,16 +118,11 @@ def o3(spark, sf):
       count(*) FILTER (contains(lower(error), 'timeout')) AS timeouts, CAST(sum(result_count) AS BIGINT) AS raw_returned, {S.rnd('coalesce(max(elapsed_ms) FILTER (elapsed_ms > 0), 0)', 4)} AS max_elapsed_ms FROM w GROUP BY ALL""",
 )
 def o4(spark, sf):
-    out = O.attempt_rollup_stream(attempts_frame(spark, sf)).drop("queries")
+    out = O.attempt_rollup_stream(attempts_frame(spark, sf)).drop("queries", "query_sketch")
     return out.withColumns({"window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), "max_elapsed_ms": F.round(F.coalesce("max_elapsed_ms", F.lit(0.0)), 4)})
 
 
-def _scratch(spark) -> str:
-    """A fresh folder for a run's checkpoints and output: under the cluster's shared folder if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/docmarket-{uuid.uuid4()}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+LANDED_FILES = 8
 
 
 def _events_stream(spark, sf):
@@ -138,35 +131,39 @@ def _events_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query("O1_ingest_listings_stream")
-def o1(spark, sf):
-    """All events as a stream of listing sightings, merged into a table; the newest version is returned."""
-    from docmarket.sources import listings as L
+SEEN_SQL = "SELECT event_id, ts, event_type AS source, props->>'$.k' AS external_id, value FROM events"
 
-    folder = _scratch(spark)
-    stream = _events_stream(spark, sf).select("event_id", "ts", F.col("event_type").alias("source"), F.get_json_object("props", "$.k").alias("external_id"), F.col("value"))
 
-    def merge(batch, before):
-        now = F.lit("2024-02-10 00:00:00").cast("timestamp_ntz")
-        fresh = batch.withColumnRenamed("event_id", "arrival").drop("ts")
-        if before is None:
-            empty = fresh.drop("arrival").limit(0).withColumns({"last_seen_at": now, "cached_until": now, "created_at": now})
-            before = empty
-        return L.upsert_listings(before, fresh, now, ["source", "external_id"])
+@query(
+    "O1_ingest_listings_stream",
+    f"""WITH s AS ({SEEN_SQL}) SELECT source, external_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value,
+      strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM s GROUP BY source, external_id""",
+)
+def o1(spark, sf):
+    """All events, landed in files, as a stream of listing sightings merged into a table over several batches."""
+    from docmarket.sources import listings as L
 
-    job = O.ingest_listings_stream(stream, f"{folder}/table", f"{folder}/checkpoint", merge)
-    job.awaitTermination()
-    return spark.read.parquet(f"{folder}/table/version={_last_batch(job)}").select("source", "external_id", "value")
+    folder = new_folder(spark, "listings")
+    seen = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("source"), F.get_json_object("props", "$.k").alias("external_id"), "value")
+    seen.repartitionByRange(LANDED_FILES, "ts").write.option("maxRecordsPerFile", 5_000_000).parquet(f"{folder}/landed")
+    stream = O.read_landed(spark, f"{folder}/landed", seen.schema, files_per_batch=2)
 
+    def merge(before, batch):
+        # Every sighting is its own row of the batch and is dated by itself, so no split into batches changes the table.
+        fresh = batch.withColumn("arrival", F.col("event_id"))
+        return L.upsert_listings(before, fresh, F.col("ts"), ["event_id"], key=key).select(*schema.names)
 
-def _last_batch(job) -> int:
-    progress = [p for p in job.recentProgress if p["numInputRows"] > 0]
-    return progress[-1]["batchId"] if progress else 0
+    key = ["source", "external_id"]
+    schema = L.upsert_listings(seen.limit(0), seen.limit(0).withColumn("arrival", F.col("event_id")), F.col("ts"), ["event_id"], key=key).schema
+    O.ingest_listings_stream(stream, f"{folder}/table", f"{folder}/checkpoint", schema, merge, key).awaitTermination()
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    out = spark.read.schema(schema).parquet(f"{folder}/table")
+    return out.select("source", "external_id", "event_id", "value", day("created_at").alias("first_seen"), day("last_seen_at").alias("last_seen"))
 
 
 def _drain(spark, df, mode="append"):
     """Run a stream over everything that has landed into Parquet and read it back."""
-    folder = _scratch(spark)
+    folder = new_folder(spark, "stream")
     job = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
@@ -178,7 +175,21 @@ def o2(spark, sf):
     return _drain(spark, O.dedupe_stream(stream, "key", "ts"))
 
 
-@query("O3_demand_stream")
+@query(
+    "O3_demand_stream",
+    f"""WITH t AS (SELECT ts, event_type AS term, {FEED} AS source, value FROM events), w AS (SELECT floor(epoch(ts) / 21600) * 21600 AS s, * FROM t)
+    SELECT strftime(make_timestamp(CAST(s AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, term, count(*) AS mentions, {S.rnd(f'sum(CAST({TRUST} AS DOUBLE) * value)', 4)} AS weighted
+    FROM w WHERE s + 21600 <= (SELECT max(epoch(ts)) FROM events) - 21600 GROUP BY ALL""",
+)
 def o3_stream(spark, sf):
+    """Windows that the watermark, six hours behind the newest event, has closed."""
     rows = sightings(_events_stream(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drain(spark, O.demand_over_time(rows, "ts", "term", F.col("source"), F.col("value")))
+    out = _drain(spark, O.demand_over_time(rows, "ts", "term", F.col("source"), F.col("value")))
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("O4_attempt_stream")
+def o4_stream(spark, sf):
+    """The roll-up as a stream, its closed windows merged into totals per source."""
+    attempts = attempts_of(_events_stream(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp"))
+    return O.attempt_totals(_drain(spark, O.attempt_rollup_stream(attempts))).drop("query_sketch")

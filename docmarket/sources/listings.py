@@ -49,7 +49,8 @@ def upsert_listings(
 ) -> DataFrame:
     """Target with the batch inserted or updated; the batch is deduplicated first (first arrival wins).
 
-    One aggregation by key picks the newest row and keeps the first ``created_at``.
+    One aggregation by key picks the newest row, of equally new ones the greatest by its columns (title and url first),
+    and keeps the first ``created_at``.
     Partial results merge before the shuffle, so many versions of one key are cheap.
     """
     fresh = first_per_key(batch, list(dedupe_on), [F.asc(arrival)]).drop(arrival)
@@ -58,7 +59,9 @@ def upsert_listings(
     )
     both = target.unionByName(fresh, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (*key, "created_at")]
-    newest = F.max_by(F.struct(*rest), F.struct("last_seen_at", *[F.col(c) for c in rest if c in ("title", "url")]))
+    first = [c for c in ("last_seen_at", "title", "url") if c in rest]
+    ordered = first + [c for c in rest if c not in first and "map<" not in both.schema[c].dataType.simpleString()]
+    newest = F.max_by(F.struct(*rest), F.struct(*ordered))
     merged = both.groupBy(*key).agg(newest.alias("row"), F.min("created_at").alias("created_at"))
     return merged.select(*key, *[F.col(f"row.{c}").alias(c) for c in rest], "created_at")
 
