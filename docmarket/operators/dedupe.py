@@ -112,12 +112,14 @@ def cache_fallback(cached: DataFrame, safe: Column) -> DataFrame:
     return usable.join(best, ["query_id", "bucket_rank"], "left_semi")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, min_share: float, k: int) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, min_share: float, k: int, agree: int = 3) -> DataFrame:
     """For each left text the ``k`` right texts with the largest shared-token share, share >= ``min_share``.
 
-    share = shared tokens / right tokens. A pair that reaches ``min_share`` must share
-    one of the right text's rarest ``n - ceil(min_share * n) + 1`` tokens, so only those
-    are joined on: exact, and frequent tokens never bring all pairs together.
+    share = shared tokens / right tokens. A pair that reaches ``min_share`` shares at least
+    ``a = ceil(min_share * n)`` of the right text's n tokens, so of its rarest ``n - a + e`` it must share e.
+    Only those are joined on, e being ``agree`` or a if that is less: exact, and frequent tokens never bring all
+    pairs together. Pairs are counted by their shared prefix tokens, and only those with e of them,
+    whose left text has a tokens at all, fetch both token arrays.
     """
     lt = left.select(left_id, token_set(F.col(text)).alias("l_tokens"))
     rt = right.select(right_id, token_set(F.col(text)).alias("r_tokens")).filter(F.size("r_tokens") > 0)
@@ -128,9 +130,12 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     ranked = r_tok.join(freq, ["token"], "left").groupBy(right_id).agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "token"))).alias("ordered")
     )
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(min_share) - F.lit(1e-9)).cast("int") + 1
-    rare = ranked.select(right_id, F.explode(F.slice("ordered", F.lit(1), keep)).alias("t")).filter("t.freq > 0").select(right_id, F.col("t.token").alias("token"))
-    pairs = explode_once(lt, [left_id], F.col("l_tokens"), "token").join(rare, ["token"]).select(left_id, right_id).distinct()
+    least = F.greatest(F.ceil(F.col("n") * F.lit(min_share) - F.lit(1e-9)).cast("int"), F.lit(1))
+    ranked = ranked.withColumn("__a", least).withColumn("__e", F.least("__a", F.lit(agree)))
+    prefix = F.slice("ordered", F.lit(1), F.col("n") - F.col("__a") + F.col("__e"))
+    rare = ranked.select(right_id, "__a", "__e", F.explode(prefix).alias("t")).filter("t.freq > 0").select(right_id, "__a", "__e", F.col("t.token").alias("token"))
+    pairs = explode_once(lt, [left_id, F.size("l_tokens").alias("__m")], F.col("l_tokens"), "token").join(rare, ["token"]).filter("__m >= __a")
+    pairs = pairs.groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("__c"), F.first("__e").alias("__e")).filter("__c >= __e").select(left_id, right_id)
     scored = pairs.join(lt, [left_id]).join(rt, [right_id]).select(
         left_id, right_id, F.size(F.array_intersect("l_tokens", "r_tokens")).alias("shared"), F.size("r_tokens").alias("n_right")
     )

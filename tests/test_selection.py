@@ -126,3 +126,20 @@ def test_a_surface_of_six_words_is_found(spark):
     text = spark.sql("SELECT 1 AS id, 'We do very deep neural network model training daily' AS text")
     assert sorted(tuple(r) for r in match_terms(text, ["id"], "text", lexicon).collect()) == [(1, "long", 1, 2), (1, "short", 1, 4)]
     assert match_terms(text, ["id"], "text", lexicon.limit(0)).count() == 0
+
+
+def test_overlap_join_is_exact_for_any_prefix(spark):
+    rng = random.Random(4)
+    words = [f"tok{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(0, 15)))
+    left, right = [(i, text()) for i in range(120)], [(i, text()) for i in range(120)] + [(200, words[0]), (201, "")]
+    lf, rf = spark.createDataFrame(left, "l int, t string"), spark.createDataFrame(right, "r int, t string")
+    sets = lambda rows: {i: set(t.split()) for i, t in rows}
+    for share in (0.3, 0.5, 1.0):
+        want = set()
+        for i, a in sets(left).items():
+            near = sorted((-len(a & b) / len(b), j, len(a & b)) for j, b in sets(right).items() if b and len(a & b) >= share * len(b) - 1e-9)
+            want |= {(i, j, c, k + 1) for k, (_, j, c) in enumerate(near[:3])}
+        for agree in (1, 3):
+            got = {(r["l"], r["r"], r["shared"], r["rank"]) for r in D.overlap_join(lf, rf, "l", "r", "t", share, 3, agree).collect()}
+            assert got == want, (share, agree)
