@@ -13,11 +13,12 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 16, overhead:
     Equal texts are never parted. Rows are ordered by the hash of their text and gathered into
     ``2**bits`` atomic groups, so that the search for the smallest capacity works on one bounded
     array however large the table is; a shard's size is exact to one such group. Slots count from 0
-    within a shard, by group and then by ``id``.
+    within a shard: by group, in a group of over ``rows_per_part`` rows by hashed parts, then by ``id``.
 
     Nulls: a null text is an empty text (size = ``overhead``); a null id is kept and comes first.
     Repeated rows keep one slot each. An empty table gives no rows. Other columns are not looked at.
-    Only ids, sizes and checksums are shuffled; a group with very many rows is numbered in parts.
+    Only ids, sizes and checksums are shuffled, so long texts stay where they are; a group with very many rows is
+    numbered in parts, rows that agree in everything included.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -27,19 +28,32 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 16, overhead:
     rows = cut_lineage(rows)
     units = rows.groupBy("unit").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     placed = cut_units(units, shards).withColumn("parts", F.ceil(F.col("n") / rows_per_part).cast("int"))
-    # A part of a group is numbered on its own; the parts' sizes give where its numbers start.
-    part = F.pmod(F.xxhash64("id", "text_crc32", "size"), F.col("parts")).cast("int")
-    rows = rows.join(placed.select("unit", "shard", "parts"), "unit").withColumn("part", part).drop("parts")
-    per_part = rows.groupBy("shard", "unit", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("unit", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per_part.select("unit", "part", before.alias("start"))
-    within = F.row_number().over(Window.partitionBy("unit", "part").orderBy("id", "size", "text_crc32")) - 1
-    out = rows.withColumn("within", within).join(starts, ["unit", "part"])
+    rows = split_groups(rows, placed, rows_per_part)
+    # A piece of a group is numbered on its own; the pieces' sizes give where its numbers start.
+    piece = ["unit", "part", "piece"]
+    per_piece = rows.groupBy("shard", *piece).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per_piece.select(*piece, before.alias("start"))
+    within = F.row_number().over(Window.partitionBy(*piece).orderBy("id", "size", "text_crc32")) - 1
+    out = rows.withColumn("within", within).join(starts, piece)
     return out.select(
         F.col("id").alias(id), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
+def split_groups(rows: DataFrame, placed: DataFrame, rows_per_part: int) -> DataFrame:
+    """Add shard, part and piece to checkpointed rows (id, size, text_crc32, unit).
+
+    Parts of a group are chosen by the row's own values, so reruns agree. Rows that agree in all of them
+    share a part; one that has grown past twice ``rows_per_part`` is cut into pieces by a number of the row.
+    """
+    part = F.pmod(F.xxhash64("id", "text_crc32", "size"), F.col("parts")).cast("int")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.join(placed.select("unit", "shard", "parts"), "unit").withColumn("part", part).drop("parts")
+    pieces = rows.groupBy("unit", "part").agg(F.ceil(F.count(F.lit(1)) / (2 * rows_per_part)).cast("int").alias("pieces"))
+    return rows.join(pieces, ["unit", "part"]).withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")).drop("pieces", "row")
+
+
 # One pass over the array: how many shards of at most the middle capacity the units need.
 _NEEDED = """aggregate(u, named_struct('n', 1, 'fill', 0L), (s, x) -> IF(s.fill + x.size > (b.low + b.high) DIV 2,
     named_struct('n', s.n + 1, 'fill', x.size), named_struct('n', s.n, 'fill', s.fill + x.size)), s -> s.n)"""
