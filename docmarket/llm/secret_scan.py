@@ -19,9 +19,8 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+NOTHING = re.compile(r"(?!)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
-#: Strings that look random and are none: UUIDs, runs of the alphabet or of digits, placeholders.
-ALLOWED = (r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", r".*(abcdefghij|ABCDEFGHIJ|0123456789).*", r"(?i).*(example|sample|dummy|placeholder).*")
 
 
 def _not_in(characters: str) -> np.ndarray:
@@ -32,6 +31,12 @@ def _not_in(characters: str) -> np.ndarray:
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
+_PLACEHOLDER = "(?:example|sample|dummy|placeholder)"
+_RUNS = "|".join(run[:n] for run in (_LETTERS, _LETTERS.upper(), _DIGITS) for n in range(len(run), 9, -1))
+#: Whole strings that look random and are none: those with a placeholder word grown into other letters or digits.
+ALLOWED = (rf"(?i).*(?:(?<=[a-z0-9]){_PLACEHOLDER}|{_PLACEHOLDER}(?!s?(?![a-z0-9]))).*",)
+#: Parts of strings that are none: UUIDs, runs of the alphabet or of digits, path segments with a placeholder as a word.
+ALLOWED_PARTS = (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])", _RUNS, rf"(?i)[^/]*{_PLACEHOLDER}[^/]*")
 _HEX = _not_in(_DIGITS + "abcdef")
 _CANDIDATE = _not_in(_DIGITS + _LETTERS + _LETTERS.upper() + "+/_=-")
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit
@@ -54,6 +59,7 @@ class Entropy:
     upper_hex_bits: float | None = None
     narrow_bits: float | None = None
     wide_bits: float | None = None
+    allowed_parts: tuple[str, ...] = ALLOWED_PARTS
 
 
 #: At most 1 % of random windows of 20 characters over 16, 32 and 62 symbols are below these bounds.
@@ -130,7 +136,7 @@ def _has_new(start: int, end: int, known: list[tuple[int, int]], window: int) ->
     return bool((2 * (sums[window:] - sums[:-window]) >= window).any())
 
 
-def scan_text(text: str, rule: Entropy, allowed: re.Pattern) -> list[tuple[int, int, int]]:
+def scan_text(text: str, rule: Entropy, allowed: re.Pattern, parts: re.Pattern = NOTHING) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of all secrets in a text."""
     out = [(0, *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if ":" in text or "=" in text else []
     if "AKIA" in text:
@@ -140,10 +146,16 @@ def scan_text(text: str, rule: Entropy, allowed: re.Pattern) -> list[tuple[int,
     for m in CANDIDATE.finditer(text):
         if len(m[0]) >= rule.window and not allowed.fullmatch(m[0]):
             start, end = m.span()
-            known = [(max(x, start), min(y, end)) for x, y in base if x < end and start < y]
-            if any(_has_new(a + start, b + start, known, rule.window) for a, b in suspect_windows(m[0], rule)):
-                edges = [start, *(e for span in known for e in span), end]
-                out += [(3, a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+            runs = [(a + start, b + start) for a, b in suspect_windows(m[0], rule)]
+            if not runs:
+                continue
+            known = [(3, max(x, start), min(y, end)) for x, y in base if x < end and start < y]
+            skipped = [(3, p.start() + start, p.end() + start) for p in parts.finditer(m[0]) if p.end() > p.start()]
+            covered = _merged(known + skipped)
+            if any(_has_new(a, b, covered, rule.window) for a, b in runs):
+                edges = [start, *(e for span in covered for e in span), end]
+                pieces = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+                out += [(3, a, b) for a, b in pieces if not skipped or any(2 * (min(b, y) - max(a, x)) >= rule.window for x, y in runs)]
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
@@ -165,18 +177,22 @@ def scan_secrets(docs: DataFrame, rule: Entropy = BY_CLASS, allowed: Sequence[st
 
     assign, access and hex are the fixed patterns, leftmost and not overlapping within a kind. entropy
     are whole candidate strings, less what a fixed pattern has found in them, with a window whose entropy is
-    high for its character class and half of which no fixed pattern has found, unless the string is
-    allow-listed (``rule.allowed`` patterns, ``allowed`` strings).
+    high for its character class and half of which is new: neither found by a fixed pattern nor allow-listed.
+    The allow-list takes out whole strings (``rule.allowed`` patterns, ``allowed`` strings) and parts of strings
+    (``rule.allowed_parts``): a key beside an allowed path segment is still found, without that segment.
 
     Nulls: a null text is an empty one and has no secrets. Long texts are read whole; work is linear in
-    them. Repeated rows are scanned each; an empty table gives no rows. Other columns are passed on.
+    them. Repeated rows are scanned each; an empty table gives no rows. Other columns are passed on; one called
+    ``secrets`` is replaced.
     """
     kept = [f for f in docs.schema.fields if f.name != "secrets" and (keep_text or f.name != text)]
     names = [f.name for f in kept]
-    listed = "|".join([*(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in rule.allowed), *map(re.escape, allowed)]) or r"(?!)"
+    either = lambda patterns: [f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in patterns]
+    listed = "|".join([*either(rule.allowed), *map(re.escape, allowed)]) or r"(?!)"
+    listed_parts = "|".join(either(rule.allowed_parts)) or r"(?!)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(listed)
+        pattern, parts = re.compile(listed), re.compile(listed_parts)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(len(batch))]
@@ -184,7 +200,7 @@ def scan_secrets(docs: DataFrame, rule: Entropy = BY_CLASS, allowed: Sequence[st
                 part = batch[text].slice(a, b - a)
                 raw, ends = flat(part)
                 for r in _rows_to_scan(raw, ends, rule.window).tolist():
-                    found[a + r] = [{"kind": KINDS[k], "start": x, "end": y} for k, x, y in scan_text(part[r].as_py(), rule, pattern)]
+                    found[a + r] = [{"kind": KINDS[k], "start": x, "end": y} for k, x, y in scan_text(part[r].as_py(), rule, pattern, parts)]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, pa.list_(kind))], [*names, "secrets"])
 
     return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"secrets {SPANS}"]))
