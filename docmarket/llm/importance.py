@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, smoothing: flo
 
 def weigh(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Add __low and __toxic, the log weights of every whole text, to the rows of ``docs``."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    kept = [f for f in docs.schema.fields if f.name not in ("__low", "__toxic") and (keep_text or f.name != text)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,8 @@ def classify(docs: DataFrame, classifier: Classifier, id: str = "doc_id", text:
 
     Nulls: a null text has no n-gram, both weights 0, and is kept like an empty one; a null id has no
     label. Rows with one id share their noise; repeated rows are judged each. Without labels all rows are
-    kept. Empty tables give no rows. Other columns are passed on.
+    kept. Empty tables give no rows. Long texts are weighed whole. Other columns are passed on; those called
+    ``__low``, ``__toxic`` or ``__kept`` are replaced.
     """
     out = weigh(docs, classifier.model, text, keep_text)
     return out.withColumn("__kept", gumbel_key(F.col(id), classifier.margin, classifier.temperature) < classifier.threshold)

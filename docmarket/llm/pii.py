@@ -145,7 +145,7 @@ def find_candidates(text: str, base: list[tuple[int, int, int]], lists: Gazettee
 
 def read_candidates(docs: DataFrame, lists: Gazetteer, text: str) -> DataFrame:
     """The rows of ``docs`` without the text, with base spans and candidates (positions in characters)."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, "base", "candidates")]
+    kept = [f for f in docs.schema.fields if f.name not in (text, "base", "candidates", "added")]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,8 @@ def find_personal_data(docs: DataFrame, lists: Gazetteer = Gazetteer(), threshol
     is trained on these as soft labels and adds candidates of at least ``threshold`` that overlap no base span.
 
     The text is read once; only spans are kept for the second step. Nulls: a null text has none.
-    Repeated rows are read each. Empty tables give no rows. Other columns are passed on.
+    Repeated rows are read each. Empty tables give no rows. Long texts are read whole. Other columns are passed on;
+    those called ``base``, ``added`` or ``candidates`` give way to the operator's own.
     """
     rows = cut_lineage(read_candidates(docs, lists, text))
     weights = train(rows)

@@ -66,3 +66,11 @@ def test_edges(spark):
     assert len(rows) == 155 and all(r["__kept"] for r in rows if r["doc_id"] is None or r["doc_id"] == 10**6)
     assert all(r["__kept"] for r in I.classify(docs, I.train_classifier(docs, labels.limit(0))).collect())
     assert I.classify(docs.limit(0), I.train_classifier(docs.limit(0), labels)).count() == 0
+
+
+def test_columns_called_like_the_weights_are_replaced(spark):
+    docs, labels, _, _ = corpus(spark, 150)
+    clash = docs.withColumns({c: F.lit("clash") for c in ("__low", "__toxic", "__kept")})
+    classifier = I.train_classifier(clash, labels)
+    want = {(r["doc_id"], r["__low"], r["__kept"]) for r in I.classify(docs, classifier).collect()}
+    assert {(r["doc_id"], r["__low"], r["__kept"]) for r in I.classify(clash, classifier).collect()} == want

@@ -143,3 +143,39 @@ def test_shard_edges(spark):
     rows = sharding.shard_documents(frame(spark, EDGES), shards=3).collect()
     assert len(rows) == len(EDGES) and sorted(r["size"] for r in rows)[:2] == [16, 16]
     assert sharding.shard_documents(frame(spark, [])).count() == 0
+
+
+def test_rows_that_agree_in_everything_are_cut_into_pieces(spark):
+    docs = frame(spark, [(None, "same text", "s")] * 2000 + [(i, f"text {i % 5}", "s") for i in range(300)])
+    rows = sharding.shard_documents(docs.repartition(4), shards=3, rows_per_part=100).collect()
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 2300 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    units = spark.range(2000).select(F.lit(None).cast("long").alias("id"), F.lit(5).alias("size"), F.lit(7).alias("text_crc32"), F.lit(1).alias("unit"))
+    placed = spark.createDataFrame([(1, 2000, 0, 20)], "unit int, n bigint, shard int, parts int")
+    pieces = sharding.split_groups(units, placed, 100).groupBy("unit", "part", "piece").count().collect()
+    assert sum(r["count"] for r in pieces) == 2000 and max(r["count"] for r in pieces) <= 300 and len(pieces) == 10
+
+
+def test_rule_order_is_conditional_on_the_rules_before(spark):
+    docs = frame(spark, [(i, " ".join(f"w{i}x{j}" for j in range(20 + i % 10)), "s") for i in range(200)])
+    n = F.col("n_words")
+    rules = [quality_rules.Rule("wide", n >= 24, F.lit(10)), quality_rules.Rule("covered", n >= 25, F.lit(11)), quality_rules.Rule("other", n == 20, F.lit(10))]
+    # "covered" rejects more than "other", but nothing that "wide" has not rejected.
+    assert [r.name for r in quality_rules.order_rules(quality_rules.measure(docs), rules, "doc_id", 1000)] == ["wide", "other", "covered"]
+
+
+def test_the_sample_is_spread_over_hot_ids(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    some = quality_rules.sample_rows(docs, 1000)
+    n, nulls = some.select(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    assert 1000 <= n <= 1400 and 0.4 < nulls / n < 0.6
+    assert quality_rules.sample_rows(docs.limit(100), 1000).count() == 100
+
+
+def test_columns_called_like_measures_are_replaced(spark):
+    docs = frame(spark, EDGES)
+    names = ("n_words", "kept", "base_failed", "failed_rule", "__words", "word_chars")
+    key = lambda df: sorted(map(str, df.select("n_words", "kept", "base_failed", "failed_rule", "word_chars").collect()))
+    assert key(quality_rules.apply_rules(docs.withColumns({c: F.lit("clash") for c in names}))) == key(quality_rules.apply_rules(docs))

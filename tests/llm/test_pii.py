@@ -77,3 +77,9 @@ def test_edges(spark):
         assert [(s["kind"], s["start"], s["end"]) for s in r["base"]] == [(P.BASE[k], a, b) for k, a, b in P.base_spans(texts[r["doc_id"]] or "")]
         assert all(s["kind"] in P.LIKELY for s in r["added"])
     assert P.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_columns_called_like_the_spans_give_way(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co or call +49 30 1234567"), (2, None)], "doc_id bigint, text string")
+    rows = lambda df: sorted(str((r["doc_id"], r["base"], r["added"])) for r in P.find_personal_data(df).collect())
+    assert rows(docs.withColumns({c: F.lit("clash") for c in ("base", "added", "candidates")})) == rows(docs)

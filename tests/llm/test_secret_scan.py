@@ -92,3 +92,15 @@ def test_fixed_patterns_are_cut_out_of_a_secret():
     assert S.scan_text(left + hexes + right, S.BY_CLASS, never) == [(3, 0, 16), (2, 16, 36), (3, 36, 52)]
     assert S.scan_text("user-" + hexes, S.BY_CLASS, never) == [(2, 5, 25)]
     assert S.scan_text("The quick brownfoxjumpsoverthelazydog Verwaltungsgerichtsbarkeit state-of-the-art-Solutions", S.BY_CLASS, never) == []
+
+
+def test_allow_list_takes_parts_of_strings(spark):
+    key = "Xk29dLqPz81mNvB7tQw4Ra"
+    texts = [
+        f"/srv/files/{key}", f"/srv/sample/{key}", f"/srv/samples-1/{key}", "/srv/sample/", f"Xk29dLqP0123456789{key}", "0123456789abcdefghijklmnopqrstuvwxyz",
+        f"123e4567-e89b-12d3-a456-426614174000/{key}", "123e4567-e89b-12d3-a456-426614174000", f"my{key}EXAMPLEKEY", f"{key}/{key[::-1]}EXAMPLEKEY",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("secrets", F.lit("clash"))
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["secrets"] if s["kind"] == "entropy"] for r in S.scan_secrets(docs).collect()}
+    assert got[0] == [texts[0]] and got[1] == ["/" + key] and got[2] == ["/" + key] and got[6] == ["/" + key]
+    assert got[4][-1] == key and not any(got[i] for i in (3, 5, 7, 8, 9))
