@@ -49,6 +49,28 @@ PARTS_SQL = f"""{LINES_SQL}, {HEADS_SQL},
 parts AS (SELECT doc_id, line_no, coalesce(last_value(section IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), 'summary') AS section,
   CASE WHEN section IS NULL THEN line ELSE rest END AS line FROM heads),
 content AS (SELECT * FROM parts WHERE line <> '' AND lower(line) NOT IN {ALIASES})"""
+# Headers inside a line: every marked place of every alias, taken by length, then from the left, if it overlaps none taken before.
+BY_LENGTH = sorted(HEADERS.section, key=len, reverse=True)
+INLINE_SQL = f"""{LINES_SQL}, {HEADS_SQL}, alias(a, turn, section) AS (VALUES {', '.join(f"({S.q(a)}, {n}, {S.q(HEADERS.section[a])})" for n, a in enumerate(BY_LENGTH))}),
+cuts AS (SELECT doc_id, line_no, line, a, turn, section, string_split(lower(line), a) AS p FROM lines JOIN alias ON contains(lower(line), a)),
+spots AS (SELECT * EXCLUDE (p, k), CAST(list_sum(list_transform(p[1:k], lambda x: len(x))) + (k - 1) * len(a) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(p))) AS k FROM cuts)),
+marked AS (SELECT doc_id, line_no, s, s + len(a) AS e, section, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY turn, s) AS t FROM spots
+  WHERE NOT regexp_matches(substr(line, s, CASE WHEN s = 0 THEN 0 ELSE 1 END), '[A-Za-z]') AND NOT regexp_matches(substr(line, s + len(a) + 1, 1), '[A-Za-z]')
+    AND (s = 0 OR len(regexp_replace(substr(line, s + 1, len(a)), '[^A-Z]', '', 'g')) * 5 >= len(regexp_replace(a, '[^a-z]', '', 'g')) * 4
+      OR regexp_matches(substr(line, greatest(s - 2, 1), least(s, 3)), '[:|•-]\\s*$') OR regexp_matches(substr(line, s + len(a) + 1, 2), '^\\s*[:|-]'))),
+scan AS (SELECT doc_id, line_no, CAST(0 AS BIGINT) AS t, CAST([] AS STRUCT(s BIGINT, e BIGINT, section VARCHAR)[]) AS taken FROM (SELECT DISTINCT doc_id, line_no FROM marked)
+  UNION ALL SELECT c.doc_id, c.line_no, m.t, CASE WHEN len(list_filter(c.taken, lambda x: m.s < x.e AND m.e > x.s)) = 0
+    THEN list_append(c.taken, {{'s': m.s, 'e': m.e, 'section': m.section}}) ELSE c.taken END FROM scan c JOIN marked m ON m.doc_id = c.doc_id AND m.line_no = c.line_no AND m.t = c.t + 1),
+ends AS (SELECT doc_id, line_no, arg_max(taken, t) AS taken FROM scan GROUP BY doc_id, line_no),
+places AS (SELECT doc_id, line_no, len(taken) AS n, unnest(taken) AS x FROM ends),
+cutouts AS (SELECT doc_id, line_no, n, x.s AS s, x.section AS section,
+  trim(substr(line, x.e + 1, coalesce(lead(x.s) OVER (PARTITION BY doc_id, line_no ORDER BY x.s), len(line)) - x.e), ' :-') AS content FROM places JOIN lines USING (doc_id, line_no)),
+inner_heads AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY s) - 1 AS pos, section, content FROM cutouts WHERE n > 1 OR s > 0)"""
+INLINE_PARTS_SQL = f"""{INLINE_SQL},
+entries AS (SELECT * FROM inner_heads UNION ALL SELECT doc_id, line_no, 0, section, CASE WHEN section IS NULL THEN line ELSE rest END
+  FROM heads h WHERE NOT EXISTS (SELECT 1 FROM inner_heads i WHERE i.doc_id = h.doc_id AND i.line_no = h.line_no)),
+parts AS (SELECT doc_id, line_no, pos, coalesce(last_value(section IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no, pos), 'summary') AS section, content AS line FROM entries),
+content AS (SELECT * FROM parts WHERE line <> '' AND lower(line) NOT IN {ALIASES})"""
 
 
 @query("C1_explode_lines", f"WITH {LINES_SQL} SELECT doc_id, line_no, line FROM lines")
@@ -62,7 +84,7 @@ def c2(spark, sf):
     return C.detect_headers(lines, HEADERS, ["doc_id", "line_no"])
 
 
-@query("C3_split_inline_headers")
+@query("C3_split_inline_headers", f"WITH RECURSIVE {INLINE_SQL} SELECT doc_id, line_no, pos, section, content FROM inner_heads")
 def c3(spark, sf):
     lines = C.explode_lines(table(spark, sf, "documents"), "doc_id", "text")
     return C.split_inline_headers(lines, HEADERS, ["doc_id", "line_no"])
@@ -76,6 +98,14 @@ def c4(spark, sf):
     return C.assign_sections(table(spark, sf, "documents"), "doc_id", "text", HEADERS, inline=False)
 
 
+@query(
+    "C4_assign_sections_inline",
+    f"WITH RECURSIVE {INLINE_PARTS_SQL} SELECT doc_id, section, {S.ws(chr(39).join(['string_agg(line, ', ' ', ' ORDER BY line_no, pos)']))} AS text FROM content GROUP BY doc_id, section",
+)
+def c4_inline(spark, sf):
+    return C.assign_sections(table(spark, sf, "documents"), "doc_id", "text", HEADERS)
+
+
 TOP_WORDS_SQL = f"list_sort(list_distinct(list_filter(string_split({S.clean_words('text')}, ' '), lambda t: t IN ('the', 'of', 'der', 'que', 'les', 'and', 'with', 'for'))))"
 
 
@@ -101,30 +131,33 @@ WC = lambda s: f"{s}_section_word_count"
 TOTAL_SQL, EV_SQL = " + ".join(WC(s) for s in C.COUNTED_SECTIONS), " + ".join(WC(s) for s in C.EVIDENCE_SECTIONS)
 
 
-@query(
-    "C6_section_shape",
-    f"""WITH {PARTS_SQL}, w AS (SELECT doc_id, section, len({S.words('line')}) AS n FROM content), c AS (SELECT doc_id, {COUNTS_SQL} FROM w GROUP BY doc_id),
+SHAPE_SQL = f"""w AS (SELECT doc_id, section, len({S.words('line')}) AS n FROM content), c AS (SELECT doc_id, {COUNTS_SQL} FROM w GROUP BY doc_id),
     b AS (SELECT *, {TOTAL_SQL} AS total, {EV_SQL} AS evidence, list_filter([{', '.join(WC(s) for s in C.BALANCED_SECTIONS)}], lambda x: x > 0) AS filled FROM c),
     m AS (SELECT *, list_avg(filled) AS m FROM b)
     SELECT {', '.join(['doc_id'] + [WC(s) for s in C.COUNTED_SECTIONS])},
       CASE WHEN total > 0 THEN {S.rnd('greatest(' + ', '.join(WC(s) for s in C.COUNTED_SECTIONS) + ') / total', 3)} ELSE 0 END AS dominant_section_share,
       CASE WHEN total > 0 THEN {S.rnd('skills_section_word_count / total', 3)} ELSE 0 END AS skills_focus_share,
       CASE WHEN evidence > 0 THEN {S.rnd('projects_section_word_count / evidence', 3)} ELSE 0 END AS project_focus_share,
-      CASE WHEN len(filled) = 0 THEN 0 ELSE {S.rnd('100.0 - least(100.0, list_avg(list_transform(filled, lambda x: abs(x - m))) / greatest(m, 1.0) * 55.0)', 2)} END AS section_balance_score FROM m""",
-)
+      CASE WHEN len(filled) = 0 THEN 0 ELSE {S.rnd('100.0 - least(100.0, list_avg(list_transform(filled, lambda x: abs(x - m))) / greatest(m, 1.0) * 55.0)', 2)} END AS section_balance_score FROM m"""
+
+
+@query("C6_section_shape", f"WITH {PARTS_SQL}, {SHAPE_SQL}")
 def c6(spark, sf):
     return C.section_shape(C.section_lines(table(spark, sf, "documents"), "doc_id", "text", HEADERS, inline=False), "doc_id")
 
 
+@query("C6_section_shape_inline", f"WITH RECURSIVE {INLINE_PARTS_SQL}, {SHAPE_SQL}")
+def c6_inline(spark, sf):
+    return C.section_shape(C.section_lines(table(spark, sf, "documents"), "doc_id", "text", HEADERS), "doc_id")
+
+
 EVIDENCE = S.in_list(C.EVIDENCE_SECTIONS)
 VERB_PATTERN = r"(?i)\b(" + "|".join(VERBS) + r")\b"
 FLAGS_SQL = f"""flags AS (SELECT doc_id, section, section IN {EVIDENCE} AS ev, regexp_matches(line, {S.q(BULLET)}) AS b, regexp_matches({S.ascii_words('line')}, {S.q(r'\b\d[\d,]*\b|%')}) AS q,
   regexp_matches({S.ascii_words('line')}, {S.q(VERB_PATTERN)}) AS a, len({S.words('line')}) AS n, regexp_extract_all(lower({S.ascii_words('line')}), {S.q(VERB_PATTERN)}) AS verbs FROM content)"""
 
 
-@query(
-    "C7_line_signals",
-    f"""WITH {PARTS_SQL}, {FLAGS_SQL}, v AS (SELECT doc_id, count(DISTINCT verb) AS k FROM (SELECT doc_id, unnest(verbs) AS verb FROM flags WHERE ev) GROUP BY doc_id)
+SIGNALS_SQL = f"""{FLAGS_SQL}, v AS (SELECT doc_id, count(DISTINCT verb) AS k FROM (SELECT doc_id, unnest(verbs) AS verb FROM flags WHERE ev) GROUP BY doc_id)
     SELECT f.doc_id, count(*) FILTER (section = 'summary') AS summary_line_count, count(*) FILTER (b AND section = 'experience') AS experience_bullet_count,
       count(*) FILTER (b AND section = 'projects') AS project_bullet_count, count(*) FILTER (b AND ev) AS evidence_bullet_count,
       count(*) FILTER (q AND section = 'experience') AS experience_quantified_line_count, count(*) FILTER (q AND section = 'projects') AS projects_quantified_line_count,
@@ -133,13 +166,21 @@ FLAGS_SQL = f"""flags AS (SELECT doc_id, section, section IN {EVIDENCE} AS ev, r
       count(*) FILTER (ev AND n >= 34) AS long_evidence_line_count, count(*) FILTER (ev AND b AND n <= 5) AS short_bullet_count,
       count(*) FILTER (ev AND b AND NOT a AND NOT q) AS weak_bullet_count,
       {S.rnd('coalesce(avg(n) FILTER (ev), 0)', 2)} AS avg_evidence_line_word_count, {S.rnd('coalesce(avg(n) FILTER (ev AND b), 0)', 2)} AS avg_bullet_word_count,
-      coalesce(max(k), 0) AS action_verb_variety_count FROM flags f LEFT JOIN v USING (doc_id) GROUP BY f.doc_id""",
-)
+      coalesce(max(k), 0) AS action_verb_variety_count FROM flags f LEFT JOIN v USING (doc_id) GROUP BY f.doc_id"""
+
+
+@query("C7_line_signals", f"WITH {PARTS_SQL}, {SIGNALS_SQL}")
 def c7(spark, sf):
     lines = C.section_lines(table(spark, sf, "documents"), "doc_id", "text", HEADERS, inline=False)
     return C.line_signals(lines, "doc_id", VERBS, BULLET)
 
 
+@query("C7_line_signals_inline", f"WITH RECURSIVE {INLINE_PARTS_SQL}, {SIGNALS_SQL}")
+def c7_inline(spark, sf):
+    lines = C.section_lines(table(spark, sf, "documents"), "doc_id", "text", HEADERS)
+    return C.line_signals(lines, "doc_id", VERBS, BULLET)
+
+
 @query(
     "C8_header_signals",
     f"""WITH {LINES_SQL}, m AS (SELECT doc_id, {BARE} IN {ALIASES} AS whole, regexp_matches({BARE}, {S.q(f'^({HEADERS.any}) ')}) AS starts,
@@ -153,6 +194,20 @@ def c8(spark, sf):
     return C.header_signals(lines, "doc_id", HEADERS, inline=False)
 
 
+@query(
+    "C8_header_signals_inline",
+    f"""WITH RECURSIVE {INLINE_SQL}, k AS (SELECT doc_id, line_no, CASE WHEN len(taken) > 1 THEN len(taken) ELSE 0 END AS n_inline FROM ends),
+    m AS (SELECT doc_id, coalesce(n_inline, 0) AS n_inline, CASE WHEN {BARE} IN {ALIASES} THEN 1 ELSE 0 END AS whole, CASE WHEN regexp_matches({BARE}, {S.q(f'^({HEADERS.any}) ')}) THEN 1 ELSE 0 END AS starts,
+      len(list_filter(regexp_split_to_array(replace({BARE}, '&', ' '), {S.q(S.SPACE + '+')}), lambda t: t IN {ALIASES})) >= 2 AS merged,
+      regexp_matches({S.ascii_words('line')}, {S.q(r'\b\d[\d,]*\b|%')}) AS q, regexp_matches(line, {S.q(C.BULLET)}) AS b, len({S.words('line')}) AS n FROM lines LEFT JOIN k USING (doc_id, line_no))
+    SELECT doc_id, CAST(sum(n_inline + whole) AS BIGINT) AS explicit_header_count, CAST(sum(n_inline + starts) AS BIGINT) AS inline_header_count, count(*) FILTER (merged) AS merged_header_count,
+      count(*) FILTER (q) AS quantified_line_count, count(*) FILTER (b) AS bullet_like_line_count, count(*) FILTER (n >= 34 AND NOT b) AS dense_paragraph_line_count FROM m GROUP BY doc_id""",
+)
+def c8_inline(spark, sf):
+    lines = C.explode_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return C.header_signals(lines, "doc_id", HEADERS)
+
+
 @query(
     "C9_section_leakage",
     f"""WITH {PARTS_SQL} SELECT doc_id, max(CASE WHEN section = 'experience' AND regexp_matches({S.ascii_words('line')}, {S.q('(?i)' + EDU)}) THEN 1 ELSE 0 END)

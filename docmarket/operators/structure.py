@@ -108,48 +108,67 @@ class Headers:
             found = found.when(line.rlike(f"(?i)^({self.any}){prefixed}"), self._form(line, prefixed))
         return F.when(line.rlike(self._anywhere), found.otherwise(packed))
 
-    def inline(self, line: Column) -> Column:
-        """Headers inside one line as array(struct(section, content)); empty if the line has none.
+    def _alias_rows(self) -> Column:
+        """The aliases, longest first, as array(struct(alias, section, width, letters, pattern)): one small literal, so plans stay small.
 
-        A header counts at the line start, in capitals (80 %), or next to ``:``, ``|`` or ``-``.
-        A single header at the very start is left to :meth:`detect`.
+        The alias leads its pattern, so that it is searched for as a literal; a capital in it is all that a pattern can tell of 80 %.
         """
 
-        def cut(pieces: Column) -> Column:
-            def one(k: Column) -> Column:
-                piece, before = F.get(pieces, k), F.replace(F.get(pieces, k - 1), F.lit("\x02"), F.lit(""))
-                alias, content = F.split_part(piece, F.lit("\x02"), F.lit(1)), F.split_part(piece, F.lit("\x02"), F.lit(2))
-                letters = F.regexp_replace(alias, "[^A-Za-z]", "")
-                capitals = F.length(F.regexp_replace(letters, "[^A-Z]", "")) >= F.length(letters) * 0.8
-                start = (k == 1) & (before == "")
-                beside = F.right(before, F.lit(3)).rlike(r"[:|•-]\s*$") | F.substring(content, 1, 2).rlike(r"^\s*[:|-]")
-                return F.struct(
-                    (start | capitals | beside).alias("ok"), start.alias("start"), alias.alias("alias"), content.alias("content")
-                )
+        def row(alias: str) -> Column:
+            own = f".{{{len(alias)}}}"
+            marks = rf"(?<=^{own})|(?<=[:|•-]\s{{0,2}}{own})|(?=\s?[:|-])|(?-i:(?<=[A-Z].{{0,{len(alias) - 1}}}))"
+            pattern = f"(?i){T.alternation([alias])}(?![A-Za-z])(?<![A-Za-z]{own})(?:{marks})"
+            fields = {"alias": alias, "section": self.section[alias], "width": len(alias), "letters": sum(ch.isalpha() for ch in alias), "pattern": pattern}
+            return F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])
 
-            return F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), one)
+        return F.array(*[row(alias) for alias in sorted(self.section, key=len, reverse=True)])
 
-        def fold(items: Column) -> Column:
-            none = F.array().cast("array<struct<section:string,content:string>>")
+    @staticmethod
+    def _spans(line: Column, own: Column) -> Column:
+        """Places of one alias that are marked as headers: array(struct(start, end, section)), counted from 0."""
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,section:string>>").alias("found"))
+        width = own["width"]
 
-            def step(done: Column, x: Column) -> Column:
-                text = F.concat(x["alias"], x["content"])
-                last = F.get(done, F.size(done) - 1)
-                grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["section"].alias("section"), F.concat(last["content"], text).alias("content"))))
-                added = F.concat(done, F.array(F.struct(self.lookup(x["alias"]).alias("section"), x["content"].alias("content"))))
-                return F.when(x["ok"], added).when(F.size(done) == 0, done).otherwise(grown)
+        def marked(start: Column) -> Column:
+            upper = F.length(F.regexp_replace(F.substring(line, start + 1, width), "[^A-Z]", ""))
+            beside = F.substring(line, F.greatest(start - 2, F.lit(1)), F.least(start, F.lit(3))).rlike(r"[:|•-]\s*$")
+            return (start == 0) | (upper * 5 >= own["letters"] * 4) | beside | F.substring(line, start + width + 1, F.lit(2)).rlike(r"^\s*[:|-]")
 
-            segments = F.aggregate(items, none, step)
-            clean = F.transform(
-                segments, lambda s: F.struct(s["section"].alias("section"), F.regexp_replace(s["content"], "^[ :-]+|[ :-]+$", "").alias("content"))
-            )
-            accepted = F.filter(items, lambda x: x["ok"])
-            lone = (F.size(accepted) == 1) & F.coalesce(F.get(accepted, 0)["start"], F.lit(False))
-            return F.when(lone, none).otherwise(clean)
+        def step(done: Column, piece: Column) -> Column:
+            start = done["at"] + F.length(piece)
+            span = F.struct(start.alias("start"), (start + width).alias("end"), own["section"].alias("section"))
+            found = F.when(marked(start), F.concat(done["found"], F.array(span))).otherwise(done["found"])
+            return F.struct((start + width).alias("at"), found.alias("found"))
+
+        between = lambda pieces: F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), none, step, lambda done: done["found"])
+        return T.let(F.split(line, own["pattern"], -1), between)
+
+    def inline(self, line: Column) -> Column:
+        """Headers inside one line as array(struct(section, content)); empty if the line has none.
 
+        A header counts at the line start, in capitals (80 %), or next to ``:``, ``|`` or ``-``.
+        Longer aliases take their place first, then places further left; what overlaps a taken place
+        is dropped. A single header at the very start is left to :meth:`detect`.
+        """
         none = F.array().cast("array<struct<section:string,content:string>>")
-        marked = F.regexp_replace(line, self._anywhere, "\x01$1\x02")
-        return F.when(line.rlike(self._anywhere), T.let(F.split(marked, "\x01"), lambda p: T.let(cut(p), fold))).otherwise(none)
+
+        def take(taken: Column, x: Column) -> Column:
+            clash = F.exists(taken, lambda t: (x["start"] < t["end"]) & (x["end"] > t["start"]))
+            return F.when(clash, taken).otherwise(F.concat(taken, F.array(x)))
+
+        def contents(taken: Column) -> Column:
+            def one(x: Column, k: Column) -> Column:
+                stop = F.coalesce(F.get(taken, k + 1)["start"], F.length(line))
+                content = F.substring(line, x["end"] + 1, stop - x["end"])
+                return F.struct(x["section"].alias("section"), F.regexp_replace(content, "^[ :-]+|[ :-]+$", "").alias("content"))
+
+            lone = (F.size(taken) == 1) & (F.get(taken, 0)["start"] == 0)
+            return F.when(lone, none).otherwise(F.transform(taken, one))
+
+        there = T.let(F.lower(line), lambda low: F.filter(self._alias_rows(), lambda x: F.contains(low, x["alias"])))
+        spans = F.flatten(F.transform(there, lambda x: self._spans(line, x)))
+        first = F.array().cast("array<struct<start:int,end:int,section:string>>")
+        return F.when(line.rlike(self._anywhere), T.let(F.array_sort(F.aggregate(spans, first, take)), contents)).otherwise(none)
 
     def n_inline(self, line: Column) -> Column:
         """Number of accepted headers inside a line when there are two or more, else 0."""

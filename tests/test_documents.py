@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -71,3 +73,37 @@ def test_scores_are_bounded(spark):
     both = docs(spark).unionByName(docs(spark, "nothing here"))
     for r in score_documents(both, "doc_id", "text", HEADERS, F.lit(date(2024, 5, 17))).collect():
         assert 18 <= r["resume_quality"] <= 96 and 14 <= r["ats_compliance"] <= 95 and 18 <= r["parser_confidence"]["score"] <= 98
+
+
+def plain_inline(line, headers):
+    """The rule of inline headers, place by place."""
+    taken = []
+    for alias in sorted(headers.section, key=len, reverse=True):
+        for hit in re.finditer(rf"(?<![A-Za-z]){re.escape(alias)}(?![A-Za-z])", line, re.I | re.A):
+            start, end = hit.span()
+            letters = [ch for ch in hit[0] if ch.isalpha()]
+            beside = re.search(r"[:|•-]\s*$", line[max(0, start - 3) : start]) or re.match(r"\s*[:|-]", line[end : end + 2])
+            if start and not beside and sum(map(str.isupper, letters)) < 0.8 * len(letters):
+                continue
+            if all(start >= e or end <= s for s, e, _ in taken):
+                taken.append((start, end, headers.section[alias]))
+    taken.sort()
+    if len(taken) == 1 and taken[0][0] == 0:
+        return []
+    stops = [s for s, _, _ in taken[1:]] + [len(line)]
+    return [(section, line[end:stop].strip(" :-")) for (_, end, section), stop in zip(taken, stops)]
+
+
+def test_inline_headers_equal_the_plain_rule(spark):
+    headers = C.Headers({"a": ("work", "work done", "done in"), "b": ("in school", "school"), "c": ("key skills", "skills")})
+    pieces = ["work", "WORK", "Work", "done", "DONE", "in", "IN", "school", "SCHooL", "key", "skills", "SKILLS", ":", "|", "-", "•", "é", "x", "  "]
+    draw = random.Random(5)
+    lines = [draw.choice(["", " "]).join(draw.choices(pieces, k=draw.randint(1, 9))) for _ in range(3000)]
+    lines = [line.strip() for line in lines if line.strip()] + [" ".join(["SKILLS: x"] * 500), "work done in school - work DONE IN SCHOOL"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+    got = {}
+    for r in C.split_inline_headers(rows, headers, ["n"]).orderBy("n", "pos").collect():
+        got.setdefault(r["n"], []).append((r["section"], r["content"]))
+    want = {n: found for n, line in enumerate(lines) if (found := plain_inline(line, headers))}
+    assert got == want
+    assert len(want) > 500
