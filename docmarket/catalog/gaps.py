@@ -8,7 +8,7 @@ from docmarket.catalog import sql as S
 from docmarket.catalog.market import GENERIC, MARKET_SQL, PRIORITIES, demand_frame, demand_sql, market_frames, pick, pick_sql
 from docmarket.catalog.text import sql_clip, sql_token_set
 from docmarket.functions import text as T
-from docmarket.operators import dedupe as D, gaps as L, scoring as M, terms as E
+from docmarket.operators import dedupe as D, gaps as L, scoring as M, terms as E, vector_lists as V
 from docmarket.operators.ranking import top_per_group
 from docmarket.operators.select import SELECTION_MAX
 from docmarket.registry import query
@@ -233,6 +233,18 @@ def m2(spark, sf):
     return M.cosine_topk(vectors, queries, "label", "vec_id", "query_id", 5)
 
 
+@query(
+    "M2_cosine_lists",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, vec_id, {S.rnd('list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))) * 100', 2)} AS score FROM v CROSS JOIN q)
+    SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def m2_lists(spark, sf):
+    """The stated query set (ids divisible by 100) against every row, over all labels."""
+    vectors = table(spark, sf, "embeddings")
+    return V.list_topk(V.build_lists(vectors, "vec_id", "embedding"), vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+
+
 @query(
     "M3_semantic_profiles",
     f"""WITH d AS (SELECT doc_id, lang, {S.ws('text')} AS x FROM documents), c AS (SELECT doc_id, lang, {sql_clip('x', 260)} AS a, {sql_clip('x', 420)} AS b, {sql_clip('x', 320)} AS e, {sql_clip('x', 140)} AS s FROM d)
