@@ -9,12 +9,31 @@ from docmarket.functions import text as T
 from docmarket.registry import query
 from docmarket.sources.tables import table
 
-NAMED = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
+def _sql_map(names) -> str:
+    return f"MAP({S.str_list(names)}, {S.str_list(names.values())})"
+
+
+def sql_unescape(expr: str) -> str:
+    """Character references as browsers read them: numeric ones, every HTML name, the longest bare name without a semicolon."""
+    bare = "|".join(sorted(T.BARE_NAMES, key=lambda n: (-len(n), n)))
+    number, name, short = "regexp_extract(p, '^#(?:[0-9]+|[xX][0-9a-fA-F]+);?')", "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]{1,31});', 1)", f"regexp_extract(p, '^(?:{bare})')"
+    digits, hexes = "regexp_extract(p, '^#0*([0-9]*)', 1)", "regexp_extract(p, '^#[xX]0*([0-9a-fA-F]*)', 1)"
+    code = f"(CASE WHEN greatest(length({digits}), length({hexes})) > 7 THEN 1114112 WHEN regexp_matches(p, '^#[xX]') THEN CAST('0x0' || {hexes} AS INTEGER) ELSE CAST('0' || {digits} AS INTEGER) END)"
+    character = (
+        f"CASE WHEN {code} BETWEEN 128 AND 159 THEN substring({S.q(T.CONTROLS)}, {code} - 127, 1) WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533) "
+        f"WHEN {code} BETWEEN 1 AND 8 OR {code} = 11 OR {code} BETWEEN 14 AND 31 OR {code} = 127 OR {code} BETWEEN 64976 AND 65007 OR ({code} & 65534) = 65534 THEN '' ELSE chr({code}) END"
+    )
+    one = (
+        f"CASE WHEN {number} <> '' THEN {character} || substring(p, length({number}) + 1) "
+        f"WHEN {name} <> '' AND {name} IN {S.in_list(T.ENTITY_NAMES)} THEN {_sql_map(T.ENTITY_NAMES)}[{name}] || substring(p, length({name}) + 2) "
+        f"WHEN {short} <> '' THEN {_sql_map(T.BARE_NAMES)}[{short}] || substring(p, length({short}) + 1) ELSE '&' || p END"
+    )
+    pieces = f"string_split({expr}, '&')"
+    return f"CASE WHEN contains({expr}, '&') THEN {pieces}[1] || array_to_string(list_transform({pieces}[2:], lambda p: {one}), '') ELSE {expr} END"
 
 
 def sql_strip_html(expr: str) -> str:
-    for name, char in NAMED:
-        expr = f"replace({expr}, {S.q(name)}, {S.q(char)})"
+    expr = sql_unescape(f"coalesce({expr}, '')")
     expr = f"regexp_replace({expr}, '(?i)<script[\\s\\S]*?</script>', ' ', 'g')"
     expr = f"regexp_replace({expr}, '(?i)<style[\\s\\S]*?</style>', ' ', 'g')"
     return S.ws(f"regexp_replace({expr}, '<[^>]+>', ' ', 'g')")
