@@ -134,7 +134,7 @@ def m10(spark, sf):
 @query(
     "M9_text_evidence",
     f"""SELECT doc_id, {' + '.join(f'CAST(contains(lower(text), {S.q(v)}) AS DOUBLE)' for v in VERBS)} AS verb_hits,
-      len(regexp_extract_all({S.ascii_words('text')}, {S.q(r'\b\d+%|\b\d+[kKmM]?\b')})) AS number_hits, len(regexp_extract_all({S.ascii_words('text')}, {S.q(Q.IMPACT.replace('(?iU)', '(?i)'))})) AS impact_hits FROM documents""",
+      len(regexp_extract_all({S.unicode_words('text')}, {S.q(r'\b\d+%|\b\d+[kKmM]?\b')})) AS number_hits, len(regexp_extract_all({S.unicode_words('text')}, {S.q(Q.IMPACT.replace('(?iU)', '(?i)'))})) AS impact_hits FROM documents""",
 )
 def m9_text(spark, sf):
     found = Q.text_evidence(F.col("text"), VERBS)

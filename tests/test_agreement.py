@@ -44,3 +44,8 @@ def test_bare_references_in_html(spark, tmp_path):
     pick = lambda column, key: f"SELECT * REPLACE (({texts})[{key} % {len(TEXTS)} + 1] AS {column}) FROM t"
     con = folder(tmp_path, pages=pick("html", "page_id"), documents=pick("text", "doc_id"), conversations=pick("text", "conv_id"))
     agree(spark, con, tmp_path, "B1_strip_html", "A1_unify_listings", "A4_prepare_listing_text")
+
+
+def test_letters_outside_ascii_are_no_units(spark, tmp_path):
+    con = folder(tmp_path, documents=f"SELECT * REPLACE (({literal(TEXTS)})[doc_id % {len(TEXTS)} + 1] AS text) FROM t")
+    agree(spark, con, tmp_path, "M9_text_evidence")
