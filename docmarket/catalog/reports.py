@@ -22,7 +22,9 @@ EXTRA = {
 }
 RUNS_SQL = f"{SIGNALS_SQL}, runs AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in EXTRA.items())} FROM signals)"
 SOURCES = "CASE l_linenumber % 4 WHEN 0 THEN 'live' WHEN 1 THEN 'weak-resume-proof' WHEN 2 THEN 'live-support' ELSE 'role-family' END"
-GAPS_SQL = f"""gp AS (SELECT l_orderkey AS o_orderkey, p_name AS term, min(l_linenumber * 1000000 + l_partkey) AS position, min_by({SOURCES}, l_linenumber * 1000000 + l_partkey) AS signal_source, min_by(l_quantity / 4, l_linenumber * 1000000 + l_partkey) AS share
+# A term's gap is its first line of the order: by line number, then part, then the smaller quantity.
+FIRST_LINE = "(l_linenumber, l_partkey, l_quantity)"
+GAPS_SQL = f"""gp AS (SELECT l_orderkey AS o_orderkey, p_name AS term, min({FIRST_LINE}) AS position, arg_min({SOURCES}, {FIRST_LINE}) AS signal_source, arg_min(l_quantity / 4, {FIRST_LINE}) AS share
   FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY ALL)"""
 
 
@@ -37,7 +39,7 @@ def _ruled(rules):
 @query(
     "N1_recommendations",
     f"""WITH {RUNS_SQL}, {GAPS_SQL}, md AS (SELECT l_orderkey AS o_orderkey, p_name AS term, min(l_linenumber) AS pos FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'A' GROUP BY ALL),
-    g2 AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY position) AS no FROM gp),
+    g2 AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY position, term) AS no FROM gp),
     lead AS (SELECT o_orderkey, no, CASE WHEN signal_source IN ('weak-resume-proof', 'live-support') THEN 'Build stronger proof for ' || term WHEN signal_source = 'role-family' THEN 'Consider adding or learning ' || term ELSE 'Add or learn ' || term END AS title,
       CASE signal_source WHEN 'weak-resume-proof' THEN CASE WHEN share >= 8 THEN 'High' ELSE 'Medium' END WHEN 'live' THEN 'High' ELSE 'Medium' END AS impact FROM g2 WHERE no <= 2),
     lt AS (SELECT o_orderkey, count(*) AS n, string_agg(lower(title), '|') AS titles FROM lead GROUP BY 1),
@@ -48,7 +50,7 @@ def _ruled(rules):
 )
 def n1(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    at = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
+    at = F.struct("l_linenumber", "l_partkey", "l_quantity")
     gaps = lines.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("p_name").alias("term")).agg(
         F.min(at).alias("position"), F.min_by(F.expr(SOURCES), at).alias("signal_source"), F.min_by(F.col("l_quantity") / 4, at).alias("share")
     )
@@ -76,16 +78,16 @@ def n2(spark, sf):
 
 @query(
     "N3_rule_summary",
-    f"""WITH {RUNS_SQL}, {GAPS_SQL}, m AS (SELECT o_orderkey, list(term || ' carries ' || share || '% of demand' ORDER BY position)[1:3] AS w FROM gp GROUP BY 1)
+    f"""WITH {RUNS_SQL}, {GAPS_SQL}, m AS (SELECT o_orderkey, list(term || ' carries ' || share || '% of demand' ORDER BY position, term)[1:3] AS w FROM gp GROUP BY 1)
     SELECT r.o_orderkey, coalesce(nullif(array_to_string(list_filter([CASE WHEN n_matched >= 5 THEN 'strong market alignment' END, CASE WHEN experience_years >= 2 THEN 'credible experience' WHEN experience_years >= 0.25 THEN 'early-career evidence' END,
         CASE WHEN has_projects THEN 'practical projects' END], lambda x: x IS NOT NULL), '|'), ''), 'usable base') AS strengths,
       CASE WHEN used_role_baseline THEN 'baseline market|' ELSE '' END || coalesce(array_to_string(w, '|'), 'add role-specific evidence') AS weaknesses FROM runs r LEFT JOIN m USING (o_orderkey)""",
 )
 def n3(spark, sf):
     lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    at = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
+    at = F.struct("l_linenumber", "l_partkey", "l_quantity")
     gaps = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("p_name").alias("term")).agg(F.min(at).alias("position"), F.min_by(F.col("l_quantity") / 4, at).alias("share"))
-    first = N.top_per_group(gaps, ["o_orderkey"], [F.asc("position")], 3)
+    first = N.top_per_group(gaps, ["o_orderkey"], [F.asc("position"), F.asc("term")], 3)
     listed = first.groupBy("o_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "term", "share"))), lambda x: F.struct(x["term"].alias("term"), x["share"].alias("share"))).alias("missing_terms"))
     wide = runs(spark, sf).join(listed, ["o_orderkey"], "left").withColumn("missing_terms", F.coalesce("missing_terms", F.array().cast("array<struct<term:string,share:double>>")))
     return wide.select("o_orderkey", *[F.array_join(c, "|").alias(n) for n, c in N.rule_summary().items() if n != "next_steps"])

@@ -88,7 +88,7 @@ def recommendations(runs: DataFrame, key: str, gaps: DataFrame, modelled: DataFr
     proof = lambda t: F.concat(F.lit("Build stronger proof for "), t)
     title = F.when(src.isin("weak-resume-proof", "live-support"), proof(term)).when(src == "role-family", F.concat(F.lit("Consider adding or learning "), term)).otherwise(F.concat(F.lit("Add or learn "), term))
     impact = F.when(src == "weak-resume-proof", F.when(F.col("share") >= 8.0, "High").otherwise("Medium")).when(src.isin("live-support", "role-family"), "Medium").otherwise("High")
-    lead = top_per_group(gaps, [key], [F.asc("position")], GAP_ITEMS, "no").select(key, "no", title.alias("title"), impact.alias("impact"), term.alias("term"))
+    lead = top_per_group(gaps, [key], [F.asc("position"), F.asc("term")], GAP_ITEMS, "no").select(key, "no", title.alias("title"), impact.alias("impact"), term.alias("term"))
     # Modelled gaps fill up to three lead items, unless an item already names the term.
     lead_text = lead.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("title")), "|").alias("titles"))
     spare = modelled.join(lead_text, [key], "left").filter(F.col("titles").isNull() | ~F.contains(F.lower("titles"), F.lower("term")))

@@ -49,3 +49,10 @@ def test_bare_references_in_html(spark, tmp_path):
 def test_letters_outside_ascii_are_no_units(spark, tmp_path):
     con = folder(tmp_path, documents=f"SELECT * REPLACE (({literal(TEXTS)})[doc_id % {len(TEXTS)} + 1] AS text) FROM t")
     agree(spark, con, tmp_path, "M9_text_evidence")
+
+
+@pytest.mark.parametrize("order", ["ASC", "DESC"])
+def test_equal_lines_of_an_order(spark, tmp_path, order):
+    twice = f"SELECT * FROM (SELECT * FROM t UNION ALL SELECT * REPLACE (51 - l_quantity AS l_quantity) FROM t) ORDER BY l_quantity {order}, l_orderkey"
+    con = folder(tmp_path, lineitem=twice)
+    agree(spark, con, tmp_path, "N1_recommendations", "N3_rule_summary")
