@@ -134,7 +134,7 @@ def e12(spark, sf):
 @query(
     "E12_assemble_profile",
     f"""WITH {PROFILE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY weight DESC, term) AS pos FROM prf)
-    SELECT listing_id, string_agg(term, '|' ORDER BY pos) AS terms, {S.rnd('avg(weight) FILTER (pos <= 6) * 100', 1)} AS quality FROM r GROUP BY listing_id""",
+    SELECT listing_id, string_agg(term, '|' ORDER BY pos) AS terms, {S.rnd('CAST(sum(CAST(round(weight * 100) AS BIGINT)) FILTER (pos <= 6) AS DOUBLE) / (count(*) FILTER (pos <= 6))', 1)} AS quality FROM r GROUP BY listing_id""",
 )
 def e12_assembled(spark, sf):
     con, listings = contributions(spark, sf)

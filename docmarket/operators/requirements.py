@@ -190,7 +190,8 @@ def assemble_profile(profile: DataFrame, key: str, evidence: DataFrame | None =
     top = F.slice("items", 1, QUALITY_TERMS)
     out = out.select(
         key, F.transform("items", lambda x: x["term"]).alias("terms"), F.map_from_entries(F.transform("items", lambda x: F.struct(x["term"], -x["w"]))).alias("weights"),
-        F.round(F.aggregate(top, F.lit(0.0), lambda a, x: a - x["w"]) / F.size(top) * 100, 1).alias("quality"),
+        # Weights have two decimals; hundredths are summed as whole numbers, so no order of the sum can turn a half.
+        F.round(F.aggregate(top, F.lit(0).cast("bigint"), lambda a, x: a + F.round(-x["w"] * 100).cast("bigint")) / F.size(top), 1).alias("quality"),
     )
     if evidence is None:
         return out

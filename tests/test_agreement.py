@@ -56,3 +56,13 @@ def test_equal_lines_of_an_order(spark, tmp_path, order):
     twice = f"SELECT * FROM (SELECT * FROM t UNION ALL SELECT * REPLACE (51 - l_quantity AS l_quantity) FROM t) ORDER BY l_quantity {order}, l_orderkey"
     con = folder(tmp_path, lineitem=twice)
     agree(spark, con, tmp_path, "N1_recommendations", "N3_rule_summary")
+
+
+def test_quality_of_a_profile_is_rounded_from_exact_sums(spark):
+    rng = random.Random(4)
+    weights = {i: [rng.randrange(36, 101) for _ in range(rng.randrange(1, 9))] for i in range(4000)}
+    profile = spark.createDataFrame([(i, f"t{n}", w / 100) for i, ws in weights.items() for n, w in enumerate(ws)], "listing_id int, term string, weight double")
+    got = {r["listing_id"]: r["quality"] for r in RQ.assemble_profile(profile, "listing_id").select("listing_id", "quality").collect()}
+    for i, ws in weights.items():
+        top = sorted(ws, reverse=True)[:6]
+        assert got[i] == float((Decimal(sum(top)) / len(top)).quantize(Decimal("0.1"), ROUND_HALF_UP)), ws
