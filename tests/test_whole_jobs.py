@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docmarket.operators import alignment as G, dedupe as D, requirements as Q, terms as E
+from docmarket.operators import alignment as G, dedupe as D, requirements as Q, scoring as M, terms as E
 from docmarket.sources import feeds
 
 
@@ -52,3 +52,30 @@ def test_runs_of_tokens_stay_in_the_row(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, "microservices", "literal"), (1, "sql", "pattern"), (2, "of", "literal")]
     joins = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in joins and joins.count("explode") + joins.count("Generate") <= 4
+
+
+def test_skill_match_without_pairs_is_that_of_all_pairs(spark):
+    rng = random.Random(8)
+    listings = [(f"q{i % 3}", i, rng.choice(("live", "role-baseline"))) for i in range(90)]
+    terms = [(q, i, f"t{n}", rng.choice((None, 0.3, 0.9, 1.0))) for q, i, _ in listings for n in rng.sample(range(12), rng.randrange(0, 6))]
+    proofs = [(d, f"t{n}", rng.choice((1.0, 0.72, 0.38))) for d in range(40) for n in rng.sample(range(12), rng.randrange(0, 7))]
+    docs = spark.createDataFrame([(d, f"q{d % 4}") for d in range(40)], "doc_id int, query_id string")
+    listings = spark.createDataFrame(listings, "query_id string, listing_id int, source string")
+    terms = spark.createDataFrame(terms, "query_id string, listing_id int, term string, weight double")
+    proofs = spark.createDataFrame(proofs, "doc_id int, term string, proof double")
+    pairs = docs.join(listings, ["query_id"]).join(terms, ["query_id", "listing_id"]).join(proofs, ["doc_id", "term"], "left").fillna(0.0, ["proof"])
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    got = rows(M.market_skill_match(docs, listings, terms, proofs))
+    assert len(got) == 30 and got == rows(M.skill_match(pairs))
+
+
+def test_listings_of_a_query_are_all_scored(spark):
+    from __spark_entry__ import queries
+
+    folder = "/root/testdata/sf0.001"
+    orders = {r["o_orderpriority"]: r["n"] for r in spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderpriority").agg(F.count("*").alias("n")).collect()}
+    asked = spark.read.parquet(f"{folder}/customer.parquet").filter("c_custkey % 100 = 0").select("c_custkey").collect()
+    priorities = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    want = {r[0]: orders[priorities[r[0] % 5]] for r in asked}
+    got = {r["doc_id"]: r["n"] for r in queries()["M4_semantic_relevance"](spark, folder).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == want and want
