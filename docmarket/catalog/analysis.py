@@ -9,7 +9,7 @@ from docmarket.catalog.roles import LEX as ROLES, parts_frame
 from docmarket.catalog.structure import HEADERS
 from docmarket.catalog.terms import lexicon
 from docmarket.functions import text as T
-from docmarket.plans.analysis import Analysis, run_analysis
+from docmarket.plans.analysis import Analysis, Market, analyse_market, run_analysis
 from docmarket.registry import query
 from docmarket.sources.tables import table
 
@@ -43,14 +43,20 @@ def analysis(spark, sf) -> Analysis:
     return run_analysis(docs, listings, queries, lexicon(spark), ROLES, HEADERS, F.lit("2024-05-17").cast("date"), REQ)
 
 
+def market(spark, sf) -> Market:
+    """The listings' side, which needs no document."""
+    _, listings, queries = market_inputs(spark, sf)
+    return analyse_market(listings, queries, lexicon(spark), ROLES, REQ)
+
+
 @query("analysis_selected_listings")
 def selected(spark, sf):
-    return analysis(spark, sf).selected
+    return market(spark, sf).selected
 
 
 @query("analysis_demand")
 def demand(spark, sf):
-    return analysis(spark, sf).demand.select("query_id", "term", "share", "rank")
+    return market(spark, sf).demand.select("query_id", "term", "share", "rank")
 
 
 @query("analysis_scores")

@@ -15,12 +15,11 @@ from docmarket.operators import (
 from docmarket.roles import RoleLexicon
 from docmarket.session import cut_lineage
 
-
 def score_documents(docs: DataFrame, doc_id: str, text: str, headers: C.Headers, as_of: Column) -> DataFrame:
     """Signals, years, archetype, parser confidence, quality and ATS score of each document."""
-    signals = C.parse_signals(docs, doc_id, text, headers)
-    sections = C.assign_sections(docs, doc_id, text, headers)
-    years = temporal.experience_years(sections, doc_id, as_of)
+    parsed = C.parse_documents(docs, doc_id, text, headers)
+    signals = C.parse_signals(docs, doc_id, text, headers, parsed=parsed)
+    years = temporal.experience_years(C.part_sections(parsed, doc_id), doc_id, as_of)
     body = F.col(text)
     contact = T.extract_contact(body)
     own = docs.select(
@@ -34,6 +33,17 @@ def score_documents(docs: DataFrame, doc_id: str, text: str, headers: C.Headers,
     return wide.withColumns({"parser_confidence": Q.parser_confidence(), "resume_quality": Q.document_quality(), "ats_compliance": Q.ats_compliance()})
 
 
+class Market(NamedTuple):
+    """The listings' side of a run, without the documents."""
+
+    terms: DataFrame  # listing_id, term, weight, n
+    selected: DataFrame  # query_id, position, key, ...
+    ranked: DataFrame  # candidates of all queries, scored
+    chosen: DataFrame  # query_id, listing_id, position
+    own_terms: DataFrame  # terms of the chosen listings
+    demand: DataFrame  # query_id, term, share, ...: not written out yet
+
+
 class Analysis(NamedTuple):
     """The tables of one run; all lazy."""
 
@@ -47,7 +57,8 @@ def listing_terms(listings: DataFrame, lexicon: DataFrame, req: RQ.RequirementLe
     """(listing_id, term, weight, n): requirement profile of each listing from lexicon hits in its sentences."""
     rows = RQ.sentences(listings, ["listing_id", "title"], F.concat_ws(". ", "title", "description"), req)
     hits = E.term_hits(rows, ["listing_id", "title", "sent_no", "sentence"], F.col("sentence"), lexicon).dropDuplicates(["listing_id", "sent_no", "term"])
-    found = RQ.pattern_weights(hits.withColumnRenamed("sentence", "snippet"), "listing_id", req).withColumn("extracted", F.lit(True))
+    # Small and read twice below; the texts are searched once.
+    found = cut_lineage(RQ.pattern_weights(hits.withColumnRenamed("sentence", "snippet"), "listing_id", req).withColumn("extracted", F.lit(True)))
     counts = found.select("listing_id", "term", "n")
     return RQ.requirement_profile(found, listings, "listing_id", "title").join(counts, ["listing_id", "term"])
 
@@ -84,7 +95,11 @@ def search_listings(listings: DataFrame, queries: DataFrame, terms: DataFrame, r
     own = terms.groupBy("listing_id").agg(F.sort_array(F.collect_list("term")).alias("terms"), F.round(F.avg("weight") * 100, 1).alias("requirement_quality"))
     rows = listings.join(own, ["listing_id"], "left").withColumns({"terms": F.coalesce("terms", T.lit_array([])), "requirement_quality": F.coalesce("requirement_quality", F.lit(0.0))})
     adjacent = [f"{a}|{b}" for a, bs in roles.adjacent.items() for b in bs]
-    scored = G.annotate(G.candidates(rows, queries, profiles, profiles), roles.families, adjacent)
+    # Much work on each row, and often one split: listings come from one file, and joins with small tables keep its splits.
+    # One task a core, as each takes seconds to set up these expressions; rows pass through one by one.
+    cores = listings.sparkSession.sparkContext.defaultParallelism
+    pairs = G.candidates(rows, queries, profiles, profiles).repartition(cores, "query_id", "listing_id")
+    scored = G.annotate(pairs, roles.families, adjacent)
     # Guards read each score dozens of times. Written out once, the scores are plain columns
     # for them; left in the plan, every guard would carry all text expressions again.
     guarded = H.with_guard_columns(cut_lineage(guard_inputs(scored, flags, roles)))
@@ -108,15 +123,8 @@ def search_listings(listings: DataFrame, queries: DataFrame, terms: DataFrame, r
     return cut_lineage(J.select_diverse(ranked, targets)), ranked
 
 
-def run_analysis(
-    docs: DataFrame, listings: DataFrame, queries: DataFrame, lexicon: DataFrame, roles: RoleLexicon, headers: C.Headers, as_of: Column, req: RQ.RequirementLexicon = RQ.RequirementLexicon(), mode: str = "full",
-) -> Analysis:
-    """Documents against the market of their query.
-
-    docs: doc_id, query_id, text, content_type. ``mode="light"`` uses the mean proof as skill
-    match. Shuffles: document aggregates by doc_id, duplicates by signature, demand by (query,
-    term), pairs by query; a document meets only the few listings selected for its query.
-    """
+def analyse_market(listings: DataFrame, queries: DataFrame, lexicon: DataFrame, roles: RoleLexicon, req: RQ.RequirementLexicon = RQ.RequirementLexicon()) -> Market:
+    """Selected listings and the demand for terms among them."""
     terms = cut_lineage(listing_terms(listings, lexicon, req))
     selected, ranked = search_listings(listings, queries, terms, roles)
     chosen = selected.select("query_id", F.col("key").alias("listing_id"), "position")
@@ -127,11 +135,25 @@ def run_analysis(
     hint_rows = ranked.select("query_id", "q_primary", "q_market").distinct()
     both = F.concat(F.transform("q_primary", lambda t: F.struct(t.alias("term"), F.lit("primary").alias("kind"))), F.transform("q_market", lambda t: F.struct(t.alias("term"), F.lit("market").alias("kind"))))
     hints = T.explode_once(hint_rows, ["query_id"], both, "h").select("query_id", "h.term", "h.kind")
-    demand = cut_lineage(K.prune_demand(K.term_demand(market, own_terms, hints), lexicon.select("term").distinct()))
+    demand = K.prune_demand(K.term_demand(market, own_terms, hints), lexicon.select("term").distinct())
+    return Market(terms, selected, ranked, chosen, own_terms, demand)
+
+
+def run_analysis(
+    docs: DataFrame, listings: DataFrame, queries: DataFrame, lexicon: DataFrame, roles: RoleLexicon, headers: C.Headers, as_of: Column, req: RQ.RequirementLexicon = RQ.RequirementLexicon(), mode: str = "full",
+) -> Analysis:
+    """Documents against the market of their query.
+
+    docs: doc_id, query_id, text, content_type. ``mode="light"`` uses the mean proof as skill
+    match. Shuffles: document aggregates by doc_id, duplicates by signature, demand by (query,
+    term), pairs by query; a document meets only the few listings selected for its query.
+    """
+    _, selected, ranked, chosen, own_terms, demand = analyse_market(listings, queries, lexicon, roles, req)
+    demand = cut_lineage(demand)
 
     signals = cut_lineage(score_documents(docs, "doc_id", "text", headers, as_of).drop("parser_confidence"))
     sections = C.assign_sections(docs, "doc_id", "text", headers)
-    hits = E.term_hits(sections, ["doc_id", "section"], F.col("text"), lexicon)
+    hits = cut_lineage(E.term_hits(sections, ["doc_id", "section"], F.col("text"), lexicon).select("doc_id", "section", "term").distinct())
     doc_terms, support = hits.select("doc_id", "term").distinct(), E.section_support(hits, "doc_id")
     flags = ranked.select("query_id", "dense").distinct()
     wanted = docs.select("doc_id", "query_id").join(demand.drop("rank"), ["query_id"]).join(signals.select("doc_id", "experience_years"), ["doc_id"]).join(flags, ["query_id"])

@@ -107,3 +107,17 @@ def test_inline_headers_equal_the_plain_rule(spark):
     want = {n: found for n, line in enumerate(lines) if (found := plain_inline(line, headers))}
     assert got == want
     assert len(want) > 500
+
+
+def test_headers_are_searched_once(spark):
+    text = "\n".join([RESUME, "SKILLS | a PROJECTS | b", "Education & Skills", "  Summary :  x  y"])
+    twice = spark.createDataFrame([("d", text, "a"), ("e", "", "a"), ("f", None, "a"), ("g", "Experience", "a")], "doc_id string, text string, content_type string")
+    out = C.parse_signals(twice, "doc_id", "text", HEADERS)
+    scored = score_documents(twice, "doc_id", "text", HEADERS, F.lit(date(2024, 5, 17)))
+    for df in (out, scored):
+        assert "(?<![A-Za-z])" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r for r in out.collect()}
+    lines = C.explode_lines(twice, "doc_id", "text")
+    for r in C.header_signals(lines, "doc_id", HEADERS).collect():
+        assert {n: got[r["doc_id"]][n] for n in r.asDict()} == r.asDict()
+    assert len(got) == 4 and got["d"]["explicit_header_count"] >= 4 and got["e"]["explicit_header_count"] == 0
