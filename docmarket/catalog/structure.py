@@ -119,7 +119,7 @@ TOP_WORDS_SQL = f"list_sort(list_distinct(list_filter(string_split({S.clean_word
 def c5(spark, sf):
     words = ("the", "of", "der", "que", "les", "and", "with", "for")
     docs = table(spark, sf, "documents")
-    sections = C.assign_sections(docs, "doc_id", "text", HEADERS, inline=False)
+    sections = C.part_sections(C.parse_documents(docs, "doc_id", "text", HEADERS, inline=False), "doc_id")
     terms = F.array_sort(F.array_distinct(F.filter(F.split(T.clean_words(F.col("text")), " "), lambda t: t.isin(*words))))
     named = docs.select("doc_id", F.concat(F.lit("skills "), "text").alias("body"), terms.alias("terms"))
     out = C.synthesize_section(sections, named, "doc_id", "body", F.col("terms"), limit=3)

@@ -23,3 +23,11 @@ def test_snippets_clean_a_sentence_once(spark):
     out = E.term_snippets(spark.read.parquet(f"{FOLDER}/documents.parquet"), ["doc_id"], "text", lexicon)
     # the whole sentence, and the part of a long one
     assert optimized(out).count(r"\p{Ll}{1,4}") == 2
+
+
+def test_texts_are_not_searched_in_the_scan(spark):
+    docs = spark.createDataFrame([(1, "my skills", ["a", "b", "c"]), (2, "skills", ["a"]), (3, "unskilled", ["a"]), (4, "skills", [])], "doc_id int, text string, terms array<string>").repartition(3)
+    sections = spark.createDataFrame([(2, "skills", "x")], "doc_id int, section string, text string")
+    out = C.synthesize_section(sections, docs, "doc_id", "text", F.col("terms"), limit=2)
+    assert not [line for line in optimized(out).splitlines() if "Filter" in line and "RLIKE" in line]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "skills", "a, b", True), (2, "skills", "x", False)]
