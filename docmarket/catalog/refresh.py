@@ -45,7 +45,7 @@ def count_builder(spark):
     """Profiles from the number of times a term occurs."""
 
     def build(texts):
-        hits = E.match_terms(texts, ["content_hash"], "description", lexicon(spark))
+        hits = cut_lineage(E.match_terms(texts, ["content_hash"], "description", lexicon(spark)))  # for the weights and for the evidence
         con = hits.select("content_hash", "term", (F.lit(0.36) + F.least("n_hits", F.lit(5)) * 0.04).alias("weight"), F.col("n_hits").alias("n"), F.lit(True).alias("extracted"))
         shown = hits.select("content_hash", "term", F.concat("term", F.lit(" x"), F.col("n_hits").cast("string")).alias("snippet"))
         return Q.assemble_profile(Q.requirement_profile(con, texts, "content_hash", "title"), "content_hash", shown)

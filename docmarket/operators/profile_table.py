@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docmarket.operators.ranking import first_per_key
+from docmarket.session import cut_lineage
 from docmarket.sources.listings import PROFILE_VERSION, needs_profile_refresh
 
 # --- fixed values: the extras that belong to a profile ---
@@ -40,7 +41,8 @@ def refresh_profiles(listings: DataFrame, profiles: DataFrame, build: Callable[[
     returns content_hash, terms, weights, evidence, quality; a text for which it finds nothing gets empty parts, and is
     tried again at the next refresh, as its parts are missing.
     """
-    stale = stale_texts(listings, profiles)
+    # Kept, as the builder and two joins read it: the texts are hashed once. That adds about the size of the stale texts to the shared folder.
+    stale = cut_lineage(stale_texts(listings, profiles))
     made = stale.select("content_hash").join(build(stale), ["content_hash"], "left")
     kinds = {c: profiles.schema[c].dataType for c in PARTS}
     empty = {"terms": F.array(), "weights": F.create_map(), "evidence": F.array(), "quality": F.lit(0.0)}
@@ -69,7 +71,7 @@ def lexicon_builder(lexicon: DataFrame, rules, specialisms=(), scientific=None)
 
     def build(texts: DataFrame) -> DataFrame:
         body = texts.select("content_hash", "title", F.concat_ws("\n", "title", "description", F.array_join("tags", " ")).alias("body"))
-        shown = E.term_snippets(body, ["content_hash", "title"], "body", lexicon)
+        shown = cut_lineage(E.term_snippets(body, ["content_hash", "title"], "body", lexicon))  # for the weights and for the evidence
         weights = Q.pattern_weights(shown, "content_hash", rules).withColumn("extracted", F.lit(True))
         profile = Q.requirement_profile(weights, texts, "content_hash", "title", specialisms, scientific)
         return Q.assemble_profile(profile, "content_hash", shown.select("content_hash", "term", "snippet"))

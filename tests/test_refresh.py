@@ -127,3 +127,19 @@ def test_old_and_incomplete_profiles_are_stale(spark):
     assert sorted(r["title"] for r in P.stale_texts(jobs, table).collect()) == ["t1", "t2", "t3", "t4", "t5"]
     twice = table.unionByName(table.filter(F.col("content_hash") == hashes[0]).withColumn("version", F.lit(1)))
     assert P.refresh_profiles(jobs, twice, lambda t: table.limit(0).drop("mode", "version")).count() == 6
+
+
+def test_texts_are_hashed_and_searched_once(spark, builder):
+    build, _ = builder
+    plans = []
+
+    def seen(texts):
+        plans.append(texts._jdf.queryExecution().optimizedPlan().toString())
+        return build(texts)
+
+    jobs = spark.createDataFrame([(1, "feed", "Spark lead", "Apache Spark is required.", ["x"], {}), (2, "feed", "Cook", "No such words.", None, {})], JOB)
+    out = P.refresh_profiles(jobs, spark.createDataFrame([], PROFILE), seen)
+    assert "sha2" not in plans[0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "Generate" not in plan  # neither the hashes nor the search for terms are in the plan of the profiles
+    assert sorted(len(r["terms"]) for r in out.collect()) == [0, 1]
