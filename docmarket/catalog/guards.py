@@ -9,6 +9,7 @@ from docmarket.functions import text as T
 from docmarket.operators import guards as H, select as J
 from docmarket.operators.ranking import top_per_group
 from docmarket.registry import query
+from docmarket.session import small_methods
 from docmarket.sources.tables import table
 
 # Integer arithmetic over the line's keys, readable by both engines.
@@ -36,6 +37,7 @@ CAND_SQL = f"cand AS (SELECT *, NOT family_title_bad AS family_title_ok FROM (SE
 
 
 def cand(spark, sf):
+    small_methods(spark)
     rows = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in SIG.items()])
     return H.with_guard_columns(rows.withColumn("family_title_ok", ~F.col("family_title_bad")))
 

@@ -143,3 +143,20 @@ def test_overlap_join_is_exact_for_any_prefix(spark):
         for agree in (1, 3):
             got = {(r["l"], r["r"], r["shared"], r["rank"]) for r in D.overlap_join(lf, rf, "l", "r", "t", share, 3, agree).collect()}
             assert got == want, (share, agree)
+
+
+def test_wide_projections_are_split_into_small_methods(spark):
+    from docmarket.session import METHOD_LIMIT, small_methods
+
+    from __spark_entry__ import queries
+
+    before = spark.conf.get(METHOD_LIMIT)
+    try:
+        spark.conf.set(METHOD_LIMIT, "65535")
+        queries()["J2_select_diverse"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(METHOD_LIMIT) == "8000"  # HotSpot compiles no larger ones
+        spark.conf.set(METHOD_LIMIT, "20000")
+        small_methods(spark)
+        assert spark.conf.get(METHOD_LIMIT) == "20000"
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
