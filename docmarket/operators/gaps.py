@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from docmarket import lexicons as X
 from docmarket.functions import text as T
 from docmarket.operators.ranking import first_per_key, top_per_group
+from docmarket.session import cut_lineage
 
 # --- fixed values -------------------------------------------------------------
 GAP_LIMIT, RECOMMENDED = 10, 14
@@ -40,18 +41,18 @@ def live_gap_evidence(listings: DataFrame, stored: DataFrame, declared: DataFram
     listings: query_id, listing_id, source, company, title, description, arrival
     stored and literal: query_id, listing_id, term, snippet; declared: query_id, listing_id, term
     """
-    live = listings.filter(F.col("source") != X.BASELINE_SOURCE)
-    head = F.substring(T.normalize_ws(F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("title"))), 1, 220)
+    # What is cleaned is cleaned once per listing; the text of a declaring listing only where it is the first of its company.
+    company = F.coalesce(F.nullif(F.lower(T.normalize_ws(F.col("company"))), F.lit("")), F.lit("unknown"))
+    text = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("title"))
+    live = listings.filter(F.col("source") != X.BASELINE_SOURCE).select("query_id", "listing_id", "source", F.col(arrival).alias("__arrival"), company.alias("company_key"), text.alias("__text"))
     keys = ["query_id", "listing_id", "term"]
     tier = lambda df, n: df.select(*keys, F.lit(n).alias("tier"), "snippet")
     own = declared.select(*keys).withColumn("snippet", F.lit(None).cast("string"))
     evidence = tier(stored, 0).unionByName(tier(own, 1)).unionByName(tier(literal, 2))
     best = evidence.groupBy(*keys).agg(F.min(F.struct("tier", "snippet")).alias("b")).select(*keys, "b.*")
-    joined = best.join(live, ["query_id", "listing_id"]).withColumn("snippet", F.when(F.col("tier") == 1, head).otherwise(F.col("snippet")))
-    company = F.coalesce(F.nullif(F.lower(T.normalize_ws(F.col("company"))), F.lit("")), F.lit("unknown"))
-    return first_per_key(joined.withColumn("company_key", company), ["query_id", "term", "company_key"], [F.asc(arrival)]).select(
-        "query_id", "term", "company_key", "listing_id", "tier", "snippet", "source"
-    )
+    first = first_per_key(best.join(live, ["query_id", "listing_id"]), ["query_id", "term", "company_key"], [F.asc("__arrival")])
+    head = F.substring(T.normalize_ws(F.col("__text")), 1, 220)
+    return first.select("query_id", "term", "company_key", "listing_id", "tier", F.when(F.col("tier") == 1, head).otherwise(F.col("snippet")).alias("snippet"), "source")
 
 
 def augment_gaps(existing: DataFrame, demand: DataFrame, recommended: DataFrame, evidence: DataFrame, proofs: DataFrame, context: DataFrame, limit: int = GAP_LIMIT) -> DataFrame:
@@ -103,7 +104,7 @@ def gap_target(family: Column, domain: Column) -> Column:
 
 def split_missing_weak(gaps: DataFrame, doc_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(missing, weak): terms the document does not have, and terms it has without enough proof; one row per term."""
-    once = first_per_key(gaps, ["doc_id", "query_id", "term"], [F.asc("position")])
+    once = cut_lineage(first_per_key(gaps, ["doc_id", "query_id", "term"], [F.asc("position")]))  # both lists read it
     own = doc_terms.select("doc_id", "term").distinct()
     weak = once.join(own, ["doc_id", "term"], "left_semi").withColumn("signal_source", F.lit("weak-resume-proof"))
     missing = once.join(own, ["doc_id", "term"], "left_anti")

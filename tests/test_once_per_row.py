@@ -31,3 +31,12 @@ def test_texts_are_not_searched_in_the_scan(spark):
     out = C.synthesize_section(sections, docs, "doc_id", "text", F.col("terms"), limit=2)
     assert not [line for line in optimized(out).splitlines() if "Filter" in line and "RLIKE" in line]
     assert sorted(tuple(r) for r in out.collect()) == [(1, "skills", "a, b", True), (2, "skills", "x", False)]
+
+
+def test_gaps_are_made_once_for_both_lists(spark):
+    from docmarket.operators import gaps as L
+
+    gaps = spark.createDataFrame([(1, "q", "a", 2, "live"), (1, "q", "a", 1, "weak-resume-proof"), (1, "q", "b", 3, "live")], "doc_id int, query_id string, term string, position int, signal_source string")
+    missing, weak = L.split_missing_weak(gaps, spark.createDataFrame([(1, "b")], "doc_id int, term string"))
+    assert "Window" not in optimized(missing) and "Window" not in optimized(weak)
+    assert [(r["term"], r["signal_source"]) for r in missing.collect()] == [("a", "live")] and [(r["term"], r["signal_source"]) for r in weak.collect()] == [("b", "weak-resume-proof")]
