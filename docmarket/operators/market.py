@@ -45,13 +45,26 @@ def term_weight(generic: Sequence[str]) -> Column:
     return F.when(F.col("term").isin(*generic) & ~F.col("primary"), w * 0.72).otherwise(w)
 
 
+def listing_terms(terms: DataFrame, *values: str) -> DataFrame:
+    """One row for each listing and term with its largest ``values``; ``lead`` marks one row of each listing.
+
+    One sort by (query, listing, term) serves both, and the join on the listing that follows. A hash of the rows would hold
+    them all beside that sort, as hardly any two agree. A listing has at most as many terms as the lexicon.
+    """
+    own = Window.partitionBy("query_id", "listing_id").orderBy("term")
+    same = own.rangeBetween(Window.currentRow, Window.currentRow)
+    number = F.row_number().over(own)
+    first = (number == 1) | ~F.lag("term").over(own).eqNullSafe(F.col("term"))
+    rows = terms.select("query_id", "listing_id", "term", *[F.max(c).over(same).alias(c) for c in values], (number == 1).alias("lead"), first.alias("__first"))
+    return rows.filter("__first").drop("__first")
+
+
 def demand_pairs(jobs: DataFrame, terms: DataFrame, hints: DataFrame) -> DataFrame:
     """One row for each listing and term, with the flags of the hints; ``lead`` marks one row of each listing."""
     kinds = hints.groupBy("query_id", "term").agg(F.max((F.col("kind") == "primary")).alias("primary"), F.lit(True).alias("hinted"))
-    once = terms.groupBy("query_id", "listing_id", "term").agg(F.max("weight").alias("weight"), F.max("n_evidence").alias("n_evidence"))
-    # One row of each listing carries its weight for the denominator; a listing has at most as many terms as the lexicon.
-    lead = F.row_number().over(Window.partitionBy("query_id", "listing_id").orderBy("term")) == 1
-    return once.join(jobs, ["query_id", "listing_id"]).withColumn("lead", lead).join(kinds, ["query_id", "term"], "left").fillna(False, ["primary", "hinted"])
+    # The leading row of a listing carries its weight for the denominator.
+    once = listing_terms(terms, "weight", "n_evidence")
+    return once.join(jobs, ["query_id", "listing_id"]).join(kinds, ["query_id", "term"], "left").fillna(False, ["primary", "hinted"])
 
 
 def term_demand(
@@ -70,21 +83,23 @@ def term_demand(
     spreads a term that most listings name, then by (query, term) over those small rows.
     """
     live = is_live_source(F.col("source"))
-    # Queries with live rows damp their baseline rows: one small row per query joined back.
+    # Queries with live rows damp their baseline rows: one small row per query, joined to the sums. Joined to the listings,
+    # it would bring all those of a query together in one task.
     per_query = listings.groupBy("query_id").agg(F.max(live).alias("live_present"), F.count_if(live).alias("live_listings"))
     if "signature" in listings.columns:
         listings = with_group_size(listings, ["signature"], "dup_divisor")
     columns = job_columns(trust_table, trust_other)
-    damped = F.when(F.col("live_present") & ~live, BASELINE_DAMPING).otherwise(1.0)
-    weight = columns.pop("job_weight") * damped / F.greatest(F.col("dup_divisor"), F.lit(1))
-    jobs = listings.join(per_query, ["query_id"]).select("query_id", "listing_id", "live_present", "live_listings", weight.alias("job_weight"), *[c.alias(n) for n, c in columns.items()])
+    weight = columns.pop("job_weight") / F.greatest(F.col("dup_divisor"), F.lit(1))
+    jobs = listings.select("query_id", "listing_id", weight.alias("job_weight"), *[c.alias(n) for n, c in columns.items()])
     pairs, w = demand_pairs(jobs, terms, hints), term_weight(generic)
-    per_company = pairs.groupBy("query_id", "term", "company", "source").agg(
-        F.sum(F.col("job_weight") * w).alias("weighted"), F.sum(F.when(F.col("lead"), F.col("job_weight")).otherwise(0.0)).alias("jobs"), F.count(F.lit(1)).alias("n"), F.count_if("live").alias("n_live"),
-        *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
+    per_company = pairs.groupBy("query_id", "term", "company", "source", "live").agg(
+        F.sum(F.col("job_weight") * w).alias("weighted"), F.sum(F.when(F.col("lead"), F.col("job_weight")).otherwise(0.0)).alias("jobs"), F.count(F.lit(1)).alias("n"),
+        *[F.max(c).alias(c) for c in ("primary", "hinted")],
     )
-    demand = per_company.groupBy("query_id", "term").agg(
-        F.sum("weighted").alias("weighted"), F.sum("jobs").alias("jobs"), F.sum("n").alias("count"), F.sum("n_live").alias("live_count"), *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
+    damping = F.when(F.col("live_present") & ~F.col("live"), BASELINE_DAMPING).otherwise(1.0)
+    scaled = per_company.join(per_query, ["query_id"]).withColumns({c: F.col(c) * damping for c in ("weighted", "jobs")})
+    demand = scaled.groupBy("query_id", "term").agg(
+        F.sum("weighted").alias("weighted"), F.sum("jobs").alias("jobs"), F.sum("n").alias("count"), F.coalesce(F.sum(F.when(F.col("live"), F.col("n"))), F.lit(0)).alias("live_count"), *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
         F.count_distinct("company").alias("company_count"), F.count_distinct("source").alias("source_count"),
     )
     # A query has at most as many rows here as the lexicon has terms.
