@@ -39,3 +39,23 @@ def test_market_is_dealt_by_listing(spark, monkeypatch):
     below = plan[plan.index("hashpartitioning(query_id", plan.index("primary")):] if "primary" in plan else plan
     assert "REPARTITION_BY_NUM" in below
     assert gaps.doc_terms(spark, FOLDER).rdd.getNumPartitions() > 4
+
+
+def test_pairs_are_scored_where_they_are_made(spark):
+    import random
+
+    from docmarket.operators import scoring as M
+
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(d, f"q{d % 3}", float(d)) for d in range(12)], "doc_id int, query_id string, language double")
+    listings = spark.createDataFrame([(f"q{i % 3}", i, float(i), float(i % 30), float(i % 14)) for i in range(40)], "query_id string, listing_id int, base double, title_alignment double, role_fit double")
+    terms = spark.createDataFrame([(f"q{i % 3}", i, f"t{rng.randrange(9)}") for i in range(36) for _ in range(rng.randrange(1, 6))], "query_id string, listing_id int, term string")
+    proofs = spark.createDataFrame([(d, f"t{n}", rng.choice((1.0, 0.72, 0.38))) for d in range(10) for n in rng.sample(range(9), 4)], "doc_id int, term string, proof double")
+    relevant = spark.createDataFrame([(d, f"t{rng.randrange(9)}") for d in range(11) for _ in range(3)], "doc_id int, term string")
+    got = M.market_relevance(docs, listings, terms, proofs, relevant, 5)
+    want = M.semantic_relevance(docs.join(listings, ["query_id"]), terms, proofs, relevant)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(got) == rows(want) and got.count() == 160
+    # No step after the join of documents and listings moves a pair.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [doc_id" not in plan.split("Join Inner")[0]
