@@ -59,3 +59,23 @@ def test_pairs_are_scored_where_they_are_made(spark):
     # No step after the join of documents and listings moves a pair.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [doc_id" not in plan.split("Join Inner")[0]
+
+
+def test_proofs_are_looked_up_in_the_document(spark):
+    from docmarket.catalog import gaps
+    from docmarket.operators import gaps as L, terms as E
+
+    demand = gaps.shared_demand(spark, FOLDER)
+    proved = gaps.proved_frame(spark, FOLDER, demand)
+    own = gaps.doc_terms(spark, FOLDER)
+    support = own.select("doc_id", "term", F.when(F.col("qty") >= 40, "strong").when(F.col("qty") >= 20, "medium").otherwise("weak").alias("level"))
+    joined = gaps.with_required(E.with_proof(gaps.doc_queries(spark, FOLDER).join(gaps.top_demand(demand), ["query_id"]), own, support, "doc_id"))
+    cols = ["doc_id", "term", "proof", "required", "has_term"]
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    assert rows(proved, *cols) == rows(joined, *cols)
+    matched, missing = L.split_matched(proved)
+    both = matched.withColumn("status", F.lit("matched")).select("doc_id", "term", "status").union(missing.select("doc_id", "term", "signal_source"))
+    assert rows(L.match_status(proved), "doc_id", "term", "status") == rows(both, "doc_id", "term", "status")
+    # The documents of a query are not brought together.
+    plan = proved.select(*cols)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [query_id" not in plan and "SortMergeJoin [doc_id" not in plan.split("BroadcastHashJoin [query_id")[0]
