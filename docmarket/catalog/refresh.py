@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from docmarket.catalog import sql as S
-from docmarket.catalog.market import FEED_NAMES, GENERIC, MARKET_SQL, demand_sql, market_frames, pick
+from docmarket.catalog.market import FEED_NAMES, GENERIC, HINTS, MARKET_SQL, by_listing, demand_sql, market_rows, pick
 from docmarket.catalog.terms import LEX_SQL, hits_sql, lexicon
 from docmarket.operators import demand_state as D, profile_table as P, requirements as Q, terms as E
 from docmarket.registry import query
 from docmarket.session import cut_lineage, new_folder
 from docmarket.sources.listings import PROFILE_VERSION
-from docmarket.sources.tables import table
+from docmarket.sources.tables import table, values_frame
 
 # The market after two refreshes: orders ending in 0 and 1 have gone, 7 to 9 have come, those ending in 2 have a new company.
 REFRESHED_SQL = MARKET_SQL.replace(
@@ -23,18 +23,20 @@ REFRESHED_SQL = MARKET_SQL.replace(
 
 @query("K1_demand_after_refreshes", f"WITH {REFRESHED_SQL}, {demand_sql()} SELECT query_id, term, count, live_count, company_count, source_count, share FROM demand")
 def k1_refreshes(spark, sf):
-    listings, terms, hints = market_frames(spark, sf)
-    terms = cut_lineage(terms)  # several changes read it
-    customers = table(spark, sf, "orders").select(F.col("o_orderkey").alias("listing_id"), F.concat_ws(":", F.col("o_orderkey") % 6, F.col("o_custkey") % 50).alias("signature"))
-    listings = listings.join(customers, ["listing_id"])
-    last = F.col("listing_id") % 10
-    renamed = listings.filter(last == 2).withColumn("company", F.when(F.col("company") != "", F.concat("company", F.lit(" new"))).otherwise(""))
-    rows = lambda some, sign=1: D.demand_rows(some, terms.join(some.select("query_id", "listing_id"), ["query_id", "listing_id"], "left_semi"), hints, sign, buckets=16, generic=GENERIC)
+    listings, terms, n = market_rows(spark, sf, F.concat_ws(":", F.col("o_orderkey") % 6, F.col("o_custkey") % 50).alias("signature"))
+    terms, hints = cut_lineage(terms), values_frame(spark, ["query_id", "term", "kind"], HINTS)  # several changes read the terms
+    renamed = listings.withColumn("company", F.when(F.col("company") != "", F.concat("company", F.lit(" new"))).otherwise(""))
+
+    def rows(some, ends, sign=1):
+        # How rows lie is not kept with a checkpoint, so the terms of a change are dealt as they are read, and its listings likewise.
+        changed = lambda df: by_listing(df.filter((F.col("listing_id") % 10).isin(*ends)), n)
+        return D.demand_rows(changed(some), changed(terms), hints, sign, buckets=16, generic=GENERIC)
+
     folder = new_folder(spark, "demand")
-    D.create_state(rows(listings.filter(last < 7)), folder)
+    D.create_state(rows(listings, range(7)), folder)
     changes = [
-        [rows(listings.filter(last.isin(7, 8))), rows(listings.filter(last.isin(0, 2)), -1), rows(renamed)],
-        [rows(listings.filter(last == 9)), rows(listings.filter(last == 1), -1)],
+        [rows(listings, (7, 8)), rows(listings, (0, 2), -1), rows(renamed, (2,))],
+        [rows(listings, (9,)), rows(listings, (1,), -1)],
     ]
     for change in changes:
         D.refresh_state(spark, folder, reduce(lambda a, b: a.unionByName(b), change))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from docmarket import lexicons as X
 from docmarket.operators.market import BASELINE_DAMPING, demand_pairs, is_live_source, job_columns, term_weight
 from docmarket.session import cut_lineage
+from docmarket.sources import tables
 
 EXACT = "decimal(38,12)"  # sums of fixed-point numbers do not depend on order, and what is taken away leaves nothing
 KEYS = ("kind", "bucket", "query_id", "term", "company", "source", "live", "primary", "hinted", "signature")
@@ -72,7 +74,10 @@ def refresh_state(spark: SparkSession, folder: str, change: DataFrame) -> None:
         *[(F.lit("none") if c == "kind" else F.col("bucket") if c == "bucket" else F.lit(None)).cast(merged.schema[c].dataType).alias(c) for c in KEYS],
         *[F.lit(0).cast(merged.schema[c].dataType).alias(c) for c in SUMS],
     )
-    merged.unionByName(empty).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    # All rows of a query lie in one bucket: more of them than a task should sort are dealt to several, each with a file of its own.
+    slices = math.ceil(merged.count() / tables.ROWS_PER_TASK) or 1
+    dealt = merged.unionByName(empty).repartition("bucket", F.pmod(F.xxhash64("term", "company", "signature"), F.lit(slices)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 
 
 def demand_of(state: DataFrame) -> DataFrame:
@@ -80,14 +85,15 @@ def demand_of(state: DataFrame) -> DataFrame:
     kind = lambda name: state.filter(F.col("kind") == name)
     copies = kind("copies").select(F.col("signature").alias("__signature"), F.col("n").alias("__copies"))
     queries = kind("query").select(F.col("query_id").alias("__query"), (F.col("n_live") > 0).alias("live_present"), F.col("n_live").alias("live_listings"))
-    rows = kind("term").join(copies, F.col("signature").eqNullSafe(F.col("__signature"))).join(queries, F.col("query_id").eqNullSafe(F.col("__query")))
-    factor = F.when(F.col("live_present") & ~F.col("live"), BASELINE_DAMPING).otherwise(1.0) / F.greatest("__copies", F.lit(1))
-    scaled = rows.withColumns({c: F.col(c).cast("double") * factor for c in ("weighted", "jobs")})
-    small = scaled.groupBy("query_id", "term", "company", "source").agg(
-        F.sum("weighted").alias("weighted"), F.sum("jobs").alias("jobs"), F.sum("n").alias("n"), F.sum(F.when(F.col("live"), F.col("n")).otherwise(0)).alias("n_live"),
-        *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
+    rows = kind("term").join(copies, F.col("signature").eqNullSafe(F.col("__signature")))
+    single = {c: F.col(c).cast("double") / F.greatest("__copies", F.lit(1)) for c in ("weighted", "jobs")}
+    # The row of a query meets sums without signatures: it would bring all the query's rows of the state together in one task.
+    small = rows.withColumns(single).groupBy("query_id", "term", "company", "source", "live").agg(
+        F.sum("weighted").alias("weighted"), F.sum("jobs").alias("jobs"), F.sum("n").alias("n"), F.sum(F.when(F.col("live"), F.col("n")).otherwise(0)).alias("n_live"), *[F.max(c).alias(c) for c in ("primary", "hinted")]
     )
-    demand = small.groupBy("query_id", "term").agg(
+    damping = F.when(F.col("live_present") & ~F.col("live"), BASELINE_DAMPING).otherwise(1.0)
+    scaled = small.join(queries, F.col("query_id").eqNullSafe(F.col("__query"))).withColumns({c: F.col(c) * damping for c in ("weighted", "jobs")})
+    demand = scaled.groupBy("query_id", "term").agg(
         F.sum("weighted").alias("weighted"), F.sum("jobs").alias("jobs"), F.sum("n").alias("count"), F.sum("n_live").alias("live_count"), *[F.max(c).alias(c) for c in ("primary", "hinted", "live_present", "live_listings")],
         F.count_distinct("company").alias("company_count"), F.count_distinct("source").alias("source_count"),
     )

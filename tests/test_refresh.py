@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docmarket.operators import demand_state as D, market as K, profile_table as P
 from docmarket.operators.requirements import RequirementLexicon
+from docmarket.sources import tables
 from docmarket.sources.listings import PROFILE_VERSION
 from docmarket.sources.tables import values_frame
 
@@ -79,6 +80,31 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert D.read_state(spark, folder).filter("kind = 'query'").count() == 1
 
 
+def test_rows_of_a_query_are_not_brought_together(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    hints = spark.createDataFrame([], "query_id string, term string, kind string")
+    listings, terms = market(rng, range(400))
+    listings, terms = [("q", *l[1:]) for l in listings], [("q", *t[1:]) for t in terms]
+    folder = str(tmp_path / "state")
+    rows = lambda some: D.demand_rows(spark.createDataFrame(some, LISTING), spark.createDataFrame(terms, TERM), hints, buckets=8)
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tasks stay apart
+    try:
+        D.create_state(rows(listings[:300]), folder)
+        D.refresh_state(spark, folder, rows(listings[300:]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    state = D.read_state(spark, folder)
+    assert state.filter("kind = 'term'").select(F.input_file_name()).distinct().count() > 1
+    got = D.demand_of(state)
+    want = K.term_demand(spark.createDataFrame(listings, LISTING), spark.createDataFrame(terms, TERM), hints)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    # The row of a query meets sums: its join stands above the sums without signatures, the join with the copies below.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [i for i in range(len(plan)) if plan.startswith("Join Inner", i)]
+    assert len(joins) == 2 and "Aggregate [query_id" in plan[joins[0]:joins[1]]
+
+
 PROFILE = "content_hash string, terms array<string>, weights map<string,double>, evidence array<struct<term:string,snippet:string>>, quality double, mode string, version int"
 JOB = "id int, source string, title string, description string, tags array<string>, extras map<string,string>"
 

@@ -41,6 +41,28 @@ def test_market_is_dealt_by_listing(spark, monkeypatch):
     assert gaps.doc_terms(spark, FOLDER).rdd.getNumPartitions() > 4
 
 
+def test_changes_to_demand_are_dealt_by_listing(spark, monkeypatch):
+    from docmarket.catalog import refresh
+    from docmarket.operators import demand_state as D
+
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", lines // 50)
+    seen, inner = [], D.demand_rows
+
+    def spy(listings, terms, *args, **named):
+        seen.append((listings, terms))
+        return inner(listings, terms, *args, **named)
+
+    monkeypatch.setattr(D, "demand_rows", spy)
+    refresh.k1_refreshes(spark, FOLDER)
+    assert len(seen) == 6
+    assert all(df.rdd.getNumPartitions() in (50, 51) for both in seen for df in both)
+    # Terms of a listing and the listing meet as they were dealt.
+    listings, terms = seen[0]
+    plan = K.listing_terms(terms, "weight").join(listings, ["query_id", "listing_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_pairs_are_scored_where_they_are_made(spark):
     import random
 
