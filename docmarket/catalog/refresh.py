@@ -27,19 +27,20 @@ def k1_refreshes(spark, sf):
     terms, hints = cut_lineage(terms), values_frame(spark, ["query_id", "term", "kind"], HINTS)  # several changes read the terms
     renamed = listings.withColumn("company", F.when(F.col("company") != "", F.concat("company", F.lit(" new"))).otherwise(""))
 
-    def rows(some, ends, sign=1):
+    end = F.col("listing_id") % 10
+
+    def rows(*change):
+        """One pass over what comes (sign 1) and goes (-1), by the last digit of the listing."""
+        parts = [some.filter(end.isin(*ends)).withColumn("sign", F.lit(sign)) for some, ends, sign in change]
+        named = terms.filter(end.isin(*sorted({e for _, ends, _ in change for e in ends})))
         # How rows lie is not kept with a checkpoint, so the terms of a change are dealt as they are read, and its listings likewise.
-        changed = lambda df: by_listing(df.filter((F.col("listing_id") % 10).isin(*ends)), n)
-        return D.demand_rows(changed(some), changed(terms), hints, sign, buckets=16, generic=GENERIC)
+        changed = by_listing(reduce(lambda a, b: a.unionByName(b), parts), n)
+        return D.demand_rows(changed, by_listing(named, n), hints, F.col("sign"), buckets=16, generic=GENERIC)
 
     folder = new_folder(spark, "demand")
-    D.create_state(rows(listings, range(7)), folder)
-    changes = [
-        [rows(listings, (7, 8)), rows(listings, (0, 2), -1), rows(renamed, (2,))],
-        [rows(listings, (9,)), rows(listings, (1,), -1)],
-    ]
-    for change in changes:
-        D.refresh_state(spark, folder, reduce(lambda a, b: a.unionByName(b), change))
+    D.create_state(rows((listings, range(7), 1)), folder)
+    D.refresh_state(spark, folder, rows((listings, (7, 8), 1), (listings, (0, 2), -1), (renamed, (2,), 1)))
+    D.refresh_state(spark, folder, rows((listings, (9,), 1), (listings, (1,), -1)))
     return D.demand_of(D.read_state(spark, folder)).select("query_id", "term", "count", "live_count", "company_count", "source_count", "share")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docmarket import lexicons as X
 from docmarket.operators.market import BASELINE_DAMPING, demand_pairs, is_live_source, job_columns, term_weight
@@ -18,24 +18,27 @@ SUMS = ("weighted", "jobs", "n", "n_live")
 
 
 def demand_rows(
-    listings: DataFrame, terms: DataFrame, hints: DataFrame, sign: int = 1, buckets: int = 64, trust_table: Mapping[str, float] = X.DEMAND_TRUST,
+    listings: DataFrame, terms: DataFrame, hints: DataFrame, sign: int | Column = 1, buckets: int = 64, trust_table: Mapping[str, float] = X.DEMAND_TRUST,
     trust_other: float = X.DEMAND_TRUST_OTHER, generic: Sequence[str] = X.GENERIC_SECONDARY_TERMS,
 ) -> DataFrame:
     """What listings add to the state (``sign`` 1) or take from it (-1). Inputs as for ``term_demand``, with ``signature``.
 
+    ``sign`` may be a column of the listings: a changed listing then has two rows, and its terms are read once for both.
+
     Three kinds of rows: ``term`` has the weighted sum, the job weights of leading rows and the count by (query, term,
     company, source, signature); ``query`` the listings and live listings of a query; ``copies`` the listings of a
     signature. Job weights are neither damped nor divided by copies here: both may change for listings that do not.
     """
-    jobs = listings.select("query_id", "listing_id", "signature", *[c.alias(n) for n, c in job_columns(trust_table, trust_other).items()])
-    add = lambda c, name: (F.sum(c.cast(EXACT)).cast(EXACT) * sign).cast(EXACT).alias(name)
+    listings = listings.withColumn("sign", F.lit(sign))
+    jobs = listings.select("query_id", "listing_id", "signature", "sign", *[c.alias(n) for n, c in job_columns(trust_table, trust_other).items()])
+    add = lambda c, name: F.sum((c * F.col("sign")).cast(EXACT)).cast(EXACT).alias(name)
     pairs = demand_pairs(jobs, terms, hints)
     by_term = pairs.groupBy("query_id", "term", "company", "source", "live", "primary", "hinted", "signature").agg(
-        add(F.col("job_weight") * term_weight(generic), "weighted"), add(F.when(F.col("lead"), F.col("job_weight")).otherwise(0.0), "jobs"), (F.count(F.lit(1)) * sign).alias("n")
+        add(F.col("job_weight") * term_weight(generic), "weighted"), add(F.when(F.col("lead"), F.col("job_weight")).otherwise(0.0), "jobs"), F.sum("sign").alias("n")
     )
     live = is_live_source(F.col("source"))
-    by_query = listings.groupBy("query_id").agg((F.count(F.lit(1)) * sign).alias("n"), (F.count_if(live) * sign).alias("n_live"))
-    copies = listings.groupBy("signature").agg((F.count(F.lit(1)) * sign).alias("n"))
+    by_query = listings.groupBy("query_id").agg(F.sum("sign").alias("n"), F.sum(F.when(live, F.col("sign")).otherwise(0)).alias("n_live"))
+    copies = listings.groupBy("signature").agg(F.sum("sign").alias("n"))
     parts = [by_term.withColumn("kind", F.lit("term")), by_query.withColumn("kind", F.lit("query")), copies.withColumn("kind", F.lit("copies"))]
     rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     # Rows that one change touches lie in few buckets: a query's, and a signature's.
