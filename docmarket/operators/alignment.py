@@ -9,7 +9,7 @@ searched, so a candidate costs one pass over its text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,7 +30,7 @@ c = F.col
 def contains_word(hay: Column, needle: Column) -> Column:
     """Cleaned sides; several words as text, one word as a whole word."""
     plus = F.concat(F.lit(r"(?U)\b"), F.replace(needle, F.lit("+"), F.lit(r"\+")), F.lit(r"\b"))
-    padded = F.contains(F.concat(F.lit(" "), F.translate(hay, "+", " "), F.lit(" ")), F.concat(F.lit(" "), needle, F.lit(" ")))
+    padded = F.contains(F.concat(F.lit(" "), F.replace(hay, F.lit("+"), F.lit(" ")), F.lit(" ")), F.concat(F.lit(" "), needle, F.lit(" ")))
     word = F.when(F.instr(needle, "+") > 0, F.regexp_like(hay, plus)).otherwise(padded)
     return F.when(needle == "", F.lit(False)).when(F.instr(needle, " ") > 0, F.contains(hay, needle)).otherwise(word)
 
@@ -39,16 +39,16 @@ def _count(items: Column, test) -> Column:
     return F.size(F.filter(items, test))
 
 
-def _texts(description: Column) -> Column:
+def _texts(description: Column, cleaned: Column | None) -> Column:
     tags = F.array_join(F.transform(F.coalesce(c("tags"), T.lit_array([])), T.clean_words), " ")
     return F.struct(
-        T.clean_words(c("q_text")).alias("query"), T.clean_words(c("title")).alias("title"), T.clean_words(description).alias("desc"), tags.alias("tags"),
+        T.clean_words(c("q_text")).alias("query"), T.clean_words(c("title")).alias("title"), (T.clean_words(description) if cleaned is None else cleaned).alias("desc"), tags.alias("tags"),
         F.transform(c("q_title_hints"), T.clean_words).alias("hints"), F.transform(c("q_negative"), T.clean_words).alias("negative"),
     )
 
 
-def title_alignment(description: Column | None = None) -> Column:
-    """How well title, tags and description name the query's role."""
+def title_alignment(description: Column | None = None, cleaned: Column | None = None) -> Column:
+    """How well title, tags and description name the query's role. ``cleaned`` is the description's words, if they are there already."""
     same, inside = c("q_role") == c("t_role"), F.contains(c("t_role"), c("q_role"))
 
     def score(x: Column) -> Column:
@@ -69,7 +69,7 @@ def title_alignment(description: Column | None = None) -> Column:
         return T.let(F.struct(title_hits.alias("t"), desc_hits.alias("d"), core.alias("core"), in_tags.alias("tags")), total)
 
     known = (c("q_role") != "") & (c("t_role") != "")
-    return F.when(known, T.let(_texts(description if description is not None else c("description")), score)).otherwise(0.0)
+    return F.when(known, T.let(_texts(description if description is not None else c("description"), cleaned), score)).otherwise(0.0)
 
 
 def _head(n: int | None) -> Column:
@@ -103,7 +103,7 @@ def role_fit(families: Sequence[str], adjacent: Sequence[str], token_context: bo
     Tokens count in the title's role only; ``token_context=True`` also counts them in
     description and tags.
     """
-    raw = lambda t: F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^a-z0-9+ ]+", " ")
+    raw = lambda t: F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), f"[^{T.LOWER}+ ]+", " ")
     tags = F.array_join(F.transform(F.coalesce(c("tags"), T.lit_array([])), F.lower), " ")
     desc = description if description is not None else c("description")
     state = F.struct(T.clean_words(c("q_text")).alias("query"), raw(c("title")).alias("title"), raw(desc).alias("desc"), tags.alias("tags"), F.split(c("t_role"), " ").alias("words"))
@@ -135,19 +135,32 @@ def term_overlap() -> Column:
     return T.let(low, lambda t: F.size(F.array_intersect(t, c("q_primary"))) * F.lit(1.5) + F.size(F.array_intersect(t, c("q_market"))))
 
 
-def title_overlaps() -> dict[str, Column]:
-    """Counts of hints, family words, core words and specialty words found, and the precision of the title."""
+def cleaned_texts(words: Column | None = None) -> dict[str, Column]:
+    """Words of the description, and of title, description, tags and terms together: inputs of several scores, cleaned once.
+
+    ``words`` is a column that holds the first of the two already.
+    """
+    words = T.clean_words(c("description")) if words is None else words
+    tags, terms = (T.clean_words(F.array_join(F.coalesce(c(n), T.lit_array([])), " ")) for n in ("tags", "terms"))
+    return {"desc_words": words, "all_words": T.join_clean(T.clean_words(c("t_text")), words, tags, terms)}
+
+
+def title_overlaps(texts: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """Counts of hints, family words, core words and specialty words found, and the precision of the title.
+
+    ``texts`` are columns that hold :func:`cleaned_texts`.
+    """
+    texts = texts or cleaned_texts()
     hints = lambda t: _count(c("q_title_hints"), lambda h: T.contains_clean(t, T.clean_words(h)))
     title_overlap = T.let(T.clean_words(c("t_text")), hints)
     wanted = F.filter(F.split(c("q_role"), r"[^a-z0-9+]+"), lambda t: (F.length(t) > 2) & ~t.isin(*FAMILY_FILLERS))
     own = F.filter(F.split(c("t_text"), " "), lambda t: F.length(t) > 2)
     family_overlap = F.size(F.array_intersect(own, wanted))
-    found = lambda hay, toks: T.let(T.clean_words(hay), lambda h: _count(toks, lambda t: T.contains_clean(h, t)))
-    core_title = found(c("t_text"), c("q_tokens"))
-    core_text = found(F.concat_ws(" ", c("t_text"), c("description")), c("q_tokens"))
+    found = lambda hay, toks: T.let(hay, lambda h: _count(toks, lambda t: T.contains_clean(h, t)))
+    core_title = found(T.clean_words(c("t_text")), c("q_tokens"))
+    core_text = found(T.join_clean(T.clean_words(c("t_text")), texts["desc_words"]), c("q_tokens"))
     telling = F.filter(c("q_specialty"), lambda t: ~t.isin(*T.ROLE_STOPWORDS, *T.ROLE_GENERIC_TOKENS))
-    everything = F.concat_ws(" ", c("t_text"), c("description"), F.array_join(F.coalesce(c("tags"), T.lit_array([])), " "), F.array_join(F.transform(c("terms"), F.lower), " "))
-    special = found(everything, telling)
+    special = found(texts["all_words"], telling)
     precise = lambda t, k, f: F.when(t >= 1, t * 2).when(k >= 2, k + f).when(f >= 2, f).otherwise(0)
     return {
         "title_overlap": title_overlap, "family_overlap": family_overlap, "core_title": core_title, "core_text": core_text, "specialty_overlap": special,
@@ -227,9 +240,9 @@ def listing_quality(n_words: Column, skill_count: Column, requirement: Column, t
     return F.round(F.greatest(F.lit(0.0), F.least(s, F.lit(20.0))), 2)
 
 
-def listing_text_signals() -> dict[str, Column]:
+def listing_text_signals(texts: Mapping[str, Column] | None = None) -> dict[str, Column]:
     """Inputs of :func:`listing_quality` read from the text (cleaned words, not mapped to a role)."""
-    clean = T.clean_words(c("description"))
+    clean = (texts or cleaned_texts())["desc_words"]
     return {
         "n_words": F.size(F.filter(F.split(clean, " "), lambda w: w != "")), "low_signal": T.contains_any(clean, X.LOW_SIGNAL_HINTS),
         "weakeners": F.size(F.array_intersect(F.split(T.clean_words(c("title")), " "), T.lit_array(X.TITLE_WEAKENERS))),
@@ -241,9 +254,9 @@ def market_quality(fit: Column, requirement: Column, skill_count: Column, hints:
     return F.round(base * trust(source, X.QUALITY_TRUST, X.QUALITY_TRUST_OTHER), 2)
 
 
-def context_signals() -> dict[str, Column]:
+def context_signals(texts: Mapping[str, Column] | None = None) -> dict[str, Column]:
     """Hits of title hints in the title, and of primary and market terms in the whole listing text."""
-    whole = T.clean_words(F.concat_ws(" ", c("t_text"), c("description"), F.array_join(F.coalesce(c("tags"), T.lit_array([])), " "), F.array_join(c("terms"), " ")))
+    whole = (texts or cleaned_texts())["all_words"]
     hits = lambda hay, items: T.let(hay, lambda h: _count(items, lambda n: T.contains_clean(h, T.clean_words(n))))
     return {"title_hint_hits": hits(T.clean_words(c("t_text")), c("q_title_hints")), "primary_hits": hits(whole, c("q_primary")), "market_hits": hits(whole, c("q_market"))}
 
@@ -291,14 +304,19 @@ def candidates(listings: DataFrame, queries: DataFrame, titles: DataFrame, query
 
 
 def annotate(cand: DataFrame, families: Sequence[str], adjacent: Sequence[str], requested: str = "q_location", head: int | None = None) -> DataFrame:
-    """All scores of a candidate row in two projections; for the role scores the description counts whole or its first ``head`` characters."""
+    """All scores of a candidate row; for the role scores the description counts whole or its first ``head`` characters.
+
+    Texts are cleaned in a projection of their own, once for all scores that search them; ``desc_words`` and ``all_words`` stay.
+    """
     desc = _head(head)
+    cand = cand.withColumn("desc_words", cleaned_texts()["desc_words"]).withColumn("all_words", cleaned_texts(c("desc_words"))["all_words"])
+    texts = {n: c(n) for n in ("desc_words", "all_words")}
     low = F.array_distinct(F.transform(c("terms"), F.lower))
     tier = location_tier(c(requested), c("location"), c("remote"))
     first = cand.withColumns(
         {
-            "title_alignment": title_alignment(desc), "role_fit": role_fit(families, adjacent, description=desc), "location_score": location_score(c(requested), c("location"), c("remote")),
-            "location_tier": tier, **title_overlaps(), **listing_text_signals(), "skill_overlap": term_overlap(), "skill_count": F.size(low),
+            "title_alignment": title_alignment(desc, c("desc_words") if head is None else None), "role_fit": role_fit(families, adjacent, description=desc), "location_score": location_score(c(requested), c("location"), c("remote")),
+            "location_tier": tier, **title_overlaps(texts), **listing_text_signals(texts), "skill_overlap": term_overlap(), "skill_count": F.size(low),
             "hint_overlap": F.size(F.array_intersect(low, c("q_market"))), "primary_overlap": F.size(F.array_intersect(low, c("q_primary"))),
         }
     )

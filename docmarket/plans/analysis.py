@@ -68,7 +68,8 @@ def guard_inputs(annotated: DataFrame, flags: DataFrame, roles: RoleLexicon) ->
     c = F.col
     negative = F.exists("q_negative", lambda h: T.contains_phrase(c("t_text"), h))
     asked = F.arrays_overlap(F.split(T.clean_label(c("q_text")), " "), T.lit_array(("manager", "director", "head", "chief", "vp", "vice", "president")))
-    df = annotated.join(flags.withColumnRenamed("label", "q_text"), ["q_text"]).withColumns({**G.context_signals(), "negative_hit": negative})
+    df = annotated.join(flags.withColumnRenamed("label", "q_text"), ["q_text"]).withColumns({**G.context_signals({n: c(n) for n in ("desc_words", "all_words")}), "negative_hit": negative})
+    df = df.drop("desc_words", "all_words")
     return df.withColumns(
         {
             "alignment": R.role_alignment(c("q_role"), c("t_role"), c("q_domain"), c("t_domain"), c("negative_hit"), roles), "hard_mismatch": G.location_mismatch(c("q_location"), c("location_tier")),
