@@ -19,7 +19,8 @@ EVIDENCE_VERBS = (
     "improved", "increased", "launched", "led", "managed", "migrated", "optimized", "reduced", "resolved", "shipped", "streamlined",
 )
 IMPACT = r"(?iU)\b(?:\d+%|\d+\s*(?:x|k|m|hours?|days?|weeks?|months?|users?|customers?|tickets?|alerts?|reports?|dashboards?|apis?|models?|projects?))\b"
-NUMBERS = r"(?U)\b\d+%|\b\d+[kKmM]?\b"
+NUMBERS = r"(?U)(?:\b\d+%|\b\d+[kKmM]?\b)"
+AT_DIGIT = r"(?U)(?=\d)"  # both start with a digit: one look passes over all other places
 
 # (label, points, condition, reason). First listed label wins a tie.
 ARCHETYPE_LABELS = (
@@ -215,8 +216,8 @@ def text_evidence(text: Column, verbs: Sequence[str] = EVIDENCE_VERBS) -> dict[s
     low = F.lower(text)
     return {
         "verb_hits": _total([F.contains(low, F.lit(v)).cast("double") for v in verbs]),
-        "number_hits": F.regexp_count(text, F.lit(NUMBERS)),
-        "impact_hits": F.regexp_count(text, F.lit(IMPACT)),
+        "number_hits": F.regexp_count(text, F.lit(AT_DIGIT + NUMBERS)),
+        "impact_hits": F.regexp_count(text, F.lit(AT_DIGIT + IMPACT)),
     }
 
 

@@ -34,3 +34,25 @@ def test_listed_characters_match_as_ranges_do(spark):
     }
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[x.eqNullSafe(y).alias(n) for n, (x, y) in pairs.items()])
     assert rows.filter(" AND ".join(f"`{n}`" for n in pairs)).count() == 400
+
+
+def test_a_look_at_the_next_character_changes_no_match(spark):
+    from docmarket.operators import quality as Q, structure as C
+
+    rng = random.Random(6)
+    words = ("objective", "ſkills", "Kpi", "i", "ME", "40%", "12 days", "٣", "9k", "a@b.co", "+91 98765 43210 12", "-12345678901", "Jan 2020 - now", "2019-2021", "\x85", " ", "\n", "\t", "led", "Taught", "p&l", "  ", "é")
+    texts = ["".join(rng.choice(words) + rng.choice((" ", "", ", ")) for _ in range(rng.randrange(12))) for _ in range(500)]
+    c = F.col("t")
+    count = lambda p: F.regexp_count(c, F.lit(p))
+    contact = T.extract_contact(c)
+    date = C.DATE_RANGE.replace("(?=[0123456789jfmasond])", "")
+    assert date != C.DATE_RANGE and T.after_first(r"\b(ab|cd)\b") == r"(?=[ac])\b(ab|cd)\b" and T.after_first(r"\b(a?b)\b") == r"\b(a?b)\b"
+    pairs = {name: (marks, count("(?iU)" + T.MARKERS[name])) for name, marks in T.count_markers(c).items()}
+    pairs |= {
+        "email": (contact["email"], F.regexp_extract(c, T.EMAIL, 0)), "phone": (contact["phone"], F.regexp_extract(c, T.PHONE, 0)), "dates": (count(C.DATE_RANGE), count(date)),
+        "numbers": (Q.text_evidence(c)["number_hits"], count(r"(?U)\b\d+%|\b\d+[kKmM]?\b")), "impact": (Q.text_evidence(c)["impact_hits"], count(Q.IMPACT)),
+        "quantified": (c.rlike(C.QUANTIFIED), c.rlike(r"(?U)\b\d[\d,]*\b|%")), "lines": (F.split(c, C.LINE_BREAK), F.split(c, C.LINE_BREAK.replace("(?![ -~])", ""))),
+        "strip": (C.strip_ws(c), F.regexp_replace(c, f"^{T.SPACE}+|{T.SPACE}+$", "")), "blanks": (T.normalize_ws(c), F.trim(F.regexp_replace(c, f"{T.SPACE}+", " "))),
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[x.eqNullSafe(y).alias(n) for n, (x, y) in pairs.items()])
+    assert [n for n in pairs if rows.filter(f"NOT `{n}`").count()] == []
